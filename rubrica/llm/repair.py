@@ -36,7 +36,7 @@ from . import shared
 END, TERMINALS = 2, 1 << 16
 SHARD_TOKENS, ROUNDS, RULES, FREQUENT, BINS = 1 << 20, 6, 1 << 13, 8, 19
 MAGIC = b"RPG1"
-KEPT, KEPT_CHARS = 300_000, 64
+KEPT, KEPT_CHARS = 1_200_000, 64
 
 
 def grammar(ids: np.ndarray, rounds: int = ROUNDS, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
