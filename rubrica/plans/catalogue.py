@@ -1,2 +1,110 @@
-def flagship(spark, sf_dir): raise NotImplementedError
-def queries(): return {}
+"""One query for each operator."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as t, vocab as v
+from ..operators import constraints, evaluate, extract, metrics, passages as ps, prompts
+from . import fixture as fx
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.evaluations(spark, sf_dir)
+    by = ["model", "mode", "level"]
+    return metrics.prompt_strict(e, by).withColumnRenamed("rate", "strict").join(metrics.prompt_loose(e, by).select(*by, F.col("rate").alias("loose"), "n_empty"), by)
+
+
+def _docs(make: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: make(fx.table(spark, d, "documents"))
+
+
+def _prepared(spark: SparkSession, d: str) -> DataFrame:
+    known = fx.passages(spark, d)
+    g = fx.gens(spark, d, known)
+    return constraints.prepared(evaluate.bound(g, known, fx.nli(g)))
+
+
+def _constraint(i: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        passed, score = constraints.RULES[i]()
+        return _prepared(spark, d).select("gen_id", passed.alias("passed"), score.cast("double").alias("score"))
+    return run
+
+
+def _eval(make: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: make(fx.evaluations(spark, d))
+
+
+def _digest(ws) -> list:
+    return [F.md5(F.array_join(ws, " ").cast("binary")).alias("digest")]
+
+
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(m, n, o, c.id, c.tier) for m in ("standard", "adversarial") for n in v.LEVELS for o, c in enumerate(constraints.applicable(n, m))]
+    return spark.createDataFrame(rows, "mode string, level int, ord int, id string, tier string")
+
+
+def _router(spark: SparkSession, d: str) -> DataFrame:
+    m = spark.createDataFrame([(x[0],) for x in v.MODELS] + [("my.model:x",), ("gemini-9",)], "model string")
+    shown = prompts.display_name(F.col("model"))
+    return m.select("model", prompts.backend(F.col("model")).alias("backend"), prompts.safe_name(F.col("model")).alias("safe"), shown["name"].alias("name"), shown["params"].alias("params"))
+
+
+def _extracted(spark: SparkSession, d: str) -> DataFrame:
+    g = fx.gens(spark, d)
+    model = F.when(F.col("gen_id") % 8 == 6, F.lit("deepseek-r1:14b")).otherwise(F.lit("phi4:14b"))
+    qa = extract.extract_qa(extract.strip_think(F.col("raw_response"), model))
+    return g.select("gen_id", qa.alias("qa")).select("gen_id", "qa.question", "qa.answer")
+
+
+def _resume(spark: SparkSession, d: str) -> DataFrame:
+    known = fx.passages(spark, d)
+    return evaluate.work_list(known, "adversarial", fx.gens(spark, d, known)).drop("vocab_level")
+
+
+def _prompted(docs: DataFrame, mode: str) -> DataFrame:
+    w = evaluate.work_list(docs.withColumnRenamed("doc_id", "passage_id"), mode).join(docs.select(F.col("doc_id").alias("passage_id"), "text"), "passage_id")
+    p = prompts.standard(F.col("text"), F.col("level")) if mode == "standard" else prompts.adversarial(F.col("text"), F.col("level"), F.col("vocab_level"))
+    return w.select(F.col("passage_id").alias("doc_id"), "level", p.alias("prompt"))
+
+
+def _ids(docs: DataFrame) -> DataFrame:
+    kept = docs.where(F.size(t.split(F.col("text"))) >= 300)
+    return ps.with_ids(kept.select("doc_id", "source"), "source", "doc_id").select("doc_id", "passage_id")
+
+
+def queries() -> dict[str, Query]:
+    text = F.col
+    out: dict[str, Query] = {f"c_{i.lower()}": _constraint(i) for i in constraints.RULES}
+    out |= {
+        "tokenize_words": _docs(lambda x: x.select("doc_id", F.size(t.tokens(text("text"))).cast("long").alias("n"), *_digest(t.tokens(text("text"))))),
+        "tokenize_ascii": _docs(lambda x: x.select("doc_id", F.size(t.ascii_tokens(text("text"))).cast("long").alias("n"), *_digest(t.ascii_tokens(text("text"))))),
+        "stem_tokens": _docs(lambda x: x.select("doc_id", *_digest(F.transform(t.tokens(text("text")), lambda w: t.stem(w))))),
+        "truncate_400": _docs(lambda x: x.select("doc_id", t.first_words(text("text"), v.NLI_WORDS).alias("text"))),
+        "section_cut": _docs(lambda x: x.select("doc_id", t.cut_section(text("text")).alias("section"))),
+        "clean_text": _docs(lambda x: x.select("doc_id", t.clean(text("text")).alias("text"))),
+        "word_overlap": lambda s, d: _prepared(s, d).select("gen_id", t.overlap(F.col("aw"), F.col("pw")).alias("overlap")),
+        "trigram_overlap": lambda s, d: _prepared(s, d).select("gen_id", t.trigram_overlap(F.col("aw"), F.col("pw")).alias("overlap")),
+        "key_concepts_simple": _docs(lambda x: ps.key_concepts(x.withColumnRenamed("doc_id", "passage_id")).select("passage_id", F.array_join("key_concepts", "|").alias("key_concepts"))),
+        "methods_principles": _docs(lambda x: x.select(F.col("doc_id").alias("passage_id"), F.array_join(ps.methods_principles(text("text")), "|").alias("methods_principles"))),
+        "generations": lambda s, d: fx.gens(s, d).drop("subject"),
+        "evaluated_records": _eval(lambda e: e.select("gen_id", F.size("constraints").cast("long").alias("n_constraints"), "all_passed", "pass_rate")),
+        "evaluated_results": _eval(lambda e: metrics.exploded(e).select("gen_id", "id", "tier", "passed", "score")),
+        "prompt_strict": _eval(metrics.prompt_strict), "prompt_loose": _eval(metrics.prompt_loose), "prompt_pass_rate": _eval(metrics.prompt_strict),
+        "constraint_strict": _eval(metrics.constraint_strict), "constraint_loose": _eval(metrics.constraint_loose),
+        "by_level": _eval(metrics.by_level), "by_subject": _eval(metrics.by_subject), "by_constraint": _eval(metrics.by_constraint), "by_tier": _eval(metrics.by_tier),
+        "constraint_breakdown": _eval(metrics.pooled), "adversarial_gap": _eval(lambda e: metrics.gap(e, ["model"])), "gap_by_level": _eval(lambda e: metrics.gap(e, ["model", "level"])),
+        "leaderboard": _eval(metrics.leaderboard), "running_progress": _eval(lambda e: metrics.progress(e, 10)), "bootstrap_ci": _eval(metrics.bootstrap),
+        "complete_files": lambda s, d: metrics.complete(fx.gens(s, d), 20), "ready_models": lambda s, d: metrics.ready(fx.gens(s, d)),
+        "work_list": _docs(lambda x: evaluate.work_list(x.withColumnRenamed("doc_id", "passage_id"), "standard").drop("vocab_level")), "resume_anti_join": _resume,
+        "even_sample": _docs(lambda x: ps.evenly(x.select("source", "doc_id"), 15, "source", "doc_id")), "passage_ids": _docs(_ids),
+        "backend_router": _router, "constraint_matrix": _matrix, "constraint_counts": lambda s, d: _matrix(s, d).groupBy("mode", "level").agg(F.count("*").cast("int").alias("n")),
+        "prompt_standard": _docs(lambda x: _prompted(x, "standard")), "prompt_adversarial": _docs(lambda x: _prompted(x, "adversarial")), "extract_qa": _extracted,
+        "page_text": lambda s, d: ps.page_text(fx.table(s, d, "pages")),
+    }
+    return out

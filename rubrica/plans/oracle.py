@@ -1 +1,266 @@
-def sql(): return {}
+"""The same results in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from ..functions import vocab as v
+from ..operators import passages as ps
+from . import fixture as fx
+
+W = r"[\p{L}\p{N}_]"
+B, E = rf"(^|[^\p{{L}}\p{{N}}_])", rf"($|[^\p{{L}}\p{{N}}_])"
+STEM = "^(.{3,}?)(?:" + "|".join(v.SUFFIXES) + ")$"
+
+
+def s(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def lst(xs) -> str:
+    return "[" + ", ".join(s(x) for x in xs) + "]"
+
+
+def has(col: str, xs: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({col}, {s(x)})" for x in xs) + ")"
+
+
+def toks(x: str) -> str:
+    return f"regexp_extract_all({x}, {s(W + '+')})"
+
+
+def stems(x: str) -> str:
+    return f"list_distinct(list_transform({x}, lambda w: regexp_replace(w, {s(STEM)}, '\\1')))"
+
+
+def mentions(x: str, c: str) -> str:
+    return f"regexp_matches({x}, {s(B)} || regexp_escape(lower({c})) || {s('(s|es|ed|ing)?' + E)})"
+
+
+def concepts(x: str, xs: str = "kc") -> str:
+    return f"list_filter({xs}, lambda c: {mentions(x, 'c')})"
+
+
+def outer_(x: str) -> str:
+    return f"list_filter({x}, lambda c: len(list_filter({x}, lambda o: c <> o AND contains(lower(o), lower(c)))) = 0)"
+
+
+def overlap(a: str, b: str) -> str:
+    return f"(CASE WHEN len({a}) = 0 THEN 0.0 ELSE len(list_intersect({stems(a)}, {stems(b)}))::DOUBLE / len({stems(a)}) END)"
+
+
+def pick(xs: list, i: str) -> str:
+    return f"({lst(xs) if isinstance(xs[0], str) else xs})[(({i}) % {len(xs)})::INT + 1]"
+
+
+def strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+FOLD = r"regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{Ll}\p{Lu}\p{N}]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
+WORDS = f"""
+docs AS (SELECT doc_id AS passage_id, source AS subject, coalesce(text, '') AS text FROM documents),
+toks AS (SELECT passage_id, {toks('lower(text)')} AS ws FROM docs),
+wpos AS (SELECT passage_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM toks),
+wn AS (SELECT passage_id, word, count(*) AS n, min(pos) AS pos FROM wpos WHERE regexp_full_match(word, '[a-z]{{4,}}') AND NOT list_contains({lst(v.CONCEPT_STOP_WORDS)}, word) GROUP BY ALL HAVING count(*) >= 2),
+freq AS (SELECT passage_id, list(word ORDER BY n DESC, pos) [1:{2 * ps.CONCEPTS}] AS frequent FROM wn GROUP BY ALL),
+named AS (SELECT passage_id, list_transform(regexp_extract_all({FOLD}, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b'), lambda x: lower(x)) AS named FROM docs),
+every AS (SELECT passage_id, list_concat(named, coalesce(frequent, [])) AS l FROM named LEFT JOIN freq USING (passage_id)),
+kcs AS (SELECT passage_id, (list_filter(l, lambda x, i: list_position(l, x) = i))[1:{ps.CONCEPTS}] AS key_concepts FROM every),
+mps AS (SELECT passage_id, list_concat({", ".join(rf"regexp_extract_all(text, {s(p.replace('(?iU)', '(?i)').replace(chr(92) + 'w', chr(92) + 'p{L}' + chr(92) + 'p{N}_'))}, 1)" for p in ps.METHOD_PATTERNS)}) AS l FROM docs),
+mpt AS (SELECT passage_id, list_filter(list_transform(l, lambda x: lower({strip('x')})), lambda m: length(m) > 3 AND len(regexp_extract_all(m, '\\S+')) <= 5) AS l FROM mps),
+fx_passages AS (SELECT passage_id, subject, text, key_concepts, (list_filter(l, lambda x, i: list_position(l, x) = i))[1:{ps.METHODS}] AS methods_principles FROM docs JOIN kcs USING (passage_id) JOIN mpt USING (passage_id))
+"""
+
+
+def words_of(x: str, n: str) -> str:
+    return rf"array_to_string(regexp_extract_all({x}, '\S+')[1:{n}], ' ')"
+
+
+_CON = "array_to_string(coalesce(key_concepts, [])[1:(gen_id % 4)::INT], ' and ')"
+GENS = f"""
+u AS (SELECT conv_id, turn, text AS asked FROM conversations WHERE role = 'user'),
+d2 AS (SELECT conv_id, turn - 1 AS turn, text AS said FROM conversations WHERE role = 'assistant'),
+g0 AS (SELECT *, conv_id * 1000 + turn AS gen_id, ((conv_id * 7 + turn // 2) % 6 + 1)::INT AS level, CASE WHEN conv_id % 2 = 0 THEN 'standard' ELSE 'adversarial' END AS mode,
+  'm' || (conv_id % 3) AS model, (conv_id * 31 + turn) % (SELECT max(doc_id) + 2 FROM documents) AS passage_id FROM u JOIN d2 USING (conv_id, turn)),
+g1 AS (SELECT g0.*, subject, text, key_concepts, methods_principles, CASE WHEN mode = 'adversarial' THEN CASE level {" ".join(f"WHEN {a} THEN {b}" for a, b in v.PAIRINGS.items())} END END::INT AS vocab_level FROM g0 LEFT JOIN fx_passages USING (passage_id)),
+g2 AS (SELECT *, concat_ws(' ', {pick(fx.STARTERS, 'gen_id')}, {words_of('asked', '6')}, {_CON}) AS q0,
+  concat_ws(' ', {pick(fx.CONNECTIVES, 'gen_id')}, {words_of("CASE WHEN gen_id % 2 = 0 THEN coalesce(text, '') ELSE said END", pick(fx.COUNTS, 'gen_id // 3'))}, CASE WHEN gen_id % 3 = 0 THEN {_CON} END) AS a0 FROM g1),
+g3 AS (SELECT *, CASE WHEN gen_id % 37 = 0 THEN ' ' ELSE q0 || CASE WHEN gen_id % 11 = 0 THEN ' alpha alpha alpha alpha' ELSE '' END || {pick(fx.ENDINGS, 'gen_id // 5')} END AS _q, a0 AS _a FROM g2),
+fx_gens AS (SELECT gen_id, model, mode, level, vocab_level, passage_id, subject, text AS passage, key_concepts, methods_principles,
+  CASE WHEN gen_id % 23 <> 0 THEN _q END AS question, CASE WHEN gen_id % 29 <> 0 THEN _a END AS answer, CASE WHEN gen_id % 31 = 0 THEN 'timed out' END AS error,
+  CASE gen_id % 8 WHEN 0 THEN 'QUESTION: ' || _q || chr(10) || 'ANSWER: ' || _a WHEN 1 THEN 'Q: 1. ' || _q || chr(10) || 'A: ' || _a WHEN 2 THEN _q || '? ' || _a WHEN 3 THEN _q || chr(10) || chr(10) || _a
+    WHEN 4 THEN '"' || _q || '"' WHEN 5 THEN 'answer: ' || _a || chr(10) || 'question: Question: ' || _q WHEN 6 THEN '<think>hm ' || _q || '</think>' || chr(10) || ' ' || _a END AS raw_response FROM g3)
+"""
+
+
+def nli(kind: str, m: int) -> str:
+    return f"(gen_id * {m}) % 101 AS c_{kind}, (gen_id * 53) % (101 - (gen_id * {m}) % 101) AS n_{kind}"
+
+
+BOUND = f"""
+b0 AS (SELECT *, lower(coalesce(question, '')) AS q, lower(coalesce(answer, '')) AS a, lower(coalesce(passage, '')) AS p, coalesce(key_concepts, []) AS kc, coalesce(methods_principles, []) AS mp, {nli('answer', 37)}, {nli('question', 41)} FROM fx_gens),
+b AS (SELECT *, q || ' ' || a AS qa, {toks('q')} AS qw, {toks('a')} AS aw, {toks('p')} AS pw, {strip("coalesce(question, '')")} AS sq, regexp_extract_all(q || ' ' || a, '[a-z]+') AS qat FROM b0)
+"""
+
+
+def flag(ok: str) -> tuple[str, str]:
+    return ok, f"(CASE WHEN {ok} THEN 1.0 ELSE 0.0 END)"
+
+
+def voc(level: int, xs: list[str] | None) -> tuple[str, str]:
+    verb = has("q", v.VERBS[level])
+    return flag(verb) if not xs else (f"({verb} OR {has('q', xs)})", f"(CASE WHEN {verb} THEN 1.0 WHEN {has('q', xs)} THEN 0.9 ELSE 0.0 END)")
+
+
+def scored(score: str, test: str) -> tuple[str, str]:
+    return f"({score}) {test}", score
+
+
+def tri(x: str) -> str:
+    return f"list_distinct(list_transform(range(1, greatest(len({x}) - 1, 1)), lambda i: {x}[i] || ' ' || {x}[i + 1] || ' ' || {x}[i + 2]))"
+
+
+def acronyms() -> str:
+    """The concepts found with their acronyms. All cover no more than what a single pass finds, as added concepts differ from found ones."""
+    out = concepts("qa")
+    for a, long in v.ACRONYMS.items():
+        more = f"list_filter(kc, lambda c: NOT list_contains(list_transform(f, lambda x: lower(x)), lower(c)) AND (contains(lower(c), {s(a)}) OR contains({s(long)}, lower(c)) OR contains(lower(c), {s(long)})))"
+        out = f"(list_transform([{out}], lambda f: CASE WHEN regexp_matches(qa, {s(B + a + E)}) THEN list_concat(f, {more}) ELSE f END))[1]"
+    return out
+
+
+def rules() -> dict[str, tuple[str, str]]:
+    low = f"regexp_replace(lower(sq), '\\.+$', '')"
+    u1 = f"(CASE WHEN sq = '' THEN 0.0 WHEN suffix(sq, '?') THEN 1.0 WHEN {' OR '.join(f'starts_with(lower(sq), {s(x)})' for x in v.TASK_STARTERS)} THEN 0.8 WHEN {' OR '.join(f'suffix({low}, {s(x)})' for x in v.RESPONSE_ENDINGS)} THEN 0.7 WHEN regexp_matches(lower(sq), {s(B + '(' + '|'.join(v.QUESTION_WORDS) + ')' + E)}) THEN 0.6 ELSE 0.0 END)"
+    least = f"(CASE WHEN level = 1 THEN {v.MIN_WORDS_REMEMBER} ELSE {v.MIN_WORDS} END)"
+    terms = f"(CASE WHEN level = 1 THEN {v.MIN_TERMS_REMEMBER} ELSE {v.MIN_TERMS} END)"
+    ct = "regexp_extract_all(lower(c), '[a-z]+')"
+    rel = f"len(list_filter(kc, lambda c: {mentions('qa', 'c')} OR (len({ct}) > 0 AND list_has_all({stems('qat')}, {stems(ct)}))))"
+    cont = f"list_filter(qw, lambda w: NOT list_contains({lst(v.STOP_WORDS)}, w))"
+    most = f"coalesce(list_max(list_transform({cont}, lambda w: len(list_filter({cont}, lambda x: x = w)))), 0)"
+    n2 = f"len({outer_(concepts('q'))})"
+    ac = f"list_filter(aw, lambda w: NOT list_contains({lst(v.ANSWER_STOP_WORDS)}, w))"
+    r4 = f"(CASE WHEN len({ac}) = 0 THEN 1.0 ELSE {overlap(ac, 'pw')} END)"
+    d2 = f"(CASE WHEN len(aw) < {v.MIN_TRIGRAM_WORDS} THEN 0.0 ELSE len(list_intersect({tri('aw')}, {tri('pw')}))::DOUBLE / len({tri('aw')}) END)"
+    skip = lambda x: f"(coalesce(passage, '') = '' OR coalesce({x}, '') = '')"
+    d3, p2, c2 = "(1 - c_answer / 100.0::DOUBLE)", "(n_question / 100.0::DOUBLE + c_question / 100.0::DOUBLE)", "(n_answer / 100.0::DOUBLE + c_answer / 100.0::DOUBLE)"
+    semantic = lambda x, sc, test: (f"({skip(x)} OR {sc} {test})", f"(CASE WHEN {skip(x)} THEN 1.0 ELSE {sc} END)")
+    good = r"list_filter(mp, lambda m: len(regexp_extract_all(m, '\S+')) <= 5 AND length(m) > 3)"
+    p3 = f"(CASE WHEN len({concepts('qa')}) > 0 OR len({concepts('qa', good)}) > 0 THEN 1.0 WHEN len(pw) > 0 AND {overlap('qat', 'pw')} >= {v.SHARED_VOCABULARY} THEN 0.8 WHEN len(kc) = 0 AND len(mp) = 0 THEN 1.0 ELSE 0.0 END)"
+    f = acronyms()
+    a2 = f"(list_transform([{f}], lambda f: CASE WHEN len({outer_('f')}) > 0 THEN len({outer_('f')}) ELSE len(f) END))[1]"
+    qc = concepts("q")
+    a4 = f"(CASE WHEN len({qc}) = 0 THEN 1.0 ELSE len({concepts('a', qc)})::DOUBLE / len({qc}) END)"
+    n3 = " + ".join(f"contains(q, {s(x)})::INT" for x in v.SPECS)
+    verb = lambda col: "CASE " + col + " " + " ".join(f"WHEN {n} THEN {has('q', x)}" for n, x in v.VERBS.items()) + " END"
+    an = f"(mode <> 'adversarial' OR NOT coalesce({verb('level')}, false))"
+    return {
+        "U1": scored(u1, "> 0"), "U2": (f"(len(qw) >= {least} AND len(qw) <= {v.MAX_WORDS})", f"(CASE WHEN len(qw) < {least} THEN len(qw)::DOUBLE / {least} WHEN len(qw) > {v.MAX_WORDS} THEN {v.MAX_WORDS}::DOUBLE / len(qw) ELSE 1.0 END)"),
+        "U3": (f"(len(kc) = 0 OR {rel} >= {terms})", f"(CASE WHEN len(kc) = 0 THEN 1.0 ELSE least({rel}::DOUBLE / {terms}, 1.0) END)"),
+        "U4": (f"(length(sq) >= {v.MIN_CHARS} AND {most} <= {v.MAX_REPEAT})", f"(CASE WHEN length(sq) < {v.MIN_CHARS} THEN 0.0 WHEN {most} > {v.MAX_REPEAT} THEN {v.MAX_REPEAT}::DOUBLE / {most} ELSE 1.0 END)"),
+        "R1": voc(1, v.RECALL), "R2": (f"{n2} <= {v.MAX_CONCEPTS}", f"(CASE WHEN {n2} <= {v.MAX_CONCEPTS} THEN 1.0 ELSE {v.MAX_CONCEPTS}::DOUBLE / {n2} END)"),
+        "R3": (f"len(aw) <= {v.MAX_ANSWER_WORDS}", f"(CASE WHEN len(aw) <= {v.MAX_ANSWER_WORDS} THEN 1.0 ELSE {v.MAX_ANSWER_WORDS}::DOUBLE / len(aw) END)"), "R4": scored(r4, f">= {v.PASSAGE_OVERLAP}"),
+        "D1": voc(2, v.COMPREHENSION), "D2": (f"{d2} < {v.MAX_TRIGRAMS}", f"(1 - {d2})"), "D4": flag(has("q", v.MEANING)), "D3": semantic("answer", d3, "> 0.5"),
+        "P1": voc(3, v.APPLICATION), "P3": scored(p3, "> 0"), "P4": flag(f"regexp_matches(a, {s('|'.join(f'(?:{p})' for p in v.RESULTS))})"), "P2": semantic("question", p2, f">= {v.MIN_SCENARIO}"),
+        "A1": voc(4, v.ANALYSIS), "A2": (f"(len(kc) = 0 OR {a2} >= {v.MIN_CONCEPTS})", f"(CASE WHEN len(kc) = 0 THEN 1.0 ELSE least({a2}::DOUBLE / {v.MIN_CONCEPTS}, 1.0) END)"),
+        "A3": flag(has("q", v.RELATIONSHIP)), "A4": scored(a4, ">= 1"), "E1": voc(5, None), "E2": flag(has("q", v.CLAIM)), "E3": flag(has("q", v.EVIDENCE)), "E4": flag(has("a", v.ARGUMENT)),
+        "C1": voc(6, None), "C3": (f"({n3}) >= {v.MIN_SPECS}", f"least(({n3})::DOUBLE / {v.MIN_SPECS}, 1.0)"), "C4": (f"len(aw) > {v.MIN_ANSWER_WORDS}", f"least(len(aw)::DOUBLE / {v.MIN_ANSWER_WORDS}, 1.0)"), "C2": semantic("answer", c2, f">= {v.MIN_CREATION}"),
+        "AV": flag(f"(mode <> 'adversarial' OR coalesce({verb('vocab_level')}, true))"), "AN": (an, f"(CASE WHEN {an} THEN 1.0 ELSE 0.5 END)"),
+    }
+
+
+RULES = rules()
+
+
+def constraint(i: str) -> str:
+    ok, score = RULES[i]
+    return f"WITH {WORDS}, {GENS}, {BOUND} SELECT gen_id, {ok} AS passed, ({score})::DOUBLE AS score FROM b"
+
+
+def _applies(tier: str, i: str, levels: list[int]) -> str:
+    if tier == "universal":
+        return "true"
+    if tier == "adversarial":
+        return "mode = 'adversarial'"
+    return f"level = {levels[0]}" + (" AND mode = 'standard'" if tier == "structural" and i.endswith("1") else "")
+
+
+#: One row for each result of each record, and one for each record.
+RESULTS = "res AS (" + " UNION ALL ".join(
+    f"SELECT gen_id, model, mode, level, subject, {n} AS ord, {s(i)} AS id, {s(tier)} AS tier, {RULES[i][0]} AS passed, ({RULES[i][1]})::DOUBLE AS score FROM b WHERE q <> '' AND {_applies(tier, i, levels)}"
+    for n, (i, _, tier, levels) in enumerate(v.CONSTRAINTS)
+) + f"""),
+ev AS (SELECT b.gen_id, b.model, b.mode, b.level, b.subject, count(r.id) AS n, coalesce(count(r.id) > 0 AND bool_and(r.passed), false) AS all_passed, count_if(r.passed) AS n_pass, coalesce(bool_and(r.score >= {v.LOOSE}), true) AS loose
+  FROM b LEFT JOIN res r USING (gen_id) GROUP BY ALL)"""
+BASE = f"WITH {WORDS}, {GENS}, {BOUND}, {RESULTS} "
+
+
+def rates(by: str, src: str = "ev", ok: str = "all_passed", where: str = "true", more: str = "") -> str:
+    return f"{BASE} SELECT {by}, count(*) AS n_total, count_if({ok}) AS n_pass, {more} count_if({ok})::DOUBLE / count(*) AS rate FROM {src} WHERE {where} GROUP BY ALL"
+
+
+def gap(by: str) -> str:
+    one = lambda m: f"coalesce(count_if(mode = '{m}' AND all_passed)::DOUBLE / nullif(count_if(mode = '{m}'), 0), 0.0)"
+    return f"SELECT {by}, {one('standard')} AS standard, {one('adversarial')} AS adversarial, {one('standard')} - {one('adversarial')} AS gap FROM ev GROUP BY ALL"
+
+
+def sql() -> dict[str, str]:
+    t = f"WITH {WORDS} "
+    gx = f"WITH {WORDS}, {GENS}, {BOUND} "
+    out = {f"c_{i.lower()}": constraint(i) for i in RULES}
+    out |= {
+        "tokenize_words": f"SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {toks('lower(text)')} AS w FROM documents)",
+        "tokenize_ascii": "SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)",
+        "stem_tokens": f"SELECT doc_id, md5(array_to_string(list_transform(w, lambda w: regexp_replace(w, {s(STEM)}, '\\1')), ' ')) AS digest FROM (SELECT doc_id, {toks('lower(text)')} AS w FROM documents)",
+        "truncate_400": rf"SELECT doc_id, {words_of('text', '400')} AS text FROM documents",
+        "section_cut": r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\S+') AS ws FROM documents), c AS (SELECT *, array_to_string(ws[1:500], ' ') AS head FROM w),
+            e AS (SELECT *, length(head) - instr(reverse(head), '.') AS dot FROM c)
+            SELECT doc_id, CASE WHEN len(ws) < 300 THEN NULL WHEN len(ws) <= 800 THEN text WHEN contains(head, '.') AND dot > length(head) * 0.6 THEN head[1:dot + 1] ELSE head END AS section FROM e""",
+        "clean_text": r"SELECT doc_id, CASE WHEN length(t) > 150 THEN t END AS text FROM (SELECT doc_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), '’', ''''), '‘', ''''), '“', '""'), '”', '""'), '–', '-'), '—', '--') AS t FROM documents)".replace("'\"\"'", "'\"'"),
+        "word_overlap": f"{gx} SELECT gen_id, {overlap('aw', 'pw')}::DOUBLE AS overlap FROM b",
+        "trigram_overlap": f"{gx} SELECT gen_id, CASE WHEN len(aw) < 3 THEN 0.0 ELSE len(list_intersect({tri('aw')}, {tri('pw')}))::DOUBLE / len({tri('aw')}) END AS overlap FROM b",
+        "key_concepts_simple": f"{t} SELECT passage_id, array_to_string(key_concepts, '|') AS key_concepts FROM kcs",
+        "methods_principles": f"{t} SELECT passage_id, array_to_string(methods_principles, '|') AS methods_principles FROM fx_passages",
+        "generations": f"{gx} SELECT gen_id, model, mode, level, vocab_level, passage_id, question, answer, error, raw_response FROM fx_gens",
+        "evaluated_records": f"{BASE} SELECT gen_id, n AS n_constraints, all_passed, CASE WHEN n = 0 THEN 0.0 ELSE n_pass::DOUBLE / n END AS pass_rate FROM ev",
+        "evaluated_results": f"{BASE} SELECT gen_id, id, tier, passed, score FROM res",
+        "prompt_strict": rates("model, mode"), "prompt_loose": rates("model, mode", ok="loose", more="count_if(n = 0) AS n_empty,"),
+        "prompt_pass_rate": rates("model, mode"),
+        "constraint_strict": rates("model, mode", "res", "passed"), "constraint_loose": rates("model, mode", "res", f"score >= {v.LOOSE}"),
+        "by_level": rates("model, mode, level"), "by_subject": rates("model, mode, coalesce(subject, 'unknown') AS subject"),
+        "by_constraint": rates("model, mode, id", "res", "passed"), "by_tier": rates("model, mode, tier", "res", "passed"),
+        "constraint_breakdown": rates("id", "res", "passed", "mode = 'standard'"),
+        "adversarial_gap": BASE + gap("model"), "gap_by_level": BASE + gap("model, level"),
+        "leaderboard": f"""{BASE}, g AS ({gap('model')}), l AS (SELECT model, count_if(loose)::DOUBLE / count(*) AS standard_loose FROM ev WHERE mode = 'standard' GROUP BY 1),
+            c AS (SELECT model, count_if(passed)::DOUBLE / count(*) AS constraint_strict, count_if(score >= {v.LOOSE})::DOUBLE / count(*) AS constraint_loose FROM res WHERE mode = 'standard' GROUP BY 1)
+            SELECT g.*, standard_loose, constraint_strict, constraint_loose, row_number() OVER (ORDER BY gap, model)::INT AS rank FROM g LEFT JOIN l USING (model) LEFT JOIN c USING (model)""",
+        "running_progress": f"{BASE} SELECT * FROM (SELECT model, mode, row_number() OVER w AS done, sum(all_passed::INT) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS passed FROM ev WINDOW w AS (PARTITION BY model, mode ORDER BY gen_id)) WHERE done % 10 = 0",
+        "complete_files": f"{gx} SELECT model, mode, count(*) AS n, count_if(error IS NULL) AS n_ok, count_if(error IS NULL) >= 20 AS complete FROM fx_gens GROUP BY ALL",
+        "ready_models": f"{gx} SELECT model, count(*)::BIGINT AS modes, max(error_rate) AS error_rate, count(*) = 2 AND max(error_rate) <= {v.MAX_ERRORS} AS ready FROM (SELECT model, mode, count_if(error IS NOT NULL)::DOUBLE / count(*) AS error_rate FROM fx_gens GROUP BY ALL) GROUP BY ALL",
+        "work_list": "SELECT doc_id AS passage_id, level::INT AS level, 'standard' AS mode FROM documents, range(1, 7) r(level)",
+        "resume_anti_join": f"{gx} SELECT p.passage_id, l::INT AS level, 'adversarial' AS mode FROM fx_passages p, range(1, 7) r(l) WHERE NOT EXISTS (SELECT 1 FROM fx_gens g WHERE g.passage_id = p.passage_id AND g.level = l AND g.mode = 'adversarial' AND g.error IS NULL)",
+        "even_sample": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE n <= 15 OR list_contains(list_transform(range(15), lambda k: floor(k * (n / 15.0::DOUBLE))::BIGINT), i)",
+        "passage_ids": "SELECT doc_id, printf('%s_%03d', substr(source, 1, 3), i) AS passage_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE len(regexp_extract_all(text, '\\S+')) >= 300) WHERE i <= 15",
+        "backend_router": "SELECT * FROM (VALUES " + ", ".join(f"({s(m)}, {s(k if k in ('openai', 'google', 'together') else 'ollama')}, {s(m.translate(str.maketrans(':./', '___')))}, {s(n)}, {s(z)})" for m, k, n, z in v.MODELS) + ", ('my.model:x', 'ollama', 'my_model_x', 'my.model:x', '?'), ('gemini-9', 'google', 'gemini-9', 'gemini-9', '?')) AS t(model, backend, safe, name, params)",
+        "constraint_matrix": "SELECT * FROM (VALUES " + ", ".join(f"({s(m)}, {n}, {o}, {s(i)}, {s(tier)})" for m in ("standard", "adversarial") for n in v.LEVELS for o, (i, tier) in enumerate(
+            (i, tier) for i, _, tier, ls in v.CONSTRAINTS if tier == "universal" or (tier == "adversarial" and m == "adversarial") or (n in ls and not (m == "adversarial" and tier == "structural" and i.endswith("1"))))) + ") AS t(mode, level, ord, id, tier)",
+        "constraint_counts": "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {n}, {k})" for m, k in (("standard", 8), ("adversarial", 9)) for n in v.LEVELS) + ") AS t(mode, level, n)",
+        "prompt_standard": f"SELECT doc_id, level::INT AS level, {s(v.OPENING)} || text || chr(10) || chr(10) || 'TASK: Generate a ' || name || '-level question (Bloom''s Taxonomy) about this passage.' || chr(10) || chr(10) || 'At the ' || name || ' level, students should be able to ' || def || '.' || chr(10) || chr(10) || hint || {s(v.CLOSING)} AS prompt FROM documents, (VALUES "
+        + ", ".join(f"({n}, {s(v.LEVELS[n])}, {s(v.DEFINITIONS[n])}, {s(v.HINTS[n])})" for n in v.LEVELS) + ") l(level, name, def, hint)",
+        "prompt_adversarial": f"SELECT doc_id, level::INT AS level, {s(v.OPENING)} || text || chr(10) || chr(10) || 'TASK: Generate a ' || name || '-level question (Bloom''s Taxonomy), but you MUST use vocabulary from the ' || other || ' level.' || chr(10) || chr(10) || 'The cognitive demand of your question must be ' || name || ' (students should ' || def || '), even though the wording uses ' || other || '-level verbs like: ' || v8 || '.' || chr(10) || chr(10) || 'IMPORTANT: Do NOT use verbs like ' || f6 || '. Instead, use verbs like: ' || r6 || '.' || chr(10) || chr(10) || hint || {s(v.CLOSING)} AS prompt FROM documents, (VALUES "
+        + ", ".join(f"({n}, {s(v.LEVELS[n])}, {s(v.LEVELS[k])}, {s(v.DEFINITIONS[n])}, {s(', '.join(v.VERBS[k][:8]))}, {s(', '.join(v.VERBS[n][:6]))}, {s(', '.join(v.VERBS[k][:6]))}, {s(v.HINTS[n])})" for n, k in sorted(v.PAIRINGS.items())) + ") l(level, name, other, def, v8, f6, r6, hint)",
+        "extract_qa": f"""{gx}, r AS (SELECT gen_id, gen_id % 8 AS kind, {strip("coalesce(CASE WHEN gen_id % 8 = 6 THEN regexp_replace(raw_response, '<think>(?s:.*?)</think>' || chr(92) || 's*', '') ELSE raw_response END, '')")} AS t FROM fx_gens),
+            m AS (SELECT *, regexp_extract(t, '(?is)QUESTION:\\s*(.+?)(?:ANSWER:|$)', 1) AS q1, regexp_extract(t, '(?is)ANSWER:\\s*(.+)', 1) AS a1, regexp_extract(t, '(?is)(?:^|\\n)\\s*Q:\\s*(.+?)(?:\\nA:|$)', 1) AS q2, regexp_extract(t, '(?is)(?:^|\\n)\\s*A:\\s*(.+)', 1) AS a2,
+              length(t) - instr(reverse(t), '?') AS pos, list_filter(list_transform(string_split(t, chr(10)), lambda x: {strip('x')}), lambda x: x <> '') AS ls FROM r),
+            x AS (SELECT *, CASE WHEN t = '' THEN NULL WHEN q1 <> '' AND a1 <> '' THEN q1 WHEN q2 <> '' AND a2 <> '' THEN q2 WHEN contains(t, '?') AND pos > 0 THEN t[1:pos + 1] WHEN len(ls) >= 2 THEN ls[1] ELSE t END AS q,
+              CASE WHEN t = '' THEN NULL WHEN q1 <> '' AND a1 <> '' THEN a1 WHEN q2 <> '' AND a2 <> '' THEN a2 WHEN contains(t, '?') AND pos > 0 THEN t[pos + 2:] WHEN len(ls) >= 2 THEN array_to_string(ls[2:], chr(10)) END AS a FROM m)
+            SELECT gen_id, {clean('q')} AS question, {clean('a')} AS answer FROM x""",
+    }
+    return out
+
+
+def clean(x: str) -> str:
+    y = strip(x)
+    y = f"CASE WHEN (starts_with({y}, '\"') AND suffix({y}, '\"')) OR (starts_with({y}, '''') AND suffix({y}, '''')) THEN {strip(f'({y})[2:-2]')} ELSE {y} END"
+    y = rf"regexp_replace({y}, '^\d+[.)]\s*', '')"
+    y = rf"regexp_replace({y}, '^(?i:Question|Answer|Q|A)\s*:\s*', '')"
+    return f"nullif({strip(rf'''regexp_replace({y}, '\s+', ' ', 'g')''')}, '')"
