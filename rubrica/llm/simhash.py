@@ -18,9 +18,11 @@ unless a component has no other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from xxhash import xxh64_intdigest
@@ -98,11 +100,134 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id; of rows that repeat that id, one."""
-    found = near_duplicates(docs).where("doc_id is null or doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"])
+# Near copies by similarity of shingle sets: the same index on wide fingerprints.
+
+WIDE, NEAR_WORDS, SIMILARITY = 128, 5, 0.8
+#: Byte positions of the compound postings.
+TRIPLES = [(i, (i + 5) % WIDE, (i + 17) % WIDE) for i in range(WIDE)]
+#: Longest list whose pairs are tallied directly, and rows of a block of a longer one.
+SHORT, BLOCK = 64, 512
+
+
+def bounds(similarity: float = SIMILARITY, slack: float = 1.0) -> tuple[int, int]:
+    """Bytes that a pair of that similarity shares at least, and bits in which it differs at most, but for chance (slack: deviations for the bits; five for the bytes)."""
+    flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    same = (1 - flip) ** 8
+    return max(1, int(WIDE * same - 5 * math.sqrt(WIDE * same * (1 - same)))), int(8 * WIDE * flip + slack * math.sqrt(8 * WIDE * flip * (1 - flip)))
+
+
+def wide_fingerprint(text: str | None, size: int = NEAR_WORDS) -> bytes:
+    """1024 bits, of the distinct shingles; zeros for a text without words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return bytes(WIDE)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(size)))) if len(words) > size else [b" ".join(words)]
+    base = np.unique(np.array([xxh64_intdigest(s, 42) for s in shingles], dtype="<u8"))
+    ones = np.zeros(8 * WIDE, dtype=np.int32)
+    steps = np.arange(1, WIDE // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(base), 255):
+        x = base[at : at + 255, None] + steps
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(base), bitorder="little").tobytes()
+
+
+def _with_wide(docs: DataFrame) -> DataFrame:
+    """docs with wide binary."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide = pa.array([wide_fingerprint(t) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, wide], [*b.schema.names, "wide"])
+
+    return docs.drop("wide").mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("wide").schema), "wide binary"]))
+
+
+def _posted(fps: DataFrame) -> DataFrame:
+    """(key, id) of all compound postings of fps (id, wide)."""
+    at = np.array(TRIPLES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE).astype(np.int64)
+            keys = x[:, at[:, 0]] << 16 | x[:, at[:, 1]] << 8 | x[:, at[:, 2]] | np.arange(len(at)) << 24
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column("id").to_numpy(), len(at)))], ["key", "id"])
+
+    return fps.mapInArrow(run, "key long, id long")
+
+
+def wide_near(a: np.ndarray, b: np.ndarray, shared_bytes: int, bits: int) -> np.ndarray:
+    """Of rows of bytes side by side: the shared positions are tallied, pairs under the guaranteed number dropped, the rest verified."""
+    out = (a == b).sum(axis=-1) >= shared_bytes
+    out[out] = np.bitwise_count(a[out] ^ b[out]).sum(axis=-1) <= bits
+    return out
+
+
+def _verified(pairs: DataFrame, fps: DataFrame, shared_bytes: int, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, WIDE) for c in ("wa", "wb"))
+            yield b.select(["a", "b"]).filter(pa.array(wide_near(x, y, shared_bytes, bits)))
+
+    both = pairs.distinct().join(fps.select(F.col("id").alias("a"), F.col("wide").alias("wa")), "a").join(fps.select(F.col("id").alias("b"), F.col("wide").alias("wb")), "b")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def wide_links(fps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges that connect what the near pairs of fps (id, wide) connect, as far as they meet in a list.
+
+    The pairs of a short list are compared. The members of a long one are first compared with one of
+    them; then, in blocks, those that aren't connected yet, with all others: what is connected already
+    needs no comparison, so large families of copies cost little more than their size.
+    """
+    least, most = bounds(similarity)
+    posts = shared.cut(_posted(fps))
+    sizes = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    listed = shared.cut(posts.join(sizes, "key"))
+    short = listed.where(F.col("n") <= SHORT).groupBy("key").agg(F.collect_list("id").alias("all"))
+    pairs = short.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda y: y > F.col("a"))).alias("b"))
+    long = listed.where(F.col("n") > SHORT)
+    stars = long.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    edges = shared.cut(_verified(pairs.union(stars), fps, least, most))
+    if long.isEmpty():
+        return edges
+    roots = shared.components(edges)
+    of = long.join(roots, long["id"] == roots["node"], "left").select("key", "n", "id", F.coalesce("root", "id").alias("root"))
+    mixed = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    rest = of.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root").join(fps, "id")
+
+    def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        wide, root, own, ids = np.frombuffer(b"".join(g["wide"]), np.uint8).reshape(-1, WIDE), g["root"].to_numpy(), g["own"].to_numpy(), g["id"].to_numpy()
+        left, right, out = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2]), []
+        for x in left:
+            y = right[root[right] != root[x]]
+            y = y[wide_near(np.broadcast_to(wide[x], (len(y), WIDE)), wide[y], least, most)]
+            if len(y):
+                out += [(ids[x], k) for k in ids[y[np.unique(root[y], return_index=True)[1]]]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return edges.union(rest.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near copies, the one with the smallest id; null ids are larger than all others.
+
+    Near copies: shingles of five words, similarity of their sets as the fingerprints estimate it.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    large = F.lit((1 << 63) - 1)
+    each = shared.cut(_with_wide(rows).select(F.coalesce("doc_id", large).alias("doc"), "wide"))
+    fps = shared.cut(each.groupBy("wide").agg(F.min("doc").alias("least")).withColumn("id", F.monotonically_increasing_id()))
+    roots = shared.components(wide_links(fps.select("id", "wide"), similarity))
+    of = fps.join(roots, fps["id"] == roots["node"], "left").select("wide", "least", "id", F.coalesce("root", "id").alias("root"))
+    best = of.groupBy("root").agg(F.min(F.struct("least", "id")).alias("best"))
+    kept = of.join(best, "root").where("id = best.id").select(F.col("least").alias("doc"), F.xxhash64("wide").alias("print"), "wide")
+    lost = each.join(kept.select("doc", "wide", F.lit(True).alias("is_kept")), ["doc", "wide"], "left").where("is_kept is null").select("doc", F.xxhash64("wide").alias("print")).distinct()
+    marked = _with_wide(docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), large))).withColumn("_print", F.xxhash64("wide"))
+    left = marked.join(lost, (F.col("_doc") == F.col("doc")) & (F.col("_print") == F.col("print")), "left_anti")
+    return left.dropDuplicates(["_doc", "_print"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
