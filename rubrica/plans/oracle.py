@@ -195,7 +195,7 @@ BASE = f"WITH {WORDS}, {GENS}, {BOUND}, {RESULTS} "
 
 
 def rates(by: str, src: str = "ev", ok: str = "all_passed", where: str = "true", more: str = "") -> str:
-    return f"{BASE} SELECT {by}, count(*) AS n_total, count_if({ok}) AS n_pass, {more} count_if({ok})::DOUBLE / count(*) AS rate FROM {src} WHERE {where} GROUP BY ALL"
+    return f"{BASE} SELECT {by}, count(*) AS n_total, count_if({ok})::BIGINT AS n_pass, {more} count_if({ok})::DOUBLE / count(*) AS rate FROM {src} WHERE {where} GROUP BY ALL"
 
 
 def gap(by: str) -> str:
@@ -223,7 +223,7 @@ def sql() -> dict[str, str]:
         "generations": f"{gx} SELECT gen_id, model, mode, level, vocab_level, passage_id, question, answer, error, raw_response FROM fx_gens",
         "evaluated_records": f"{BASE} SELECT gen_id, n AS n_constraints, all_passed, CASE WHEN n = 0 THEN 0.0 ELSE n_pass::DOUBLE / n END AS pass_rate FROM ev",
         "evaluated_results": f"{BASE} SELECT gen_id, id, tier, passed, score FROM res",
-        "prompt_strict": rates("model, mode"), "prompt_loose": rates("model, mode", ok="loose", more="count_if(n = 0) AS n_empty,"),
+        "prompt_strict": rates("model, mode"), "prompt_loose": rates("model, mode", ok="loose", more="count_if(n = 0)::BIGINT AS n_empty,"),
         "prompt_pass_rate": rates("model, mode"),
         "constraint_strict": rates("model, mode", "res", "passed"), "constraint_loose": rates("model, mode", "res", f"score >= {v.LOOSE}"),
         "by_level": rates("model, mode, level"), "by_subject": rates("model, mode, coalesce(subject, 'unknown') AS subject"),
@@ -234,7 +234,7 @@ def sql() -> dict[str, str]:
             c AS (SELECT model, count_if(passed)::DOUBLE / count(*) AS constraint_strict, count_if(score >= {v.LOOSE})::DOUBLE / count(*) AS constraint_loose FROM res WHERE mode = 'standard' GROUP BY 1)
             SELECT g.*, standard_loose, constraint_strict, constraint_loose, row_number() OVER (ORDER BY gap, model)::INT AS rank FROM g LEFT JOIN l USING (model) LEFT JOIN c USING (model)""",
         "running_progress": f"{BASE} SELECT * FROM (SELECT model, mode, row_number() OVER w AS done, sum(all_passed::INT) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS passed FROM ev WINDOW w AS (PARTITION BY model, mode ORDER BY gen_id)) WHERE done % 10 = 0",
-        "complete_files": f"{gx} SELECT model, mode, count(*) AS n, count_if(error IS NULL) AS n_ok, count_if(error IS NULL) >= 20 AS complete FROM fx_gens GROUP BY ALL",
+        "complete_files": f"{gx} SELECT model, mode, count(*) AS n, count_if(error IS NULL)::BIGINT AS n_ok, count_if(error IS NULL) >= 20 AS complete FROM fx_gens GROUP BY ALL",
         "ready_models": f"{gx} SELECT model, count(*)::BIGINT AS modes, max(error_rate) AS error_rate, count(*) = 2 AND max(error_rate) <= {v.MAX_ERRORS} AS ready FROM (SELECT model, mode, count_if(error IS NOT NULL)::DOUBLE / count(*) AS error_rate FROM fx_gens GROUP BY ALL) GROUP BY ALL",
         "work_list": "SELECT doc_id AS passage_id, level::INT AS level, 'standard' AS mode FROM documents, range(1, 7) r(level)",
         "resume_anti_join": f"{gx} SELECT p.passage_id, l::INT AS level, 'adversarial' AS mode FROM fx_passages p, range(1, 7) r(l) WHERE NOT EXISTS (SELECT 1 FROM fx_gens g WHERE g.passage_id = p.passage_id AND g.level = l AND g.mode = 'adversarial' AND g.error IS NULL)",
