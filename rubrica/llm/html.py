@@ -162,20 +162,25 @@ def cut(z: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
         left[a][b] = left[a].get(b, 0) + c
         left[b][a] = left[b].get(a, 0) + c
     sources = deque(i for i in range(n) if supply[i])
+    closed = [False] * n  # from here no room can be reached any more
     while sources:
         s = sources[0]
+        if closed[s]:
+            sources.popleft()
+            continue
         came, queue, end = {s: s}, deque([s]), -1
         while queue and end < 0:
             u = queue.popleft()
             for v, c in left[u].items():
-                if c > 0 and v not in came:
+                if c > 0 and v not in came and not closed[v]:
                     came[v] = u
                     if room[v]:
                         end = v
                         break
                     queue.append(v)
         if end < 0:
-            sources.popleft()
+            for v in came:
+                closed[v] = True
             continue
         path, v = [], end
         while v != s:
