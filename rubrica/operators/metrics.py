@@ -106,11 +106,26 @@ def ready(gens: DataFrame, most_errors: float = v.MAX_ERRORS) -> DataFrame:
     return models.withColumn("ready", (F.col("modes") == 2) & (F.col("error_rate") <= most_errors))
 
 
+def prompt_rates(e: DataFrame, by: list[str]) -> DataFrame:
+    """Strict and loose rates in one aggregation."""
+    n = F.count("*")
+    return e.groupBy(*by).agg(
+        n.alias("n_total"), F.count_if("all_passed").alias("n_pass"), F.try_divide(F.count_if("all_passed"), n).alias("strict"),
+        F.try_divide(F.count_if(loose_all()), n).alias("loose"), F.count_if(F.size("constraints") == 0).alias("n_empty"),
+    )
+
+
 def leaderboard(e: DataFrame) -> DataFrame:
-    """Ascending gap, then name. One row a model, so the ranking window is small."""
-    loose = prompt_loose(e).where("mode = 'standard'").select("model", F.col("rate").alias("standard_loose"))
-    cs = exploded(e).where("mode = 'standard'").groupBy("model").agg(F.avg(F.col("passed").cast("int")).alias("constraint_strict"), F.avg((F.col("score") >= v.LOOSE).cast("int")).alias("constraint_loose"))
-    rows = gap(e, ["model"]).join(loose, "model", "left").join(cs, "model", "left")
+    """Ascending gap, then name. One aggregation over the records; one row a model, so the ranking window is small."""
+    std, adv = F.col("mode") == "standard", F.col("mode") == "adversarial"
+    rate = lambda m: F.coalesce(F.try_divide(F.count_if(m & F.col("all_passed")), F.count_if(m)), F.lit(0.0))
+    hits = lambda ok: F.sum(F.when(std, F.size(F.filter("constraints", ok))))
+    total = F.sum(F.when(std, F.size("constraints")))
+    rows = e.groupBy("model").agg(
+        rate(std).alias("standard"), rate(adv).alias("adversarial"), F.try_divide(F.count_if(std & loose_all()), F.count_if(std)).alias("standard_loose"),
+        F.try_divide(hits(lambda c: c["passed"]), total).alias("constraint_strict"), F.try_divide(hits(lambda c: c["score"] >= v.LOOSE), total).alias("constraint_loose"),
+    )
+    rows = rows.withColumn("gap", F.col("standard") - F.col("adversarial"))
     return rows.withColumn("rank", F.row_number().over(Window.orderBy("gap", "model")))
 
 

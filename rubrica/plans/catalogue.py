@@ -14,9 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fx.evaluations(spark, sf_dir)
-    by = ["model", "mode", "level"]
-    return metrics.prompt_strict(e, by).withColumnRenamed("rate", "strict").join(metrics.prompt_loose(e, by).select(*by, F.col("rate").alias("loose"), "n_empty"), by)
+    return metrics.prompt_rates(fx.evaluations(spark, sf_dir), ["model", "mode", "level"])
 
 
 def _docs(make: Callable[[DataFrame], DataFrame]) -> Query:
