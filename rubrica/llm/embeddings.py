@@ -142,12 +142,12 @@ def links(vectors: DataFrame, dim: int, rows: int, threshold: float = THRESHOLD)
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """From (vec_id, embedding): vec_id, n_links, component_id and kept of every row."""
     rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
     # scaled by the largest component first, so that no square overflows or vanishes
-    sound = rows.withColumn("largest", largest).where(F.col("largest").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & (F.col("largest") > 0) & (F.col("largest") < float("inf")))
-    sound = sound.withColumn("embedding", F.transform("embedding", lambda x: x / F.col("largest"))).withColumn("norm", norm)
-    sound = sound.select("vec_id", F.transform("embedding", lambda x: x / F.col("norm") + F.lit(0.0)).alias("unit"))
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
+    is_sound = F.coalesce((largest > 0) & (largest < float("inf")) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+    scaled = shared.let(largest, lambda m: F.transform("embedding", lambda x: x / m))
+    unit = shared.let(scaled, lambda e: shared.let(F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.transform(e, lambda x: x / n + F.lit(0.0))))
+    sound = rows.where(is_sound).select("vec_id", unit.alias("unit"))
     same = sound.groupBy("unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     same = shared.cut(same.withColumn("key", F.monotonically_increasing_id()))
     shape = same.agg(F.count("*"), F.max(F.size("unit"))).first()
@@ -161,7 +161,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least = each.groupBy("root").agg(F.min("least").alias("component_id"))
     each = each.join(least, "root").select("unit", (F.coalesce("far", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     linked = sound.join(each, "unit").select("vec_id", "n_links", "component_id")
-    unsound = rows.withColumn("largest", largest).where(~F.coalesce(F.col("largest").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & (F.col("largest") > 0) & (F.col("largest") < float("inf")), F.lit(False)))
+    unsound = rows.where(~is_sound)
     out = linked.union(unsound.select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -18,11 +18,10 @@ match nothing. Rows that repeat an id give repeated rows. Several templates may
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import shared
+from .shared import let
 
 WORDS, WINDOW, BIN_BITS, CONTAINED = 5, 12, 20, 0.8
 
@@ -59,11 +58,6 @@ def _indices(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body uses it (columns would be inlined into lambdas and computed for each element)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def shingle_hashes(words_hashes: Column) -> Column:
     return F.transform(_indices(F.size(words_hashes) - (WORDS - 1)), lambda i: F.xxhash64(*(F.get(words_hashes, i + k) for k in range(WORDS))))
 
