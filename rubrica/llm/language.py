@@ -11,7 +11,7 @@ Models are fitted on a bounded sample: of each language at most ``FIT`` document
 more for the bounds, taken by a hash of the id. Every other step covers all rows and whole texts.
 
 Texts that are null or have no letter: ``und``, score 0, rejected. Equal entropies: the language first
-in the alphabet. Without any labelled document everything is ``und``. Repeated rows get equal values.
+in the alphabet. Without any labelled document everything is ``und``. Null ids aren't held out. Repeated rows get equal values.
 """
 
 from __future__ import annotations
@@ -175,12 +175,12 @@ class Identifier:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, fit: int = FIT, calibrate: int = CALIBRATE) -> Identifier:
     """From the rows of docs (doc_id, text, lang) that have a text and a lang and aren't held out; reads no other column."""
-    rows = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    rows = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Identifier({})
