@@ -33,7 +33,7 @@ FIT, CALIBRATE, ORDER = 300, 150, 5
 #: Bits a character above a language's mean that are never rejected; chance deviations allowed; characters that a score counts at most.
 SLACK, DEVIATIONS, SCORED = 2.0, 4.0, 200
 WORDS = re.compile(r"[^\W\d_]+")
-KEPT = 300_000
+KEPT = 200_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -207,7 +207,7 @@ def train(docs: DataFrame, fit: int = FIT, calibrate: int = CALIBRATE) -> Identi
         return made
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in shared.slices(batches):
             got, at = made.entropies(b.column("text").to_pylist()), [made.langs.index(x) if x in made.langs else -1 for x in b.column("lang").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([float(h[i]) for (h, _), i in zip(got, at)], pa.float64()), pa.array([n for _, n in got], pa.float64())], ["lang", "h", "n"])
 
@@ -230,7 +230,7 @@ def identify(docs: DataFrame, learned: Identifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
+        for b in shared.slices(batches):
             lang, score, bits, no = zip(*m.predict(b.column("text").to_pylist())) if b.num_rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(no, pa.bool_())], [*b.schema.names, "lang_pred", "score", "bits_per_char", "rejected"])
 

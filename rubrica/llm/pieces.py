@@ -38,7 +38,7 @@ from . import shared
 
 MARK = "▁"
 #: Chunks kept by a Python worker, and the longest that is kept.
-KEPT, KEPT_CHARS, PAIRS = 1_200_000, 64, 2_000_000
+KEPT, KEPT_CHARS, PAIRS = 400_000, 64, 1_000_000
 
 
 class IntMap:
@@ -390,19 +390,13 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
     """docs with n_tokens long, piece_ids array<int> and decoded string. The general form; one pass, no shuffle."""
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(path)
-        for b in parts(batches):
+        for b in shared.slices(batches):
             ids = m.encode_all(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([m.shown_text(x) for x in ids], pa.string())], [*b.schema.names, "n_tokens", "piece_ids", "decoded"])
 
@@ -416,7 +410,7 @@ def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(path)
-        for b in parts(batches):
+        for b in shared.slices(batches):
             rows = [(len(x), hashlib.sha256(m.decimals(x).encode()).hexdigest(), hashlib.sha256(m.shown_text(x).encode()).hexdigest()) for x in m.encode_all(b.column("text").to_pylist())]
             n, a, d = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
