@@ -149,13 +149,30 @@ class Encoder:
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        self.kept = Chunks(tok)
+        self.tok, self.kept = tok, Chunks(tok)
         self.cut = re.compile(r"(?= \S)").split
+        # ids of the tokens that begin with a space, which byte-level vocabularies write so
+        self.spaced = np.zeros(max(tok.get_vocab().values()) + 1, bool)
+        self.spaced[[i for t, i in tok.get_vocab().items() if t.startswith("\u0120")]] = True
+
+    def learn(self, fresh: set[str]) -> None:
+        """Keeps the ids of new chunks of a space and a word; many go through the library as one text, in which each begins with the only kind of token that begins with a space."""
+        words = [p for p in fresh if p[:1] == " " and len(p) <= KEPT_CHARS and len(p.split()) == 1 and not p[-1].isspace() and not p[1].isspace()]
+        groups = [words[at : at + 256] for at in range(0, len(words), 256)]
+        for group, e in zip(groups, self.tok.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(group) and not starts[0]:
+                raw, ends = ids.tobytes(), (4 * np.append(starts[1:], len(ids))).tolist()
+                for p, i, j in zip(group, (4 * starts).tolist(), ends):
+                    self.kept.put(p, raw[i:j])
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        end, of = struct.pack("<I", END), self.kept.__getitem__
-        return [b"".join(map(of, self.cut(_clean(t)))) + end if t else end for t in texts]
+        end, kept = struct.pack("<I", END), self.kept
+        parts = [self.cut(_clean(t)) if t else [] for t in texts]
+        self.learn({p for some in parts for p in some if p not in kept})
+        return [b"".join(map(kept.__getitem__, some)) + end for some in parts]
 
 
 class Chunks(dict):
@@ -166,13 +183,15 @@ class Chunks(dict):
         self.tok = tok
 
     def __missing__(self, chunk: str) -> bytes:
-        made = np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.put(chunk, np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
+
+    def put(self, chunk: str, ids: bytes) -> bytes:
         if len(chunk) <= KEPT_CHARS:
             if len(self) >= KEPT:
                 self.clear()
                 self[""] = b""
-            self[chunk] = made
-        return made
+            self[chunk] = ids
+        return ids
 
 
 def _clean(text: str) -> str:
