@@ -100,29 +100,34 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# Near copies by similarity of shingle sets: the same index on wide fingerprints.
+# Near copies by similarity of shingle sets: an exact index of shingles, wide fingerprints as a filter.
 
 WIDE, NEAR_WORDS, SIMILARITY = 128, 5, 0.8
-#: Byte positions of the compound postings.
-TRIPLES = [(i, (i + 5) % WIDE, (i + 17) % WIDE) for i in range(WIDE)]
-#: Longest list whose pairs are tallied directly, and rows of a block of a longer one.
-SHORT, BLOCK = 64, 512
+#: Longest list whose pairs are compared directly, and rows and bytes of a block of a longer one.
+SHORT, BLOCK, BLOCK_BYTES = 64, 512, 1 << 24
+#: Sets with fewer shingles are compared without fingerprints, whose errors are only known for larger ones.
+FEW = 64
+#: One text in SAMPLE is counted for common shingles; seen OFTEN there they come last in the order. No more than COMMON are kept.
+SAMPLE, OFTEN, COMMON = 16, 16, 1 << 17
 
 
-def bounds(similarity: float = SIMILARITY, slack: float = 1.0) -> tuple[int, int]:
-    """Bytes that a pair of that similarity shares at least, and bits in which it differs at most, but for chance (slack: deviations for the bits; five for the bytes)."""
+def bounds(similarity: float = SIMILARITY, slack: float = 8.0) -> int:
+    """Bits in which a pair of that similarity differs at most, but for chance (slack: deviations above the mean)."""
     flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    same = (1 - flip) ** 8
-    return max(1, int(WIDE * same - 5 * math.sqrt(WIDE * same * (1 - same)))), int(8 * WIDE * flip + slack * math.sqrt(8 * WIDE * flip * (1 - flip)))
+    return int(8 * WIDE * flip + slack * math.sqrt(8 * WIDE * flip * (1 - flip)))
 
 
-def wide_fingerprint(text: str | None, size: int = NEAR_WORDS) -> bytes:
-    """1024 bits, of the distinct shingles; zeros for a text without words."""
+def shingle_set(text: str | None, size: int = NEAR_WORDS) -> np.ndarray:
+    """XXH64 values of the distinct shingles, ascending; none for a text without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return bytes(WIDE)
+        return np.zeros(0, "<u8")
     shingles = map(b" ".join, zip(*(words[k:] for k in range(size)))) if len(words) > size else [b" ".join(words)]
-    base = np.unique(np.array([xxh64_intdigest(s, 42) for s in shingles], dtype="<u8"))
+    return np.unique(np.array([xxh64_intdigest(s, 42) for s in shingles], dtype="<u8"))
+
+
+def wide_fingerprint(base: np.ndarray) -> bytes:
+    """1024 bits, of a set of shingles; zeros for none."""
     ones = np.zeros(8 * WIDE, dtype=np.int32)
     steps = np.arange(1, WIDE // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(base), 255):
@@ -134,78 +139,133 @@ def wide_fingerprint(text: str | None, size: int = NEAR_WORDS) -> bytes:
     return np.packbits(2 * ones > len(base), bitorder="little").tobytes()
 
 
-def _with_wide(docs: DataFrame) -> DataFrame:
-    """docs with wide binary."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            wide = pa.array([wide_fingerprint(t) for t in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, wide], [*b.schema.names, "wide"])
+def _share(n: int, similarity: float) -> int:
+    """The least whole number that isn't under similarity times n."""
+    return -(-n * round(similarity * 10**6) // 10**6)
 
-    return docs.drop("wide").mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("wide").schema), "wide binary"]))
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have that Jaccard similarity, exactly."""
+    if min(len(a), len(b)) < _share(max(len(a), len(b)), similarity):
+        return False
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    shared_ = int((both[1:] == both[:-1]).sum())
+    return shared_ >= _share(len(both) - shared_, similarity)
 
-def _posted(fps: DataFrame) -> DataFrame:
-    """(key, id) of all compound postings of fps (id, wide)."""
-    at = np.array(TRIPLES)
 
+def _print(base: np.ndarray) -> int:
+    return int(np.array(xxh64_intdigest(base.tobytes(), 7), np.uint64).view(np.int64))
+
+
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, counts) of shingles that are common in a sample of rows (th, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE).astype(np.int64)
-            keys = x[:, at[:, 0]] << 16 | x[:, at[:, 1]] << 8 | x[:, at[:, 2]] | np.arange(len(at)) << 24
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column("id").to_numpy(), len(at)))], ["key", "id"])
+            for some in shared.slices(iter([b])):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<u8"), *map(shingle_set, some.column("text").to_pylist())]).view(np.int64))], ["h"])
+
+    some = rows.where(F.pmod("th", F.lit(SAMPLE)) == 0).dropDuplicates(["th"]).select("text").mapInArrow(run, "h long")
+    found = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    hashes = np.array([r["h"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r["n"] for r in found], np.int64)[order]
+
+
+def prefix(base: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order (times counted as common, hash). Two sets of that similarity share at least one of these."""
+    n = len(base) - _share(len(base), similarity) + 1
+    if not len(base):
+        return base
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], base), len(common[0]) - 1)
+        times = np.where(common[0][at] == base, common[1][at], 0)
+        base = base[np.argsort(times, kind="stable")]
+    return base[:n]
+
+
+def _with_prints(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """(doc, th, id, size, keys) of rows (doc, th, text): id stands for the set of shingles, keys are its prefix."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in shared.slices(iter([whole])):
+                sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+                keys = [prefix(x, common, similarity).view(np.int64) for x in sets]
+                yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("th"), pa.array([_print(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "th", "id", "size", "keys"])
 
-    return fps.mapInArrow(run, "key long, id long")
+    return rows.select("doc", "th", "text").mapInArrow(run, "doc long, th long, id long, size int, keys array<long>")
 
 
-def wide_near(a: np.ndarray, b: np.ndarray, shared_bytes: int, bits: int) -> np.ndarray:
-    """Of rows of bytes side by side: the shared positions are tallied, pairs under the guaranteed number dropped, the rest verified."""
-    out = (a == b).sum(axis=-1) >= shared_bytes
-    out[out] = np.bitwise_count(a[out] ^ b[out]).sum(axis=-1) <= bits
-    return out
+def _with_sets(rows: DataFrame) -> DataFrame:
+    """(id, wide, base) of rows (id, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in shared.slices(iter([whole])):
+                sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(map(wide_fingerprint, sets)), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "wide", "base"])
 
+    return rows.select("id", "text").mapInArrow(run, "id long, wide binary, base binary")
 
-def _verified(pairs: DataFrame, fps: DataFrame, shared_bytes: int, bits: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _verified(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) those that have the similarity: fingerprints drop what is far, the sets of the rest are compared."""
+    most = bounds(similarity)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, WIDE) for c in ("wa", "wb"))
-            yield b.select(["a", "b"]).filter(pa.array(wide_near(x, y, shared_bytes, bits)))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, WIDE) for c in ("va", "vb"))
+            few = np.minimum(b.column("na").to_numpy(), b.column("nb").to_numpy()) < FEW
+            yield b.select(["a", "b"]).filter(pa.array(few | (np.bitwise_count(x ^ y).sum(axis=-1) <= most)))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select(["a", "b"]).filter(pa.array([similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), similarity) for x, y in zip(b.column("va"), b.column("vb"))], pa.bool_()))
+
+    def both(of: DataFrame, column: str) -> DataFrame:
+        for c in "ab":
+            of = of.join(fps.select(F.col("id").alias(c), (F.octet_length("base") / 8).cast("int").alias(f"n{c}"), F.col(column).alias(f"v{c}")), c)
+        return of
 
-    both = pairs.distinct().join(fps.select(F.col("id").alias("a"), F.col("wide").alias("wa")), "a").join(fps.select(F.col("id").alias("b"), F.col("wide").alias("wb")), "b")
-    return both.mapInArrow(run, "a long, b long")
+    return both(both(pairs.distinct(), "wide").mapInArrow(close, "a long, b long"), "base").mapInArrow(exact, "a long, b long")
 
 
-def wide_links(fps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges that connect what the near pairs of fps (id, wide) connect, as far as they meet in a list.
+def set_links(listed: DataFrame, fps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges between ids that connect exactly what the pairs of that similarity connect, from listed (key, id), no row twice, and fps (id, wide, base).
 
     The pairs of a short list are compared. The members of a long one are first compared with one of
     them; then, in blocks, those that aren't connected yet, with all others: what is connected already
     needs no comparison, so large families of copies cost little more than their size.
     """
-    least, most = bounds(similarity)
-    posts = shared.cut(_posted(fps))
-    sizes = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    listed = shared.cut(posts.join(sizes, "key"))
+    most = bounds(similarity)
+    sizes = listed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    listed = shared.cut(listed.join(sizes, "key"))
     short = listed.where(F.col("n") <= SHORT).groupBy("key").agg(F.collect_list("id").alias("all"))
     pairs = short.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda y: y > F.col("a"))).alias("b"))
     long = listed.where(F.col("n") > SHORT)
     stars = long.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    edges = shared.cut(_verified(pairs.union(stars), fps, least, most))
+    edges = shared.cut(_verified(pairs.union(stars), fps, similarity))
     if long.isEmpty():
         return edges
     roots = shared.components(edges)
     of = long.join(roots, long["id"] == roots["node"], "left").select("key", "n", "id", F.coalesce("root", "id").alias("root"))
     mixed = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = of.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root").join(fps, "id")
+    rest = of.join(mixed, "key").join(fps, "id")
+    bytes_ = rest.groupBy("key").agg(F.sum(F.octet_length("base")).alias("bytes"))
+    rest = rest.join(bytes_, "key").withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "wide", "base")
 
     def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        wide, root, own, ids = np.frombuffer(b"".join(g["wide"]), np.uint8).reshape(-1, WIDE), g["root"].to_numpy(), g["own"].to_numpy(), g["id"].to_numpy()
+        wide, root, own, ids = np.frombuffer(b"".join(g["wide"]), np.uint8).reshape(-1, WIDE), g["root"].to_numpy().copy(), g["own"].to_numpy(), g["id"].to_numpy()
+        bases = [np.frombuffer(x, "<u8") for x in g["base"]]
+        size = np.array(list(map(len, bases)))
         left, right, out = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2]), []
         for x in left:
             y = right[root[right] != root[x]]
-            y = y[wide_near(np.broadcast_to(wide[x], (len(y), WIDE)), wide[y], least, most)]
-            if len(y):
-                out += [(ids[x], k) for k in ids[y[np.unique(root[y], return_index=True)[1]]]]
+            y = y[np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x]) - 1e-3]
+            y = y[(np.minimum(size[y], size[x]) < FEW) | (np.bitwise_count(wide[y] ^ wide[x]).sum(axis=-1) <= most)]
+            for k in y:
+                if root[k] != root[x] and similar(bases[x], bases[k], similarity):
+                    out.append((ids[x], ids[k]))
+                    root[root == root[k]] = root[x]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return edges.union(rest.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
@@ -214,20 +274,27 @@ def wide_links(fps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest id; null ids are larger than all others.
 
-    Near copies: shingles of five words, similarity of their sets as the fingerprints estimate it.
+    Near copies: pairs whose sets of distinct five-word shingles have that Jaccard similarity, and what such
+    pairs connect. Texts without words are copies of each other. Two sets of the similarity share one of
+    their first shingles in any common order; rare ones come first, so the lists of an index of these are
+    short. No pair is missed and every link is verified on the sets (of 64-bit hashes, like their ids).
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     large = F.lit((1 << 63) - 1)
-    each = shared.cut(_with_wide(rows).select(F.coalesce("doc_id", large).alias("doc"), "wide"))
-    fps = shared.cut(each.groupBy("wide").agg(F.min("doc").alias("least")).withColumn("id", F.monotonically_increasing_id()))
-    roots = shared.components(wide_links(fps.select("id", "wide"), similarity))
-    of = fps.join(roots, fps["id"] == roots["node"], "left").select("wide", "least", "id", F.coalesce("root", "id").alias("root"))
-    best = of.groupBy("root").agg(F.min(F.struct("least", "id")).alias("best"))
-    kept = of.join(best, "root").where("id = best.id").select(F.col("least").alias("doc"), F.xxhash64("wide").alias("print"), "wide")
-    lost = each.join(kept.select("doc", "wide", F.lit(True).alias("is_kept")), ["doc", "wide"], "left").where("is_kept is null").select("doc", F.xxhash64("wide").alias("print")).distinct()
-    marked = _with_wide(docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), large))).withColumn("_print", F.xxhash64("wide"))
-    left = marked.join(lost, (F.col("_doc") == F.col("doc")) & (F.col("_print") == F.col("print")), "left_anti")
-    return left.dropDuplicates(["_doc", "_print"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), large)).withColumn("_th", F.xxhash64(F.col("text").cast("string")))
+    rows = marked.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("text").cast("string").alias("text"))
+    each = shared.cut(_with_prints(rows, common_shingles(rows), similarity))
+    posts = each.select("id", F.explode("keys").alias("key")).repartition("key")
+    meet = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    listed = shared.cut(posts.join(meet, "key").select("key", "id").distinct())
+    wanted = shared.cut(each.join(listed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("th").alias("th")))
+    few = wanted.count() <= 1_000_000
+    texts = rows.select("th", "text").join(F.broadcast(wanted) if few else wanted, "th").dropDuplicates(["id"])
+    roots = shared.components(set_links(listed, shared.cut(_with_sets(texts)), similarity))
+    of = each.join(roots, each["id"] == roots["node"], "left").select("doc", "th", F.coalesce("root", "id").alias("root"))
+    best = of.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("best"))
+    lost = of.join(best, "root").where("doc <> best.doc or th <> best.th").select("doc", "th").distinct()
+    left = marked.join(lost, (F.col("_doc") == F.col("doc")) & (F.col("_th") == F.col("th")), "left_anti")
+    return left.dropDuplicates(["_doc", "_th"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -362,6 +362,31 @@ def test_near_copies(spark, monkeypatch, short, block):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [7 * i for i in range(8)] + list(range(56, 86))
 
 
+@pytest.mark.parametrize("short,block,few", [(64, 512, 64), (3, 4, 64), (3, 4, 0)])
+def test_near_copies_against_brute_force(spark, monkeypatch, short, block, few):
+    for k, v in (("SHORT", short), ("BLOCK", block), ("FEW", few or simhash.FEW), ("SAMPLE", 1 if not few else simhash.SAMPLE)):
+        monkeypatch.setattr(simhash, k, v)
+    rng = np.random.default_rng(4)
+    texts = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.choice([9, 20, 60, 100, 200])))]
+        texts.append(words)
+        for _ in range(3):  # around 0.8, on both sides of it
+            c = list(words)
+            n = max(1, int(len(c) * rng.uniform(0.02, 0.12)))
+            at = int(rng.choice([0, rng.integers(0, len(c) - n)]))
+            c[at : at + n] = [f"x{x}" for x in rng.integers(0, 5000, n)]
+            texts.append(c)
+    texts = [" ".join(t + (["one", "very", "common", "line", "of", "text"] if i // 4 % 2 else [])) for i, t in enumerate(texts)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    share = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j}
+    near = [p for p, x in share.items() if x >= 0.8]
+    assert len(near) > 20 and sum(0.7 <= x < 0.8 for x in share.values()) > 20
+    root = union_find(len(texts), near)
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(root))
+
+
 # op 9
 
 def test_language(spark, tmp_path):
