@@ -93,6 +93,13 @@ def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default: int = DEFAU
     )
 
 
+def in_slots(docs: DataFrame, **how) -> DataFrame:
+    """All rows of docs with slot and rank_in_block, sorted by the schedule over ranges of it."""
+    order = ["slot", "rank_in_block", "doc_id"]
+    kept = [c for c in docs.columns if c not in NEW]
+    return mix(docs, **how).select(*(F.col(f"`{c}`") for c in kept), "slot", "rank_in_block").repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def in_order(docs: DataFrame, **how) -> DataFrame:
     """All rows of docs, sorted by the schedule over ranges of it: files written from this, read by name, are the mixture."""
     return mix(docs, **how).repartitionByRange("slot", "rank_in_block", "doc_id").sortWithinPartitions("slot", "rank_in_block", "doc_id").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -475,3 +475,23 @@ def test_pipeline(spark):
     assert set(got.doc_id) == want and set(docs.columns) <= set(got.columns) and 0.8 * docs.count() < len(got) < docs.count()
     m = pieces.load(pieces.default_model())
     assert all(m.encode(t) == list(x) and t == d for t, x, d in zip(got.text[:20], got.piece_ids[:20], got.decoded[:20]))
+
+
+def test_pipeline_emits_the_mixture(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[2:])
+    rng = np.random.default_rng(6)
+    rows = [(i, "w" * int(rng.integers(1000, 30000)), "en", ("src0", "src1", "src3")[i % 3], 0) for i in range(600)]
+    got = corpus_pipeline.run(spark, save(spark.createDataFrame(rows, DOCS).repartition(5), tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(600))
+    place = [(r["slot"], r["rank_in_block"]) for r in got]
+    assert place == sorted(place)
+    weights = {"src0": 120, "src1": 80, "src3": 20}
+    total, done = {s: sum(len(r["text"]) + mixing.ROW_BYTES for r in got if r["source"] == s) for s in weights}, dict.fromkeys(weights, 0)
+    for r in got:  # until a source runs out each has its share to within a block and a row
+        done[r["source"]] += len(r["text"]) + mixing.ROW_BYTES
+        if any(done[s] + 2 * mixing.BLOCK_BYTES > total[s] for s in weights):
+            break
+        assert all(abs(done[s] - sum(done.values()) * w / 220) < 2 * mixing.BLOCK_BYTES for s, w in weights.items())
+    assert sum(done.values()) > 20 * mixing.BLOCK_BYTES
