@@ -25,9 +25,13 @@ from . import shared
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s>]+)))?")
+#: What is worth parsing attributes for.
+HIDES, GONE = re.compile(r"hidden|style", re.I), re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NEVER = frozenset("script style noscript template iframe object svg canvas math select option textarea button title head audio video".split())
+#: Any other start tag, or text, ends a head that isn't closed.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag ends an open element of these first, up to the given boundary.
@@ -40,6 +44,13 @@ NAMED_BAD, NAMED_GOOD = -9.0, 5.0
 NEIGHBOURS, SIBLINGS, COUSINS, SCALE = 0.6, 0.8, 0.3, 64
 
 
+def is_hidden(raw: str) -> bool:
+    """Whether the attributes of a start tag hide its element: one named hidden, or a style that displays nothing."""
+    if not HIDES.search(raw):
+        return False
+    return any((name := m[1].lower()) == "hidden" or name == "style" and GONE.search(unescape(m[2] or m[3] or m[4] or "")) for m in ATTRIBUTE.finditer(raw))
+
+
 class Block:
     __slots__ = ("parts", "linked", "path", "place", "heading")
 
@@ -59,6 +70,8 @@ def blocks(html: str) -> list[tuple[str, Block]]:
 
     def text(s: str) -> None:
         nonlocal now
+        if stack[-1][0] == "head" and not s.isspace():
+            pop(len(stack) - 1)
         if stack[-1][3] or not s:
             return
         if now is None:
@@ -89,6 +102,8 @@ def blocks(html: str) -> list[tuple[str, Block]]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if not m[1] and stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop(len(stack) - 1)
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -129,7 +144,7 @@ def blocks(html: str) -> list[tuple[str, Block]]:
             named = " ".join(a or b or c for a, b, c in NAMED.findall(m[3]))
             if named and place > -9:
                 place = NAMED_BAD if BAD.search(named) and tag not in ("body", "html", "article", "main") else max(place, NAMED_GOOD) if GOOD.search(named) else place
-            hidden = hidden or bool(HIDDEN.search(m[3]))
+            hidden = hidden or is_hidden(m[3])
         if m[3].endswith("/") and tag not in BLOCKS and tag not in ("a", "b", "i", "em", "span", "strong"):
             continue
         if tag in RAW:

@@ -83,6 +83,17 @@ def test_html_cases():
     assert len(html.main_text("<article>" + "<p>word</p>" * 20000)) == 20000 * 5 - 1
 
 
+def test_html_open_head_and_hidden_attributes():
+    for head in ("<head><title>T</title>", "<head><meta charset=utf-8><script>x</script><style>y</style>", "<head><title>T</title></head>", "<head><template><p>no</p></template>"):
+        for body in ("<body><article><p>One text.</p></article>", "<article><p>One text.</p></article>", "<main>One text.</main>"):
+            assert html.main_text(f"<html>{head}{body}") == "One text."
+    assert html.main_text("<head><title>T</title>One text, and the rest of the article <b>here</b>.<article><p>More.</p></article>").endswith("More.")
+    for shown in ('title="the hidden cost"', "title='a hidden gem'", 'data-x="display:none"', "alt=hidden", 'style="color:red; --x: display"', 'class="hidden-part"'):
+        assert html.main_text(f"<article><section {shown}><p>One text.</p></section></article>") == "One text."
+    for gone in ("hidden", "id=x hidden", 'HIDDEN=""', "hidden='until-found'", 'style="color:red;display : none"', "style=display:none", "style='display:none!important'"):
+        assert html.main_text(f"<article><section {gone}><p>No text.</p></section><p>One text.</p></article>") == "One text."
+
+
 @given(st.lists(st.integers(-20, 20), min_size=1, max_size=8), st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7), st.integers(0, 9)), max_size=12))
 @settings(max_examples=150, deadline=None)
 def test_minimum_cut(z, raw):
