@@ -16,15 +16,17 @@ spanning links, never their pairs. A bucket over ``BLOCK`` rows is cut into bloc
 them are a task of their own, so that no group is unbounded; what n_links asks for, all links of a
 dense group, is quadratic work in it by its nature. Equal vectors are one vector with a count.
 
-Vectors that are null, empty, zero, of another length than most (none may differ within a table), or
-that hold null or non-finite components link with nothing. Rows that repeat an id are separate
-vectors of one id: their links are summed. Null ids keep their row.
+Vectors of different lengths never link; those of each length are compared among themselves, with
+rotations and bands of their own. Vectors that are null, empty, zero, or that hold null or non-finite
+components link with nothing. Rows that repeat an id are separate vectors of one id: their links are
+summed. Null ids keep their row.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,7 @@ def plan(rows: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tup
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
+@lru_cache(16)
 def rotations(dim: int, bits: int) -> np.ndarray:
     """(dim, whole rotations): enough orthogonal ones, side by side, for so many bits."""
     rng = np.random.default_rng(SEED)
@@ -90,30 +93,36 @@ def _forest(n: int, pairs: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int,
             yield x, y
 
 
-def links(vectors: DataFrame, dim: int, rows: int, threshold: float = THRESHOLD) -> DataFrame:
-    """From (key long, n long, unit array<double>), keys distinct: (a, b, n): n links that a has in some bucket (b null), or a spanning link."""
-    bits, tables = plan(rows, threshold)
-    turn = rotations(dim, bits * tables)
+def links(vectors: DataFrame, rows: dict[int, int], threshold: float = THRESHOLD) -> DataFrame:
+    """From (key long, n long, unit array<double>), keys distinct, and the number of vectors by length: (a, b, n): n links that a has in some bucket (b null), or a spanning link. Lengths that aren't in rows are left out."""
+    plans = {dim: plan(m, threshold) for dim, m in rows.items()}
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
-                some = b.slice(at, 1024)
-                units = some.column("unit").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                keys = band_keys(units, turn, bits, tables)
-                raw = pa.array([u.tobytes() for u in units], pa.binary())
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), t, np.int32)), pa.array(keys[:, t]), some.column("key"), some.column("n"), raw], ["t", "band", "key", "n", "unit"])
-
-    posts = vectors.mapInArrow(post, "t int, band long, key long, n long, unit binary")
-    sizes = posts.groupBy("t", "band").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    met = posts.join(sizes.drop("m"), ["t", "band"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+                part = b.slice(at, 1024)
+                sizes = part.column("unit").value_lengths().to_numpy(zero_copy_only=False)
+                for dim in np.unique(sizes).tolist():
+                    some = part if (sizes == dim).all() else part.filter(pa.array(sizes == dim))
+                    bits, tables = plans[dim]
+                    units = some.column("unit").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    keys = band_keys(units, rotations(dim, bits * tables), bits, tables)
+                    raw = pa.array([u.tobytes() for u in units], pa.binary())
+                    for t in range(tables):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), dim, np.int32)), pa.array(np.full(len(units), t, np.int32)), pa.array(keys[:, t]), some.column("key"), some.column("n"), raw], ["dim", "t", "band", "key", "n", "unit"])
+
+    posts = vectors.where(F.size("unit").isin(list(rows))).mapInArrow(post, "dim int, t int, band long, key long, n long, unit binary")
+    at_ = ["dim", "t", "band"]
+    sizes = posts.groupBy(*at_).agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    met = posts.join(sizes.drop("m"), at_).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     # block i meets blocks i, i + 1, ... : each two once
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("t", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "unit")
+    met = met.select(*at_, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "unit")
 
     def meet(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        t, _, i, j = (int(x) for x in key)
+        dim, t, _, i, j = (int(x) for x in key)
+        bits, tables = plans[dim]
+        turn = rotations(dim, bits * tables)
         units = np.frombuffer(b"".join(g["unit"]), np.float64).reshape(-1, dim)
         keys, own, n, names = band_keys(units, turn, bits, tables), g["own"].to_numpy(), g["n"].to_numpy(), g["key"].to_numpy()
         left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
@@ -136,7 +145,7 @@ def links(vectors: DataFrame, dim: int, rows: int, threshold: float = THRESHOLD)
             out += ((int(names[x]), int(names[y]), 0) for x, y in _forest(len(g), (np.concatenate(xs), np.concatenate(ys))))
         return pd.DataFrame(out, columns=["a", "b", "n"]).astype({"a": "int64", "b": "Int64", "n": "int64"})
 
-    return met.groupBy("t", "band", "i", "j").applyInPandas(meet, "a long, b long, n long")
+    return met.groupBy(*at_, "i", "j").applyInPandas(meet, "a long, b long, n long")
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -150,11 +159,11 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sound = rows.where(is_sound).select("vec_id", unit.alias("unit"))
     same = sound.groupBy("unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     same = shared.cut(same.withColumn("key", F.monotonically_increasing_id()))
-    shape = same.agg(F.count("*"), F.max(F.size("unit"))).first()
+    shapes = {r["dim"]: r["m"] for r in same.groupBy(F.size("unit").alias("dim")).agg(F.count("*").alias("m")).collect()}
     none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if not shape[0]:
+    if not shapes:
         return none.withColumn("kept", F.lit(True))
-    found = shared.cut(links(same.where(F.size("unit") == shape[1]).select("key", "n", "unit"), shape[1], shape[0], threshold))
+    found = shared.cut(links(same.select("key", "n", "unit"), {d: m for d, m in shapes.items() if m > 1}, threshold))
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("far")).withColumnRenamed("a", "key")
     roots = shared.components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")
     each = same.select("key", "unit", "least", "n").join(counts, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -153,6 +153,18 @@ def test_embeddings_odd_rows(spark):
     assert embeddings.near_duplicates(df.where("false")).count() == 0 and embeddings.near_duplicates(df.where("vec_id = 4")).count() == 1
 
 
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows, n, root = [], [], []
+    for dim, groups in ((24, 6), (31, 4), (32, 1)):
+        some = [(c + rng.standard_normal(dim) * 0.05).tolist() for c in rng.standard_normal((groups, dim)) for _ in range(5)]
+        a, b = brute(some)
+        n, root, rows = [*n, *a], [*root, *(len(rows) + x for x in b)], [*rows, *some]
+    rows.append(rng.standard_normal(40).tolist())  # one stray vector, longer than all
+    got = embeddings.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")).orderBy("vec_id").toPandas()
+    assert got["n_links"].tolist() == [*n, 0] and got["component_id"].tolist() == [*root, len(rows) - 1] and sum(n) > 0
+
+
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 64))
