@@ -103,8 +103,8 @@ def hex16(fp: Column) -> Column:
 # Near copies by similarity of shingle sets: an exact index of shingles, wide fingerprints as a filter.
 
 WIDE, NEAR_WORDS, SIMILARITY = 128, 5, 0.8
-#: Longest list whose pairs are compared directly, and rows and bytes of a block of a longer one.
-SHORT, BLOCK, BLOCK_BYTES = 64, 512, 1 << 24
+#: Longest list whose pairs are compared directly, and rows of a block of a longer one.
+SHORT, BLOCK = 64, 512
 #: Sets with fewer shingles are compared without fingerprints, whose errors are only known for larger ones.
 FEW = 64
 #: One text in SAMPLE is counted for common shingles; seen OFTEN there they come last in the order. No more than COMMON are kept.
@@ -195,80 +195,99 @@ def _with_prints(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], similar
     return rows.select("doc", "th", "text").mapInArrow(run, "doc long, th long, id long, size int, keys array<long>")
 
 
-def _with_sets(rows: DataFrame) -> DataFrame:
-    """(id, wide, base) of rows (id, text)."""
+def _with_sets(rows: DataFrame, wide: bool) -> DataFrame:
+    """(id, wide) or (id, base) of rows (id, text): the fingerprint or the set."""
+    name = "wide" if wide else "base"
+    value = wide_fingerprint if wide else np.ndarray.tobytes
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in shared.slices(iter([whole])):
-                sets = [shingle_set(t) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(map(wide_fingerprint, sets)), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "wide", "base"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([value(shingle_set(t)) for t in b.column("text").to_pylist()], pa.binary())], ["id", name])
+
+    return rows.select("id", "text").mapInArrow(run, f"id long, {name} binary")
+
 
-    return rows.select("id", "text").mapInArrow(run, "id long, wide binary, base binary")
+def _sized(a: Column, b: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can have the similarity (a little is left for rounding; sets are compared in whole numbers)."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-3
 
 
-def _verified(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) those that have the similarity: fingerprints drop what is far, the sets of the rest are compared."""
+def _close(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that the fingerprints fps (id, size, wide) don't drop."""
     most = bounds(similarity)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, WIDE) for c in ("va", "vb"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, WIDE) for c in ("wa", "wb"))
             few = np.minimum(b.column("na").to_numpy(), b.column("nb").to_numpy()) < FEW
             yield b.select(["a", "b"]).filter(pa.array(few | (np.bitwise_count(x ^ y).sum(axis=-1) <= most)))
 
+    both = pairs
+    for c in "ab":
+        both = both.join(fps.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("wide").alias(f"w{c}")), c)
+    return both.mapInArrow(close, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) whose sets have the similarity, exactly; texts are (id, text)."""
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.select(["a", "b"]).filter(pa.array([similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), similarity) for x, y in zip(b.column("va"), b.column("vb"))], pa.bool_()))
+            yield b.select(["a", "b"]).filter(pa.array([similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), similarity) for x, y in zip(b.column("sa"), b.column("sb"))], pa.bool_()))
+
+    pairs = shared.cut(pairs)
+    sets = _with_sets(_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), ["id"]), False)
+    for c in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(c), F.col("base").alias(f"s{c}")), c)
+    return pairs.mapInArrow(exact, "a long, b long")
 
-    def both(of: DataFrame, column: str) -> DataFrame:
-        for c in "ab":
-            of = of.join(fps.select(F.col("id").alias(c), (F.octet_length("base") / 8).cast("int").alias(f"n{c}"), F.col(column).alias(f"v{c}")), c)
-        return of
 
-    return both(both(pairs.distinct(), "wide").mapInArrow(close, "a long, b long"), "base").mapInArrow(exact, "a long, b long")
+def _of(rows: DataFrame, some: DataFrame, by: list[str], how: str = "left_semi") -> DataFrame:
+    """rows joined with some; a small table goes to the rows, so that texts aren't shuffled."""
+    some = shared.cut(some)
+    return rows.join(F.broadcast(some) if some.count() <= 1_000_000 else some, by, how)
 
 
-def set_links(listed: DataFrame, fps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges between ids that connect exactly what the pairs of that similarity connect, from listed (key, id), no row twice, and fps (id, wide, base).
+def set_links(listed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges between ids that connect exactly what the pairs of that similarity connect, from listed (key, id, size), no row twice, and texts (id, text).
 
     The pairs of a short list are compared. The members of a long one are first compared with one of
     them; then, in blocks, those that aren't connected yet, with all others: what is connected already
     needs no comparison, so large families of copies cost little more than their size.
     """
     most = bounds(similarity)
-    sizes = listed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    sizes = listed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "size")).alias("first")).where("n > 1")
+    fps = shared.cut(_with_sets(texts, True).join(listed.select("id", "size").distinct(), "id"))
     listed = shared.cut(listed.join(sizes, "key"))
-    short = listed.where(F.col("n") <= SHORT).groupBy("key").agg(F.collect_list("id").alias("all"))
-    pairs = short.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda y: y > F.col("a"))).alias("b"))
+    short = listed.where(F.col("n") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("id", "size")).alias("all"))
+    pairs = short.select("all", F.explode("all").alias("x")).select(F.col("x.id").alias("a"), F.explode(F.filter("all", lambda y: (y["id"] > F.col("x.id")) & _sized(y["size"], F.col("x.size"), similarity))).alias("y")).select("a", F.col("y.id").alias("b"))
     long = listed.where(F.col("n") > SHORT)
-    stars = long.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    edges = shared.cut(_verified(pairs.union(stars), fps, similarity))
+    stars = long.where("id <> first.id").where(_sized(F.col("size"), F.col("first.size"), similarity)).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+    edges = shared.cut(_verified(_close(pairs.union(stars).distinct(), fps, similarity), texts, similarity))
     if long.isEmpty():
         return edges
     roots = shared.components(edges)
-    of = long.join(roots, long["id"] == roots["node"], "left").select("key", "n", "id", F.coalesce("root", "id").alias("root"))
+    of = long.join(roots, long["id"] == roots["node"], "left").select("key", "n", "id", "size", F.coalesce("root", "id").alias("root"))
     mixed = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = of.join(mixed, "key").join(fps, "id")
-    bytes_ = rest.groupBy("key").agg(F.sum(F.octet_length("base")).alias("bytes"))
-    rest = rest.join(bytes_, "key").withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "wide", "base")
+    rest = of.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root").join(fps, "id")
 
     def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        wide, root, own, ids = np.frombuffer(b"".join(g["wide"]), np.uint8).reshape(-1, WIDE), g["root"].to_numpy().copy(), g["own"].to_numpy(), g["id"].to_numpy()
-        bases = [np.frombuffer(x, "<u8") for x in g["base"]]
-        size = np.array(list(map(len, bases)))
+        wide, root, own, ids, size = np.frombuffer(b"".join(g["wide"]), np.uint8).reshape(-1, WIDE), g["root"].to_numpy(), g["own"].to_numpy(), g["id"].to_numpy(), g["size"].to_numpy()
         left, right, out = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2]), []
         for x in left:
             y = right[root[right] != root[x]]
-            y = y[np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x]) - 1e-3]
-            y = y[(np.minimum(size[y], size[x]) < FEW) | (np.bitwise_count(wide[y] ^ wide[x]).sum(axis=-1) <= most)]
-            for k in y:
-                if root[k] != root[x] and similar(bases[x], bases[k], similarity):
-                    out.append((ids[x], ids[k]))
-                    root[root == root[k]] = root[x]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            if key[1] == key[2]:
+                y = y[y > x]
+            least = np.minimum(size[y], size[x])
+            y, least = (v[least >= similarity * np.maximum(size[y], size[x]) - 1e-3] for v in (y, least))
+            y = y[(least < FEW) | (np.bitwise_count(wide[y] ^ wide[x]).sum(axis=-1) <= most)]
+            out.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1))
+        return pd.DataFrame(np.concatenate([np.zeros((0, 2), np.int64), *out]), columns=["a", "b"])
 
-    return edges.union(rest.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
+    # two of these that are similar may meet in many lists
+    more = rest.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return edges.union(_verified(more, texts, similarity))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -283,18 +302,19 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     marked = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), large)).withColumn("_th", F.xxhash64(F.col("text").cast("string")))
     rows = marked.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("text").cast("string").alias("text"))
     each = shared.cut(_with_prints(rows, common_shingles(rows), similarity))
-    posts = each.select("id", F.explode("keys").alias("key")).repartition("key")
+    posts = each.select("id", "size", F.explode("keys").alias("key")).repartition("key")
     meet = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    listed = shared.cut(posts.join(meet, "key").select("key", "id").distinct())
-    wanted = shared.cut(each.join(listed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("th").alias("th")))
-    few = wanted.count() <= 1_000_000
-    texts = rows.select("th", "text").join(F.broadcast(wanted) if few else wanted, "th").dropDuplicates(["id"])
-    roots = shared.components(set_links(listed, shared.cut(_with_sets(texts)), similarity))
+    listed = shared.cut(posts.join(meet, "key").select("key", "id", "size").distinct())
+    # of rows that repeat (doc, th) one; only those are shuffled with their texts
+    repeated = shared.cut(each.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).count().where("count > 1").select("_doc", "_th"))
+    once = _of(marked, repeated, ["_doc", "_th"], "left_anti").union(_of(marked, repeated, ["_doc", "_th"]).dropDuplicates(["_doc", "_th"]))
+    chosen = each.join(listed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "th")).alias("one"))
+    texts = _of(once, chosen.select("id", F.col("one.doc").alias("_doc"), F.col("one.th").alias("_th")), ["_doc", "_th"], "inner").select("id", F.col("text").cast("string").alias("text"))
+    roots = shared.components(set_links(listed, texts, similarity))
     of = each.join(roots, each["id"] == roots["node"], "left").select("doc", "th", F.coalesce("root", "id").alias("root"))
     best = of.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("best"))
-    lost = of.join(best, "root").where("doc <> best.doc or th <> best.th").select("doc", "th").distinct()
-    left = marked.join(lost, (F.col("_doc") == F.col("doc")) & (F.col("_th") == F.col("th")), "left_anti")
-    return left.dropDuplicates(["_doc", "_th"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    lost = of.join(best, "root").where("doc <> best.doc or th <> best.th").select(F.col("doc").alias("_doc"), F.col("th").alias("_th")).distinct()
+    return _of(once, lost, ["_doc", "_th"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
