@@ -103,9 +103,9 @@ def hex16(fp: Column) -> Column:
 # Near copies by similarity of shingle sets: an exact index of shingles, wide fingerprints as a filter.
 
 WIDE, NEAR_WORDS, SIMILARITY = 128, 5, 0.8
-#: Longest list whose pairs are compared directly, and rows of a block of a longer one.
-SHORT, BLOCK = 64, 512
-#: Sets with fewer shingles are compared without fingerprints, whose errors are only known for larger ones.
+#: Longest list whose pairs are compared directly, rows of a block of a longer one, and rounds of comparing one's members with one of them.
+SHORT, BLOCK, PIVOTS = 64, 512, 2
+#: Sets with fewer shingles are compared without fingerprints, whose errors are only known for larger ones: they travel themselves.
 FEW = 64
 #: One text in SAMPLE is counted for common shingles; seen OFTEN there they come last in the order. No more than COMMON are kept.
 SAMPLE, OFTEN, COMMON = 16, 16, 1 << 17
@@ -196,9 +196,9 @@ def _with_prints(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], similar
 
 
 def _with_sets(rows: DataFrame, wide: bool) -> DataFrame:
-    """(id, wide) or (id, base) of rows (id, text): the fingerprint or the set."""
+    """(id, wide) or (id, base) of rows (id, text): the fingerprint, with the set behind it where that is small, or the set."""
     name = "wide" if wide else "base"
-    value = wide_fingerprint if wide else np.ndarray.tobytes
+    value = (lambda x: wide_fingerprint(x) + (x.tobytes() if len(x) < 2 * FEW else b"")) if wide else np.ndarray.tobytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -213,15 +213,22 @@ def _sized(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-3
 
 
+def _parts(wide: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The fingerprints, and the sets that travel with them (empty for large ones)."""
+    return np.frombuffer(b"".join(x[:WIDE] for x in wide), np.uint8).reshape(-1, WIDE), [np.frombuffer(x, "<u8", offset=WIDE) for x in wide]
+
+
 def _close(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) that the fingerprints fps (id, size, wide) don't drop."""
     most = bounds(similarity)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, WIDE) for c in ("wa", "wb"))
+            (x, sx), (y, sy) = (_parts(b.column(c).to_pylist()) for c in ("wa", "wb"))
             few = np.minimum(b.column("na").to_numpy(), b.column("nb").to_numpy()) < FEW
-            yield b.select(["a", "b"]).filter(pa.array(few | (np.bitwise_count(x ^ y).sum(axis=-1) <= most)))
+            near = np.bitwise_count(x ^ y).sum(axis=-1) <= most
+            near[few] = [similar(sx[k], sy[k], similarity) for k in np.flatnonzero(few)]
+            yield b.select(["a", "b"]).filter(pa.array(near))
 
     both = pairs
     for c in "ab":
@@ -252,7 +259,7 @@ def set_links(listed: DataFrame, texts: DataFrame, similarity: float = SIMILARIT
     """Edges between ids that connect exactly what the pairs of that similarity connect, from listed (key, id, size), no row twice, and texts (id, text).
 
     The pairs of a short list are compared. The members of a long one are first compared with one of
-    them; then, in blocks, those that aren't connected yet, with all others: what is connected already
+    them, then with ``PIVOTS`` others, which differ from list to list; then, in blocks, those that aren't connected yet, with all others: what is connected already
     needs no comparison, so large families of copies cost little more than their size.
     """
     most = bounds(similarity)
@@ -266,14 +273,20 @@ def set_links(listed: DataFrame, texts: DataFrame, similarity: float = SIMILARIT
     edges = shared.cut(_verified(_close(pairs.union(stars).distinct(), fps, similarity), texts, similarity))
     if long.isEmpty():
         return edges
-    roots = shared.components(edges)
-    of = long.join(roots, long["id"] == roots["node"], "left").select("key", "n", "id", "size", F.coalesce("root", "id").alias("root"))
-    mixed = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    for turn in range(PIVOTS + 1):
+        roots = shared.components(edges)
+        of = shared.cut(long.join(roots, long["id"] == roots["node"], "left").select("key", "n", "id", "size", F.coalesce("root", "id").alias("root")))
+        mixed = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id", "size", "root")).alias("p")).where("lo < hi").select("key", "p")
+        if turn == PIVOTS:
+            break
+        stars = of.join(mixed, "key").where("root <> p.root").where(_sized(F.col("size"), F.col("p.size"), similarity)).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+        edges = shared.cut(edges.union(_verified(_close(stars.distinct(), fps, similarity), texts, similarity)))
+    mixed = mixed.select("key")
     rest = of.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root").join(fps, "id")
 
     def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        wide, root, own, ids, size = np.frombuffer(b"".join(g["wide"]), np.uint8).reshape(-1, WIDE), g["root"].to_numpy(), g["own"].to_numpy(), g["id"].to_numpy(), g["size"].to_numpy()
+        (wide, sets), root, own, ids, size = _parts(list(g["wide"])), g["root"].to_numpy(), g["own"].to_numpy(), g["id"].to_numpy(), g["size"].to_numpy()
         left, right, out = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2]), []
         for x in left:
             y = right[root[right] != root[x]]
@@ -281,7 +294,10 @@ def set_links(listed: DataFrame, texts: DataFrame, similarity: float = SIMILARIT
                 y = y[y > x]
             least = np.minimum(size[y], size[x])
             y, least = (v[least >= similarity * np.maximum(size[y], size[x]) - 1e-3] for v in (y, least))
-            y = y[(least < FEW) | (np.bitwise_count(wide[y] ^ wide[x]).sum(axis=-1) <= most)]
+            few = least < FEW
+            near = np.bitwise_count(wide[y] ^ wide[x]).sum(axis=-1) <= most
+            near[few] = [similar(sets[x], sets[k], similarity) for k in y[few]]
+            y = y[near]
             out.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1))
         return pd.DataFrame(np.concatenate([np.zeros((0, 2), np.int64), *out]), columns=["a", "b"])
 
