@@ -13,7 +13,7 @@ The files are Parquet tables of one row a shard: the blob in the layout of ``pac
 columns beside it, so that Spark's readers and writers carry them to and from any store.
 
 Null and empty texts hold the end id alone. Rows that repeat an id stay, ordered by their text. Null
-ids come first. Strings of special tokens in a text are ordinary text.
+ids come first. Strings of added tokens in a text become their ids, as the library has it by default.
 """
 
 from __future__ import annotations
@@ -148,9 +148,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         self.tok, self.kept = tok, Chunks(tok)
         self.cut = re.compile(r"(?= \S)").split
+        added = [t.content for t in tok.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         # ids of the tokens that begin with a space, which byte-level vocabularies write so
         self.spaced = np.zeros(max(tok.get_vocab().values()) + 1, bool)
         self.spaced[[i for t, i in tok.get_vocab().items() if t.startswith("\u0120")]] = True
@@ -170,9 +171,11 @@ class Encoder:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
         end, kept = struct.pack("<I", END), self.kept
-        parts = [self.cut(_clean(t)) if t else [] for t in texts]
+        texts = [_clean(t) if t else "" for t in texts]
+        whole = [bool(self.added(t)) for t in texts]  # an added token's string isn't cut like other text
+        parts = [self.cut(t) if t and not w else [] for t, w in zip(texts, whole)]
         self.learn({p for some in parts for p in some if p not in kept})
-        return [b"".join(map(kept.__getitem__, some)) + end for some in parts]
+        return [(np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(kept.__getitem__, some))) + end for t, w, some in zip(texts, whole, parts)]
 
 
 class Chunks(dict):

@@ -487,6 +487,15 @@ def test_chunks_equal_whole_texts():
         assert enc.ids([t])[0] == np.array([*enc.kept.tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
 
 
+def test_added_tokens_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(repair.default_tokenizer())
+    texts = ["end <|endoftext|> next", "plain text", "<|endoftext|>", "a <|endoftext|>b  c<|endoftext|>", None]
+    assert repair.load(repair.default_tokenizer()).ids(texts) == [np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [437, 220, 50256, 1306]
+
+
 # pipeline
 
 def test_pipeline(spark):
