@@ -33,92 +33,116 @@ from pyspark.sql.window import Window
 
 from . import shared
 
-END, TERMINALS = 2, 1 << 16
-SHARD_TOKENS, ROUNDS, RULES, FREQUENT, BINS = 1 << 20, 6, 1 << 13, 8, 19
-MAGIC = b"RPG1"
+END = 2
+#: Ids of a shard, and how often a pair must occur in it to become a rule.
+SHARD_TOKENS, FREQUENT = 1 << 20, 8
+MAGIC = b"RPG2"
 KEPT, KEPT_CHARS = 1_200_000, 64
 
 
-def grammar(ids: np.ndarray, rounds: int = ROUNDS, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules (n, 2), expansion lengths n, sequence): symbol TERMINALS + i stands for rules[i]."""
-    seq = ids.astype(np.int64)
-    rules, lengths = [np.zeros((0, 2), np.int64)], np.ones(TERMINALS, dtype=np.int64)
-    seen = np.zeros(1 << BINS, dtype=np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        keys = seq[:-1] << 24 | seq[1:]
-        bins = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BINS)).view(np.int64)
-        # a bin stands for one of its pairs; the others have their turn in a later round
+def grammar(ids: np.ndarray, frequent: int = FREQUENT, base: int | None = None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(base, rules (n, 2), expansion lengths n, sequence): symbol base + i stands for rules[i]; base is above every id.
+
+    When it ends, no two neighbouring symbols occur side by side ``frequent`` times or more.
+    """
+    base = base or (int(ids.max()) + 1 if len(ids) else 1)
+    seq = ids.astype(np.uint32)
+    rules, lengths, made = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], base
+    # A pair's places are all awake or none: a pair that was counted and isn't frequent has no new ones later, as new pairs hold new symbols.
+    awake = np.arange(max(0, len(seq) - 1))
+    while len(awake):
+        bits = max(8, int(len(awake)).bit_length())
+        keys = seq[awake].astype(np.uint64) << np.uint64(32) | seq[awake + 1]
+        bins = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+        # a bin stands for one of its pairs; the others stay awake
+        seen = np.zeros(1 << bits, np.uint64)
         seen[bins] = keys
-        same = np.flatnonzero(seen[bins] == keys)
-        binned = bins[same]
-        counts = np.bincount(binned, minlength=1 << BINS)
-        often = np.flatnonzero(counts >= frequent)
-        if len(often) > RULES:
-            often = often[np.argsort(-counts[often], kind="stable")[:RULES]]
-        made = len(lengths)
-        if not len(often) or made + len(often) >= 1 << 24:
-            break
-        of_bin = np.full(1 << BINS, -1, dtype=np.int32)
-        of_bin[often] = np.arange(len(often), dtype=np.int32)
-        rule = of_bin[binned]
-        hit, rule = same[rule >= 0], rule[rule >= 0]
-        # of a run of overlapping occurrences every other one
-        starts = np.concatenate([[True], np.diff(hit) > 1])
-        stays = (hit - hit[starts][np.cumsum(starts) - 1]) & 1 == 0
-        hit = hit[stays]
-        seq[hit] = made + rule[stays]
-        left = np.ones(len(seq), dtype=bool)
-        left[hit + 1] = False
-        seq = seq[left]
-        pairs = np.stack([seen[often] >> 24, seen[often] & 0xFFFFFF], axis=1)
+        mine = seen[bins] == keys
+        counts = np.bincount(bins[mine], minlength=1 << bits)
+        flag = np.zeros(len(seq), bool)
+        flag[awake[~mine]] = True
+        often = mine & (counts[bins] >= frequent)
+        at, of = awake[often], bins[often]
+        flag[at] = True
+        if not len(at):
+            awake = np.flatnonzero(flag)
+            continue
+        # where frequent pairs overlap the most frequent wins (of equals the larger bin); of a run of one pair every other place
+        rank = counts[of] << bits | of
+        beside = np.diff(at) == 1
+        begins = np.concatenate([[True], ~(beside & (rank[1:] == rank[:-1]))])
+        group = np.cumsum(begins) - 1
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], len(at)) - 1
+        beaten = np.zeros(len(first), bool)
+        beaten[1:] = beside[first[1:] - 1] & (rank[first[1:] - 1] > rank[first[1:]])
+        beaten[:-1] |= beside[last[:-1]] & (rank[last[:-1] + 1] > rank[last[:-1]])
+        wins = ~beaten[group] & ((np.arange(len(at)) - first[group]) & 1 == 0)
+        won = np.bincount(of[wins], minlength=1 << bits)
+        chosen = np.flatnonzero(won >= max(2, (frequent + 1) // 2))
+        name = np.zeros(1 << bits, np.uint32)
+        name[chosen] = np.arange(made, made + len(chosen))
+        wins &= name[of] > 0
+        at, symbol = at[wins], name[of[wins]]
+        pairs = np.stack([seen[chosen] >> np.uint64(32), seen[chosen] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
+        known = np.concatenate(lengths)
+        size = np.where(pairs >= base, known[np.maximum(pairs - base, 0)] if len(known) else 1, 1)
         rules.append(pairs)
-        lengths = np.concatenate([lengths, lengths[pairs[:, 0]] + lengths[pairs[:, 1]]])
-    return np.concatenate(rules), lengths[TERMINALS:], seq
-
-
-def expand(rules: np.ndarray, seq: np.ndarray) -> np.ndarray:
-    """The ids a sequence stands for."""
-    seq = seq.astype(np.int64)
-    while (big := seq >= TERMINALS).any():
-        place = np.cumsum(1 + big) - (1 + big)
-        out = np.empty(len(seq) + int(big.sum()), dtype=np.int64)
-        out[place] = seq
-        of, at = rules[seq[big] - TERMINALS], place[big]
-        out[at], out[at + 1] = of[:, 0], of[:, 1]
-        seq = out
-    return seq.astype(np.uint32)
-
-
-def _planes(x: np.ndarray) -> bytes:
-    return (x & 0xFFFF).astype("<u2").tobytes() + (x >> 16).astype(np.uint8).tobytes()
-
-
-def _unplanes(b: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(b, "<u2", n).astype(np.int64) | np.frombuffer(b, np.uint8, n, 2 * n).astype(np.int64) << 16
+        lengths = [known, size.sum(axis=1)]
+        made += len(chosen)
+        if made >= 1 << 32:
+            raise ValueError("more symbols than a shard holds")
+        seq[at] = symbol
+        stays = np.ones(len(seq), bool)
+        stays[at + 1] = False
+        seq, flag = seq[stays], flag[stays]
+        at = at - np.arange(len(at))
+        flag[at] = True
+        flag[at[at > 0] - 1] = True
+        flag[-1] = False
+        awake = np.flatnonzero(flag)
+    return base, np.concatenate(rules), np.concatenate(lengths), seq.astype(np.int64)
+
+
+def expand(base: int, rules: np.ndarray, lengths: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """The ids a sequence stands for; work is in proportion to them."""
+    size = np.ones(len(seq), np.int64)
+    big = seq >= base
+    size[big] = lengths[seq[big] - base]
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    place = ends - size
+    out[place[~big]] = seq[~big]
+    symbol, place = seq[big] - base, place[big]
+    while len(symbol):
+        left, right = rules[symbol, 0], rules[symbol, 1]
+        long = left >= base
+        behind = place + np.where(long, lengths[np.maximum(left - base, 0)], 1)
+        both, at = np.concatenate([left, right]), np.concatenate([place, behind])
+        big = both >= base
+        out[at[~big]] = both[~big]
+        symbol, place = both[big] - base, at[big]
+    return out
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """MAGIC, three counts (ids, rules, symbols; u32), rules (two times 3-byte planes), expansion lengths (u32), symbols (3-byte planes)."""
-    rules, lengths, seq = grammar(ids)
-    return MAGIC + struct.pack("<3I", len(ids), len(rules), len(seq)) + _planes(rules[:, 0]) + _planes(rules[:, 1]) + lengths.astype("<u4").tobytes() + _planes(seq)
+    """MAGIC; ids, rules, symbols, base (u32 each); left and right symbols of the rules, their expansion lengths, the sequence (u32 each)."""
+    base, rules, lengths, seq = grammar(ids)
+    return b"".join([MAGIC, struct.pack("<4I", len(ids), len(rules), len(seq), base), *(x.astype("<u4").tobytes() for x in (rules[:, 0], rules[:, 1], lengths, seq))])
 
 
-def unpack(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, rules, expansion lengths, symbols."""
+def unpack(blob: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of ids, base, rules, expansion lengths, symbols."""
     if blob[:4] != MAGIC:
         raise ValueError("not a grammar shard")
-    n, r, s = struct.unpack_from("<3I", blob, 4)
-    at = 16
-    left, right = _unplanes(blob[at : at + 3 * r], r), _unplanes(blob[at + 3 * r : at + 6 * r], r)
-    lengths = np.frombuffer(blob, "<u4", r, at + 6 * r).astype(np.int64)
-    return n, np.stack([left, right], axis=1), lengths, _unplanes(blob[at + 10 * r : at + 10 * r + 3 * s], s)
+    n, r, s, base = struct.unpack_from("<4I", blob, 4)
+    left, right, lengths, seq = (np.frombuffer(blob, "<u4", k, 20 + 4 * at).astype(np.int64) for k, at in ((r, 0), (r, r), (r, 2 * r), (s, 3 * r)))
+    return n, base, np.stack([left, right], axis=1), lengths, seq
 
 
 def decode(blob: bytes) -> np.ndarray:
-    n, rules, _, seq = unpack(blob)
-    ids = expand(rules, seq)
+    n, base, rules, lengths, seq = unpack(blob)
+    ids = expand(base, rules, lengths, seq)
     if len(ids) != n:
         raise ValueError("a shard's ids are incomplete")
     return ids
@@ -126,75 +150,87 @@ def decode(blob: bytes) -> np.ndarray:
 
 def decode_range(blob: bytes, start: int, stop: int) -> np.ndarray:
     """ids[start:stop], expanding only the symbols that cover it."""
-    n, rules, lengths, seq = unpack(blob)
+    n, base, rules, lengths, seq = unpack(blob)
     start, stop = max(0, start), min(n, stop)
     if start >= stop:
         return np.zeros(0, np.uint32)
-    ends = np.cumsum(np.where(seq >= TERMINALS, lengths[np.maximum(seq - TERMINALS, 0)] if len(lengths) else 1, 1))
+    ends = np.cumsum(np.where(seq >= base, lengths[np.maximum(seq - base, 0)] if len(lengths) else 1, 1))
     a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left"))
     before = int(ends[a - 1]) if a else 0
-    return expand(rules, seq[a : b + 1])[start - before : stop - before]
+    return expand(base, rules, lengths, seq[a : b + 1])[start - before : stop - before]
 
 
 class Encoder:
-    """The tokenizers library, called once for each distinct chunk.
+    """The tokenizers library, called once for each distinct word.
 
     The byte-level pattern starts a new token at every space that a non-space follows, so cutting there
-    never changes the ids (Python's white space includes all of the library's).
+    never changes the ids (Python's white space includes all of the library's). A word here is what stands
+    between two spaces; texts with other white space after a space, or a space at an end, are cut more carefully.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        self.tok, self.kept = tok, Chunks(tok)
+        self.tok = Tokenizer.from_file(path)
+        #: Ids of words after a space.
+        self.kept: dict[str, bytes] = {}
         self.cut = re.compile(r"(?= \S)").split
-        added = [t.content for t in tok.get_added_tokens_decoder().values() if t.content]
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
-        # ids of the tokens that begin with a space, which byte-level vocabularies write so
-        self.spaced = np.zeros(max(tok.get_vocab().values()) + 1, bool)
-        self.spaced[[i for t, i in tok.get_vocab().items() if t.startswith("\u0120")]] = True
+        # tokens that begin with a space, which byte-level vocabularies write so
+        vocabulary = self.tok.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, fresh: set[str]) -> None:
-        """Keeps the ids of new chunks of a space and a word; many go through the library as one text, in which each begins with the only kind of token that begins with a space."""
-        words = [p for p in fresh if p[:1] == " " and len(p) <= KEPT_CHARS and len(p.split()) == 1 and not p[-1].isspace() and not p[1].isspace()]
-        groups = [words[at : at + 256] for at in range(0, len(words), 256)]
-        for group, e in zip(groups, self.tok.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False)):
+        """Keeps the ids of new words; many go through the library as one text, in which each begins with the only token that begins with a space."""
+        kept = self.kept
+        some = [w for w in fresh if w and not w[0].isspace() and not w[-1].isspace()]
+        groups = [some[at : at + 1024] for at in range(0, len(some), 1024)]
+        for group, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) == len(group) and not starts[0]:
-                raw, ends = ids.tobytes(), (4 * np.append(starts[1:], len(ids))).tolist()
-                for p, i, j in zip(group, (4 * starts).tolist(), ends):
-                    self.kept.put(p, raw[i:j])
+                raw, begin = ids.tobytes(), 0
+                for w, end in zip(group, [*(4 * starts[1:]).tolist(), 4 * len(ids)]):
+                    kept[w] = raw[begin:end]
+                    begin = end
+            else:
+                kept.update((w, self.whole(" " + w)) for w in group)
+
+    def _carefully(self, text: str) -> bytes:
+        return b"".join(self.kept[c[1:]] if c[:1] == " " and c[1:] in self.kept else self.whole(c) for c in self.cut(text))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
         end, kept = struct.pack("<I", END), self.kept
         texts = [_clean(t) if t else "" for t in texts]
-        whole = [bool(self.added(t)) for t in texts]  # an added token's string isn't cut like other text
-        parts = [self.cut(t) if t and not w else [] for t, w in zip(texts, whole)]
-        self.learn({p for some in parts for p in some if p not in kept})
-        return [(np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(kept.__getitem__, some))) + end for t, w, some in zip(texts, whole, parts)]
-
-
-class Chunks(dict):
-    """The ids of each chunk met so far, in bounded number; a new one goes to the library."""
-
-    def __init__(self, tok):
-        super().__init__({"": b""})
-        self.tok = tok
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.put(chunk, np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
-
-    def put(self, chunk: str, ids: bytes) -> bytes:
-        if len(chunk) <= KEPT_CHARS:
-            if len(self) >= KEPT:
-                self.clear()
-                self[""] = b""
-            self[chunk] = ids
-        return ids
+        parts = [[] if self.added(t) else t.split(" ") for t in texts]  # an added token's string isn't cut like other text
+        if len(kept) > KEPT:
+            kept.clear()
+        fresh = set().union(*(p[1:] for p in parts)).difference(kept)
+        self.learn(fresh)
+        out = []
+        for t, p in zip(texts, parts):
+            if not t:
+                out.append(end)
+            elif not p:
+                out.append(self.whole(t) + end)
+            elif p[0] and p[0][-1].isspace():
+                out.append(self._carefully(t) + end)
+            else:
+                try:
+                    out.append((self.whole(p[0]) if p[0] else b"") + b"".join(map(kept.__getitem__, p[1:])) + end)
+                except KeyError:
+                    out.append(self._carefully(t) + end)
+        for w in fresh:
+            if len(w) > KEPT_CHARS:
+                kept.pop(w, None)
+        return out
 
 
 def _clean(text: str) -> str:
@@ -245,8 +281,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_tokens
         if held:
             yield full()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, STORE).write.mode("error").parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tie", F.xxhash64("text"))
+    rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text").mapInArrow(run, STORE).write.mode("error").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
