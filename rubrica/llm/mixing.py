@@ -66,14 +66,15 @@ def present_weights(sources: list[str], weights: dict[str, int], default: int =
 def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default: int = DEFAULT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with NEW: (slot, rank_in_block) is the mixed order."""
     spark, had = docs.sparkSession, [c for c in docs.columns if c not in NEW]
-    rows = docs.select(*(F.col(f"`{c}`") for c in had), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES).alias("n_bytes"))
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    whole = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in had)).alias("_row")  # no column of docs stands beside the operator's own
+    rows = docs.select(whole, F.col("doc_id").alias("_doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES).alias("n_bytes"))
+    digest = F.md5(F.coalesce(F.col("_doc").cast("string"), F.lit("")).cast("binary"))
     rows = rows.withColumn("_order", digest).withColumn("_bucket", F.conv(F.substring(digest, 1, 3), 16, 10).cast("int") % BUCKETS)
     by = ["_source", "_bucket"]
     totals = rows.groupBy(*by).agg(F.sum("n_bytes").alias("_sum"), F.count("*").alias("_rows"))
     ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*by, F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*by).orderBy("_order", "doc_id", "n_bytes")
+    inside = Window.partitionBy(*by).orderBy("_order", "_doc", "n_bytes")
     placed = rows.withColumn("_inside", F.sum("n_bytes").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_bytes"))
     placed = placed.join(starts, by).withColumn("source_offset", F.col("_start") + F.col("_inside"))
     placed = placed.withColumn("block", F.floor(F.col("source_offset") / block_bytes).cast("long"))
@@ -87,7 +88,7 @@ def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default: int = DEFAU
     turn = F.expr("block div weight") * frame
     k = F.col("block") + 1
     return placed.select(
-        *(F.col(f"`{c}`") for c in had), "n_bytes", "source_offset", "block", "weight", F.lit(frame).cast("long").alias("frame"),
+        *(F.col(f"_row.`{c}`") for c in had), "n_bytes", "source_offset", "block", "weight", F.lit(frame).cast("long").alias("frame"),
         F.expr(f"(block * {frame}) div weight").alias("release"), F.expr(f"((block + 1) * {frame} + weight - 1) div weight").alias("deadline"),
         (turn + F.col("_at")).alias("slot"), (F.col("source_offset") - F.col("block") * block_bytes).alias("rank_in_block"),
     )

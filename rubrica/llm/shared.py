@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset (tests), an own one."""
+    """The folder all executors share: spark.checkpoint.dir; an own one only where that is unset and driver and executors are one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         at = spark.sparkContext.getCheckpointDir()
+        if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = at or tempfile.mkdtemp(prefix="rubrica-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)

@@ -195,10 +195,30 @@ def _with_prints(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], similar
     return rows.select("doc", "th", "text").mapInArrow(run, "doc long, th long, id long, size int, keys array<long>")
 
 
+def bitmap(base: np.ndarray) -> np.ndarray:
+    """A bit for the low digits of each hash: 8 * WIDE bits, or the power of two that is four times the set and more."""
+    bits = max(8 * WIDE, 1 << max(0, 4 * len(base) - 1).bit_length())
+    out = np.zeros(bits >> 3, np.uint8)
+    at = (base & np.uint64(bits - 1)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out
+
+
+def folded(bits: np.ndarray, n: int) -> np.ndarray:
+    """The bitmap that n bytes would have held."""
+    return np.bitwise_or.reduce(bits.reshape(-1, n), axis=0)
+
+
+def possible(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with these bitmaps and sizes can have the similarity: each bit that only one has is a shingle that the other lacks. Never wrongly no."""
+    most = np.minimum(nx - np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64))
+    return most * 10**6 >= round(similarity * 10**6) * (nx + ny - most)
+
+
 def _with_sets(rows: DataFrame, wide: bool) -> DataFrame:
-    """(id, wide) or (id, base) of rows (id, text): the fingerprint, with the set behind it where that is small, or the set."""
+    """(id, wide) or (id, base) of rows (id, text): the fingerprint and behind it the set where that is small, else its bitmap; or the set."""
     name = "wide" if wide else "base"
-    value = (lambda x: wide_fingerprint(x) + (x.tobytes() if len(x) < 2 * FEW else b"")) if wide else np.ndarray.tobytes
+    value = (lambda x: wide_fingerprint(x) + (x if len(x) < 2 * FEW else bitmap(x)).tobytes()) if wide else np.ndarray.tobytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -213,22 +233,41 @@ def _sized(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-3
 
 
-def _parts(wide: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The fingerprints, and the sets that travel with them (empty for large ones)."""
-    return np.frombuffer(b"".join(x[:WIDE] for x in wide), np.uint8).reshape(-1, WIDE), [np.frombuffer(x, "<u8", offset=WIDE) for x in wide]
+class _Sets:
+    """Fingerprints and what travels with them, of sets of these sizes."""
+
+    def __init__(self, wide: list[bytes], size: np.ndarray):
+        self.size = size.astype(np.int64)
+        self.prints = np.frombuffer(b"".join(x[:WIDE] for x in wide), np.uint8).reshape(-1, WIDE)
+        self.sets = [np.frombuffer(x, "<u8", offset=WIDE) if n < 2 * FEW else None for x, n in zip(wide, self.size.tolist())]
+        self.maps = [np.frombuffer(x, np.uint8, offset=WIDE) if y is None else bitmap(y) for x, y in zip(wide, self.sets)]
+        self.small = np.array([folded(m, WIDE) for m in self.maps], np.uint8).reshape(-1, WIDE)
+
+
+def _may(x: _Sets, y: _Sets, i: np.ndarray, j: np.ndarray, similarity: float, most: int) -> np.ndarray:
+    """Which pairs (i of x, j of y) fingerprints, bitmaps and, for small sets, the sets themselves don't drop."""
+    near = possible(x.small[i], y.small[j], x.size[i], y.size[j], similarity)
+    near &= (np.minimum(x.size[i], y.size[j]) < FEW) | (np.bitwise_count(x.prints[i] ^ y.prints[j]).sum(axis=-1) <= most)
+    for k in np.flatnonzero(near):
+        a, b = x.sets[i[k]], y.sets[j[k]]
+        if a is not None and b is not None:
+            near[k] = similar(a, b, similarity)
+        else:
+            p, q = x.maps[i[k]], y.maps[j[k]]
+            n = min(len(p), len(q))
+            near[k] = n == WIDE or possible(folded(p, n), folded(q, n), x.size[i[k]], y.size[j[k]], similarity)
+    return near
 
 
 def _close(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that the fingerprints fps (id, size, wide) don't drop."""
+    """Pairs (a, b) that fps (id, size, wide) don't drop."""
     most = bounds(similarity)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            (x, sx), (y, sy) = (_parts(b.column(c).to_pylist()) for c in ("wa", "wb"))
-            few = np.minimum(b.column("na").to_numpy(), b.column("nb").to_numpy()) < FEW
-            near = np.bitwise_count(x ^ y).sum(axis=-1) <= most
-            near[few] = [similar(sx[k], sy[k], similarity) for k in np.flatnonzero(few)]
-            yield b.select(["a", "b"]).filter(pa.array(near))
+            x, y = (_Sets(b.column(f"w{c}").to_pylist(), b.column(f"n{c}").to_numpy()) for c in "ab")
+            at = np.arange(b.num_rows)
+            yield b.select(["a", "b"]).filter(pa.array(_may(x, y, at, at, similarity, most)))
 
     both = pairs
     for c in "ab":
@@ -286,18 +325,15 @@ def set_links(listed: DataFrame, texts: DataFrame, similarity: float = SIMILARIT
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root").join(fps, "id")
 
     def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        (wide, sets), root, own, ids, size = _parts(list(g["wide"])), g["root"].to_numpy(), g["own"].to_numpy(), g["id"].to_numpy(), g["size"].to_numpy()
+        root, own, ids, size = (g[c].to_numpy() for c in ("root", "own", "id", "size"))
+        sets = _Sets(list(g["wide"]), size)
         left, right, out = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2]), []
         for x in left:
             y = right[root[right] != root[x]]
             if key[1] == key[2]:
                 y = y[y > x]
-            least = np.minimum(size[y], size[x])
-            y, least = (v[least >= similarity * np.maximum(size[y], size[x]) - 1e-3] for v in (y, least))
-            few = least < FEW
-            near = np.bitwise_count(wide[y] ^ wide[x]).sum(axis=-1) <= most
-            near[few] = [similar(sets[x], sets[k], similarity) for k in y[few]]
-            y = y[near]
+            y = y[np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x]) - 1e-3]
+            y = y[_may(sets, sets, np.full(len(y), x), y, similarity, most)]
             out.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1))
         return pd.DataFrame(np.concatenate([np.zeros((0, 2), np.int64), *out]), columns=["a", "b"])
 
@@ -313,10 +349,12 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pairs connect. Texts without words are copies of each other. Two sets of the similarity share one of
     their first shingles in any common order; rare ones come first, so the lists of an index of these are
     short. No pair is missed and every link is verified on the sets (of 64-bit hashes, like their ids).
+    Columns of any name come back as they were.
     """
     large = F.lit((1 << 63) - 1)
-    marked = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), large)).withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    rows = marked.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("text").cast("string").alias("text"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # no column of docs stands beside the stage's own
+    marked = docs.select(F.coalesce(F.col("doc_id").cast("long"), large).alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_th"), whole)
+    rows = marked.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("_row.text").cast("string").alias("text"))
     each = shared.cut(_with_prints(rows, common_shingles(rows), similarity))
     posts = each.select("id", "size", F.explode("keys").alias("key")).repartition("key")
     meet = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
@@ -325,12 +363,12 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     repeated = shared.cut(each.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).count().where("count > 1").select("_doc", "_th"))
     once = _of(marked, repeated, ["_doc", "_th"], "left_anti").union(_of(marked, repeated, ["_doc", "_th"]).dropDuplicates(["_doc", "_th"]))
     chosen = each.join(listed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "th")).alias("one"))
-    texts = _of(once, chosen.select("id", F.col("one.doc").alias("_doc"), F.col("one.th").alias("_th")), ["_doc", "_th"], "inner").select("id", F.col("text").cast("string").alias("text"))
+    texts = _of(once, chosen.select("id", F.col("one.doc").alias("_doc"), F.col("one.th").alias("_th")), ["_doc", "_th"], "inner").select("id", F.col("_row.text").cast("string").alias("text"))
     roots = shared.components(set_links(listed, texts, similarity))
     of = each.join(roots, each["id"] == roots["node"], "left").select("doc", "th", F.coalesce("root", "id").alias("root"))
     best = of.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("best"))
     lost = of.join(best, "root").where("doc <> best.doc or th <> best.th").select(F.col("doc").alias("_doc"), F.col("th").alias("_th")).distinct()
-    return _of(once, lost, ["_doc", "_th"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _of(once, lost, ["_doc", "_th"], "left_anti").select("_row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

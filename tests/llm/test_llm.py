@@ -410,6 +410,33 @@ def test_near_copies_against_brute_force(spark, monkeypatch, short, block, few):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(root))
 
 
+def test_bitmaps_never_drop_a_similar_pair():
+    rng = np.random.default_rng(8)
+    kept = {True: 0, False: 0}
+    for n in (5, 60, 130, 300, 3000):
+        for share in np.linspace(0.7, 1, 40):
+            x = rng.integers(0, 1 << 63, n).astype("<u8")
+            y = np.concatenate([x[: int(n * share)], rng.integers(0, 1 << 63, int(n * rng.uniform(0, 0.15))).astype("<u8")])
+            a, b = simhash.bitmap(x), simhash.bitmap(y)
+            m = min(len(a), len(b))
+            may = simhash.possible(simhash.folded(a, m), simhash.folded(b, m), np.int64(len(x)), np.int64(len(y)), 0.8)
+            coarse = simhash.possible(simhash.folded(a, simhash.WIDE), simhash.folded(b, simhash.WIDE), np.int64(len(x)), np.int64(len(y)), 0.8)
+            near = simhash.similar(np.sort(x), np.sort(y), 0.8)
+            assert (may and coarse) or not near
+            kept[bool(may)] += not near
+    assert kept[False] > 2 * kept[True]
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    rows = [(1, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (3, None, None), (4, "h i j k l m n", "x")]
+    names = ("_doc", "_th", "doc", "id", "_row", "_source", "_order", "_bucket", "_k", "_sum")
+    docs = spark.createDataFrame([(*r, *(f"{n}{r[0]}" for n in names)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(kept.collect(), key=str) == sorted(docs.where("doc_id <> 2").collect(), key=str)
+    mixed = mixing.in_order(docs)
+    assert mixed.columns == docs.columns and sorted(mixed.collect(), key=str) == sorted(docs.collect(), key=str)
+
+
 # op 9
 
 def test_language(spark, tmp_path):
