@@ -127,6 +127,9 @@ class Identifier:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(self.langs) + 1))
 
+    def forget(self) -> None:
+        self.known, self.rows = {}, np.zeros((0, len(self.langs) + 1))
+
     def __getstate__(self):
         return {"langs": self.langs, "models": self.models, "bounds": self.bounds, "known": {}, "rows": np.zeros((0, len(self.langs) + 1))}
 
@@ -147,7 +150,7 @@ class Identifier:
         counted = [Counter(words(t)) for t in texts]
         fresh = list(dict.fromkeys(w for c in counted for w in c if w not in self.known))
         if len(self.known) + len(fresh) > KEPT:
-            self.known, self.rows = {}, np.zeros((0, len(self.langs) + 1))
+            self.forget()
             fresh = list(dict.fromkeys(w for c in counted for w in c))
         if fresh:
             at = len(self.known)
@@ -230,6 +233,7 @@ def identify(docs: DataFrame, learned: Identifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        shared.holding("language", m.forget)
         for b in shared.slices(batches):
             lang, score, bits, no = zip(*m.predict(b.column("text").to_pylist())) if b.num_rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(no, pa.bool_())], [*b.schema.names, "lang_pred", "score", "bits_per_char", "rejected"])

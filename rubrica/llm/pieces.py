@@ -319,6 +319,11 @@ class MergePieces:
                 self.words[w] = raw[begin:e] if i not in odd else np.array(self.to_ids(self.split(MARK + w)), "<u4").tobytes()
                 begin = e
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.pairs.clear()
+        self.tested.clear()
+
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
         kept, cut = self.words, []
@@ -396,6 +401,7 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(path)
+        shared.holding("pieces", m.forget)
         for b in shared.slices(batches):
             ids = m.encode_all(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([m.shown_text(x) for x in ids], pa.string())], [*b.schema.names, "n_tokens", "piece_ids", "decoded"])
@@ -410,6 +416,7 @@ def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(path)
+        shared.holding("pieces", m.forget)
         for b in shared.slices(batches):
             rows = [(len(x), hashlib.sha256(m.decimals(x).encode()).hexdigest(), hashlib.sha256(m.shown_text(x).encode()).hexdigest()) for x in m.encode_all(b.column("text").to_pylist())]
             n, a, d = zip(*rows) if rows else ((), (), ())

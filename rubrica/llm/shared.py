@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -44,6 +46,29 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holding(name: str, forget: Callable[[], None]) -> None:
+    """In a Python worker: what an operator keeps stays for its next task, until another operator's comes."""
+    release(name)
+    if name in _held and _held[name] != forget:
+        _held[name]()
+    _held[name] = forget
+
+
+def release(but: str | None = None) -> None:
+    """In a Python worker: what operators other than this one keep goes, and its memory back to the machine."""
+    gone = [_held.pop(n) for n in list(_held) if n != but]
+    for forget in gone:
+        forget()
+    if gone:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder; survives lost executors."""
     shared_dir(df.sparkSession)

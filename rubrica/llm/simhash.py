@@ -49,6 +49,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared.release()
     for b in batches:
         fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
@@ -160,6 +161,7 @@ def _print(base: np.ndarray) -> int:
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(hashes ascending, counts) of shingles that are common in a sample of rows (th, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.release()
         for b in batches:
             for some in shared.slices(iter([b])):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<u8"), *map(shingle_set, some.column("text").to_pylist())]).view(np.int64))], ["h"])
@@ -186,6 +188,7 @@ def prefix(base: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity:
 def _with_prints(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
     """(doc, th, id, size, keys) of rows (doc, th, text): id stands for the set of shingles, keys are its prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.release()
         for whole in batches:
             for b in shared.slices(iter([whole])):
                 sets = [shingle_set(t) for t in b.column("text").to_pylist()]
@@ -221,6 +224,7 @@ def _with_sets(rows: DataFrame, wide: bool) -> DataFrame:
     value = (lambda x: wide_fingerprint(x) + (x if len(x) < 2 * FEW else bitmap(x)).tobytes()) if wide else np.ndarray.tobytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.release()
         for whole in batches:
             for b in shared.slices(iter([whole])):
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([value(shingle_set(t)) for t in b.column("text").to_pylist()], pa.binary())], ["id", name])
@@ -264,6 +268,7 @@ def _close(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
     most = bounds(similarity)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.release()
         for b in batches:
             x, y = (_Sets(b.column(f"w{c}").to_pylist(), b.column(f"n{c}").to_numpy()) for c in "ab")
             at = np.arange(b.num_rows)
@@ -278,6 +283,7 @@ def _close(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) whose sets have the similarity, exactly; texts are (id, text)."""
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.release()
         for b in batches:
             yield b.select(["a", "b"]).filter(pa.array([similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), similarity) for x, y in zip(b.column("sa"), b.column("sb"))], pa.bool_()))
 
@@ -325,6 +331,7 @@ def set_links(listed: DataFrame, texts: DataFrame, similarity: float = SIMILARIT
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root").join(fps, "id")
 
     def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        shared.release()
         root, own, ids, size = (g[c].to_numpy() for c in ("root", "own", "id", "size"))
         sets = _Sets(list(g["wide"]), size)
         left, right, out = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2]), []
