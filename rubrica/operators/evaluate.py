@@ -17,8 +17,12 @@ def last_wins(rows: DataFrame, *keys: str, order: str) -> DataFrame:
 
 
 def bound(gens: DataFrame, passages: DataFrame, nli: DataFrame | None = None) -> DataFrame:
-    """Generations with their passage (empty if unknown) and entailment scores. The engine picks the join by the sides' sizes."""
-    own = passages.select("passage_id", F.col("text").alias("passage"), "key_concepts", "methods_principles")
+    """Generations with their passage (empty if unknown; of rows that repeat an id the last read) and entailment scores.
+
+    The passages are grouped by the id that the join needs, so this adds no shuffle to a join of two large sides.
+    """
+    own = passages.select("passage_id", F.col("text").alias("passage"), "key_concepts", "methods_principles", F.monotonically_increasing_id().alias("_at"))
+    own = last_wins(own, "passage_id", order="_at").drop("_at")
     out = gens.withColumn("mode", F.coalesce("mode", F.lit("standard"))).join(own, "passage_id", "left")
     if nli is None:
         none = F.lit(None).cast("struct<entailment:double,neutral:double,contradiction:double>")
@@ -36,7 +40,7 @@ def evaluated(gens: DataFrame, passages: DataFrame, nli: DataFrame | None = None
         *gens.columns, "constraints",
         (~none & F.forall("constraints", lambda c: c["passed"])).alias("all_passed"),
         F.when(none, F.lit(0.0)).otherwise(F.size(F.filter("constraints", lambda c: c["passed"])) / F.size("constraints")).alias("pass_rate"),
-        F.when(none, F.lit("No question extracted")).alias("evaluation_error"),
+        F.when(none, F.lit("No question generated")).alias("evaluation_error"),
     )
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from ..functions import text as t
 
-QUESTION, ANSWER = r"(?is)QUESTION:\s*(.+?)(?=ANSWER:|$)", r"(?is)ANSWER:\s*(.+)"
-Q, A = r"(?is)(?:^|\n)\s*Q:\s*(.+?)(?=\nA:|$)", r"(?is)(?:^|\n)\s*A:\s*(.+)"
+QUESTION, ANSWER = rf"(?isU)QUESTION:{t.SPACE}*(.+?)(?=ANSWER:|$)", rf"(?isU)ANSWER:{t.SPACE}*(.+)"
+Q, A = rf"(?isU)(?:^|\n){t.SPACE}*Q:{t.SPACE}*(.+?)(?=\nA:|$)", rf"(?isU)(?:^|\n){t.SPACE}*A:{t.SPACE}*(.+)"
 
 
 def strip_think(raw: Column, model: Column) -> Column:
@@ -20,8 +20,8 @@ def clean(x: Column) -> Column:
     """Surrounding quotes, a leading number, a leading label and repeated white space go; null if nothing is left."""
     y = t.strip(x)
     y = t.let(y, lambda s: F.when(s.rlike(r"""(?s)\A(?:".*"|'.*'|["'])\z"""), F.when(F.length(s) < 2, F.lit("")).otherwise(t.strip(F.substring(s, F.lit(2), F.length(s) - 2)))).otherwise(s))
-    y = F.regexp_replace(y, r"^\d+[.)]\s*", "")
-    y = F.regexp_replace(y, r"^(?i)(?:Question|Answer|Q|A)\s*:\s*", "")
+    y = F.regexp_replace(y, rf"(?U)^\d+[.)]{t.SPACE}*", "")
+    y = F.regexp_replace(y, rf"(?iU)^(?:Question|Answer|Q|A){t.SPACE}*:{t.SPACE}*", "")
     y = t.strip(F.regexp_replace(y, f"{t.SPACE}+", " "))
     return F.nullif(y, F.lit(""))
 

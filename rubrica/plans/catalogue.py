@@ -91,7 +91,7 @@ def queries() -> dict[str, Query]:
         "key_concepts_simple": _docs(lambda x: ps.key_concepts(x.withColumnRenamed("doc_id", "passage_id")).select("passage_id", F.array_join("key_concepts", "|").alias("key_concepts"))),
         "methods_principles": _docs(lambda x: x.select(F.col("doc_id").alias("passage_id"), F.array_join(ps.methods_principles(text("text")), "|").alias("methods_principles"))),
         "generations": lambda s, d: fx.gens(s, d).drop("subject"),
-        "evaluated_records": _eval(lambda e: e.select("gen_id", F.size("constraints").cast("long").alias("n_constraints"), "all_passed", "pass_rate")),
+        "evaluated_records": _eval(lambda e: e.select("gen_id", F.size("constraints").cast("long").alias("n_constraints"), "all_passed", "pass_rate", "evaluation_error")),
         "evaluated_results": _eval(lambda e: metrics.exploded(e).select("gen_id", "id", "tier", "passed", "score")),
         "prompt_strict": _eval(metrics.prompt_strict), "prompt_loose": _eval(metrics.prompt_loose), "prompt_pass_rate": _eval(metrics.prompt_strict),
         "constraint_strict": _eval(metrics.constraint_strict), "constraint_loose": _eval(metrics.constraint_loose),

@@ -221,7 +221,7 @@ def sql() -> dict[str, str]:
         "key_concepts_simple": f"{t} SELECT passage_id, array_to_string(key_concepts, '|') AS key_concepts FROM kcs",
         "methods_principles": f"{t} SELECT passage_id, array_to_string(methods_principles, '|') AS methods_principles FROM fx_passages",
         "generations": f"{gx} SELECT gen_id, model, mode, level, vocab_level, passage_id, question, answer, error, raw_response FROM fx_gens",
-        "evaluated_records": f"{BASE} SELECT gen_id, n AS n_constraints, all_passed, CASE WHEN n = 0 THEN 0.0 ELSE n_pass::DOUBLE / n END AS pass_rate FROM ev",
+        "evaluated_records": f"{BASE} SELECT gen_id, n AS n_constraints, all_passed, CASE WHEN n = 0 THEN 0.0 ELSE n_pass::DOUBLE / n END AS pass_rate, CASE WHEN n = 0 THEN 'No question generated' END AS evaluation_error FROM ev",
         "evaluated_results": f"{BASE} SELECT gen_id, id, tier, passed, score FROM res",
         "prompt_strict": rates("model, mode"), "prompt_loose": rates("model, mode", ok="loose", more="count_if(n = 0)::BIGINT AS n_empty,"),
         "prompt_pass_rate": rates("model, mode"),

@@ -13,7 +13,7 @@ RAW = [
     (None, None, None), ("   ", None, None), ("QUESTION: a b\nANSWER: c", "a b", "c"), ("ANSWER: c\nQUESTION: a", "a", "c\nQUESTION: a".replace("\n", " ")), ("question: a answer: c", "a", "c"),
     ("QUESTION: only", "only", None), ("Q: x\nA: y", "x", "y"), ("What is it? Rest here", "What is it?", "Rest here"), ("What?", "What?", None), ("? x", "? x", None),
     ("one\n\ntwo\nthree", "one", "two three"), ("single line", "single line", None), ('"quoted"', "quoted", None), ("1. numbered", "numbered", None), ('QUESTION: Question: a\nANSWER: 2) b', "a", "b"), ('"', None, None),
-    ("'a' b", "'a' b", None), ("QUESTION:  \nANSWER: z", "z", "z"),
+    ("'a' b", "'a' b", None), ("QUESTION:  \nANSWER: z", "z", "z"), ("QUESTION: 1.\u00a0Question: What is x?\nANSWER: \u0663) y", "What is x?", "y"), ("Q:\u3000a\u2003b\nA:\u00a0c", "a b", "c"),
 ]
 
 
@@ -24,6 +24,15 @@ def test_extraction(spark):
         assert got[i] == (q, a), r
 
 
+def test_last_passage_of_an_id_wins(spark):
+    one = "id long, passage_id string, text string, key_concepts array<string>, methods_principles array<string>"
+    known = spark.createDataFrame([(1, "p", "old", ["a"], []), (2, "q", "other", [], []), (3, "p", "new", ["b"], None)], one).coalesce(1)
+    gens = spark.createDataFrame([(7, "p", None), (8, "none", "standard")], "gen_id long, passage_id string, mode string")
+    got = {r["gen_id"]: r for r in evaluate.bound(gens, known.drop("id")).collect()}
+    assert len(got) == 2 and (got[7]["passage"], got[7]["key_concepts"], got[7]["mode"]) == ("new", ["b"], "standard") and got[8]["passage"] is None
+    assert evaluate.bound(gens, known.drop("id")).count() == 2
+
+
 def test_think_blocks(spark):
     df = spark.createDataFrame([("<think>a\nb</think>  c", "deepseek-r1:14b"), ("<think>a</think> c", "phi4:14b")], "r string, m string")
     assert [x[0] for x in df.select(extract.strip_think(F.col("r"), F.col("m"))).collect()] == ["c", "<think>a</think> c"]
