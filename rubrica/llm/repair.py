@@ -2,10 +2,9 @@
 
 Documents are tokenized, an end id is appended to each, and the ids are stored in ascending order of
 doc_id. A shard holds about ``SHARD_TOKENS`` ids of whole documents. Its sequence is rewritten round by
-round: the frequent neighbouring pairs become nonterminals, until none is frequent or ``ROUNDS`` is
-reached. (One pair at a time would be a pass over the shard for each rule; a round replaces up to
-``RULES`` pairs at once, the most frequent winning where occurrences overlap by being counted first,
-then from left to right.) A shard stores its rules, each rule's expansion length, the final sequence,
+round: the neighbouring pairs that occur ``FREQUENT`` times or more become nonterminals, until there are
+none. (One pair at a time would be a pass over the shard for each rule; a round replaces many at once,
+the most frequent winning where occurrences overlap, and looks again only at places that changed.) A shard stores its rules, each rule's expansion length, the final sequence,
 the documents' ids and their token counts. ``decode_range`` reads any span of a shard without
 expanding the rest.
 

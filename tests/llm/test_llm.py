@@ -484,8 +484,21 @@ def test_grammar_round_trip(ids):
 
 def test_grammar_compresses():
     ids = np.tile(np.arange(20, dtype=np.uint32), 500)
-    rules, lengths, seq = repair.grammar(ids)
-    assert len(seq) < len(ids) / 8 and lengths.max() > 8
+    base, rules, lengths, seq = repair.grammar(ids)
+    assert base == 20 and len(seq) < len(ids) / 8 and lengths.max() > 8
+
+
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(3)
+    for ids in (np.tile(np.arange(3), 5000), rng.integers(0, 40, 20_000), rng.zipf(1.3, 50_000) % 5000, np.zeros(3000)):
+        base, rules, lengths, seq = repair.grammar(ids.astype(np.uint32))
+        assert (repair.expand(base, rules, lengths, seq) == ids).all()
+        apart, last = Counter(), {}
+        for i, pair in enumerate(zip(seq.tolist(), seq[1:].tolist())):
+            if last.get(pair) != i - 1 or pair[0] != pair[1]:
+                apart[pair] += 1
+                last[pair] = i
+        assert max(apart.values(), default=0) < repair.FREQUENT
 
 
 @pytest.mark.parametrize("size", [1 << 20, 40])
@@ -511,7 +524,7 @@ def test_token_files(spark, odd, empty, size):
 def test_chunks_equal_whole_texts():
     enc = repair.Encoder(repair.default_tokenizer())
     for t in ("a  b   c ", " \n x", "it's <|endoftext|> x  y", "a\x1c b\x1f  c", "\t\t d", "日本 語  x", "e' ll 're  "):
-        assert enc.ids([t])[0] == np.array([*enc.kept.tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+        assert enc.ids([t])[0] == np.array([*enc.tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
 
 
 def test_added_tokens_as_by_the_library():
