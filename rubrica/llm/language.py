@@ -2,7 +2,8 @@
 
 One model per language predicts each character of a word and its end from the four characters before
 it, inside the word and its boundary. An order's n-grams and contexts lie in sorted arrays of 64-bit
-hashes with their probabilities and back-off weights beside them; looking up is a binary search. A
+hashes with their probabilities and back-off weights beside them; looking up is a binary search, one
+for all languages at a place, as their arrays are joined with a column for each language. A
 text gets the language of the lowest cross-entropy in bits a character. A document is rejected if that
 entropy lies further above what the language's own documents have than chance explains; the bound is
 calibrated on labelled documents the models haven't seen.
@@ -118,30 +119,64 @@ class CharacterModel:
         return np.where(keys[i] == wanted, values[i], default)
 
 
+class JointModels:
+    """The models of several languages over one sorted array of hashes an order, a column for each language.
+
+    keys[k] holds the (k + 1)-grams that any language predicts or predicts from; one search finds the row of
+    probs[k] (its own, as an n-gram) and of weights[k] (of order k + 2, whose context it is). The last row is for what isn't there.
+    """
+
+    def __init__(self, models: list[CharacterModel]):
+        self.first, self.floor = np.array([m.weights[0][0] for m in models]), np.array([m.floor for m in models])
+        self.keys, self.probs, self.weights = [], [], []
+        for k in range(ORDER):
+            told = [m.contexts[k + 1] for m in models] if k + 1 < ORDER else []
+            keys = np.unique(np.concatenate([*(m.grams[k] for m in models), *told]))
+            p, w = np.zeros((len(keys) + 1, len(models))), np.ones((len(keys) + 1, len(models)))
+            for i, m in enumerate(models):
+                p[np.searchsorted(keys, m.grams[k]), i] = m.probs[k]
+                if told:
+                    w[np.searchsorted(keys, m.contexts[k + 1]), i] = m.weights[k + 1]
+            self.keys.append(keys)
+            self.probs.append(p)
+            self.weights.append(w if told else None)
+
+    def bits(self, hs: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        """Of each predicted character under each model."""
+        p = np.broadcast_to(self.floor, (len(at), len(self.floor)))
+        weight = self.first
+        for k, keys in enumerate(self.keys):
+            i = np.minimum(np.searchsorted(keys, hs[k]), len(keys) - 1)
+            i[keys[i] != hs[k]] = len(keys)
+            p = self.probs[k][i[at]] + p * weight
+            if k + 1 < ORDER:
+                weight = self.weights[k][i[at - 1]]
+        return -np.log2(np.maximum(p, 1e-12))
+
+
 class Identifier:
     """The models of all languages and the bounds of what they accept: of each language (mean, scale)."""
 
     def __init__(self, models: dict[str, CharacterModel], bounds: dict[str, tuple[float, float]] | None = None):
         self.langs, self.bounds = sorted(models), bounds or {}
-        self.models = [models[x] for x in self.langs]
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.langs) + 1))
+        self.joint = JointModels([models[x] for x in self.langs]) if models else None
+        self.forget()
 
     def forget(self) -> None:
-        self.known, self.rows = {}, np.zeros((0, len(self.langs) + 1))
+        """Words seen so far: the row of each, and in the rows its bits under each model and its characters."""
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((0, len(self.langs) + 1))
 
     def __getstate__(self):
-        return {"langs": self.langs, "models": self.models, "bounds": self.bounds, "known": {}, "rows": np.zeros((0, len(self.langs) + 1))}
+        return {"langs": self.langs, "joint": self.joint, "bounds": self.bounds, "known": {}, "rows": np.zeros((0, len(self.langs) + 1))}
 
     def _word_bits(self, some: list[str]) -> np.ndarray:
         out = np.empty((len(some), len(self.langs) + 1))
         for at in range(0, len(some), 20_000):
             part = some[at : at + 20_000]
             c, said = codes(part)
-            hs, where = hashes(c), np.flatnonzero(said)
             starts = np.cumsum([0, *(len(w) + 1 for w in part)])[:-1]
-            for i, m in enumerate(self.models):
-                out[at : at + len(part), i] = np.add.reduceat(m.bits(hs, where), starts)
+            out[at : at + len(part), :-1] = np.add.reduceat(self.joint.bits(hashes(c), np.flatnonzero(said)), starts, axis=0)
             out[at : at + len(part), -1] = [len(w) + 1 for w in part]
         return out
 
