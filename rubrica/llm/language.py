@@ -264,6 +264,7 @@ def identify(docs: DataFrame, learned: Identifier) -> DataFrame:
 
     The models, bounded by the sample they were fitted on, travel in a broadcast variable.
     """
+    shared.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

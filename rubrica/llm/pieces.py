@@ -397,6 +397,7 @@ def default_model() -> str:
 
 def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
     """docs with n_tokens long, piece_ids array<int> and decoded string. The general form; one pass, no shuffle."""
+    shared.small_batches(docs.sparkSession)
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,6 +413,7 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
+    shared.small_batches(docs.sparkSession)
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

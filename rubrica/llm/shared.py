@@ -46,6 +46,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; both sides hold a few of them for each task.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of BATCH_BYTES, unless the session sets another size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 _held: dict[str, Callable[[], None]] = {}
 
 
@@ -64,6 +75,7 @@ def release(but: str | None = None) -> None:
         forget()
     if gone:
         gc.collect()
+        pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
         if trim:
             trim(0)

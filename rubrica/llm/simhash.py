@@ -57,6 +57,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long: the 64 bits)."""
+    shared.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
@@ -358,6 +359,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     short. No pair is missed and every link is verified on the sets (of 64-bit hashes, like their ids).
     Columns of any name come back as they were.
     """
+    shared.small_batches(docs.sparkSession)
     large = F.lit((1 << 63) - 1)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # no column of docs stands beside the stage's own
     marked = docs.select(F.coalesce(F.col("doc_id").cast("long"), large).alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_th"), whole)
