@@ -70,6 +70,13 @@ def gap(e: DataFrame, by: list[str]) -> DataFrame:
     return e.groupBy(*by).agg(one(std).alias("standard"), one(adv).alias("adversarial")).withColumn("gap", F.col("standard") - F.col("adversarial"))
 
 
+def gap_by_level(e: DataFrame) -> DataFrame:
+    """The gap of every model at each of the six levels; one without records has rates of 0. One aggregation, no join."""
+    one = lambda m: F.coalesce(F.try_divide(F.count_if(m & F.col("all_passed")), F.count_if(m)), F.lit(0.0))
+    rates = lambda n: F.struct(F.lit(n).alias("level"), *(one((F.col("level") == n) & (F.col("mode") == m)).alias(m) for m in ("standard", "adversarial")))
+    return e.groupBy("model").agg(F.array(*map(rates, v.LEVELS)).alias("levels")).select("model", F.inline("levels")).withColumn("gap", F.col("standard") - F.col("adversarial"))
+
+
 def interval(values: np.ndarray) -> tuple[float, float]:
     """Percentile bootstrap of the mean of 0/1 values in order, reseeded for each call."""
     if len(values) < 2:
@@ -106,6 +113,11 @@ def ready(gens: DataFrame, most_errors: float = v.MAX_ERRORS) -> DataFrame:
     return models.withColumn("ready", (F.col("modes") == 2) & (F.col("error_rate") <= most_errors))
 
 
+def of_ready(e: DataFrame, gens: DataFrame) -> DataFrame:
+    """The records of models that are ready to be ranked, by the generations that gens holds."""
+    return e.join(ready(gens).where("ready").select("model"), "model", "left_semi")
+
+
 def prompt_rates(e: DataFrame, by: list[str]) -> DataFrame:
     """Strict and loose rates in one aggregation."""
     n = F.count("*")

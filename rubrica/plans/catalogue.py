@@ -96,7 +96,7 @@ def queries() -> dict[str, Query]:
         "prompt_strict": _eval(metrics.prompt_strict), "prompt_loose": _eval(metrics.prompt_loose), "prompt_pass_rate": _eval(metrics.prompt_strict),
         "constraint_strict": _eval(metrics.constraint_strict), "constraint_loose": _eval(metrics.constraint_loose),
         "by_level": _eval(metrics.by_level), "by_subject": _eval(metrics.by_subject), "by_constraint": _eval(metrics.by_constraint), "by_tier": _eval(metrics.by_tier),
-        "constraint_breakdown": _eval(metrics.pooled), "adversarial_gap": _eval(lambda e: metrics.gap(e, ["model"])), "gap_by_level": _eval(lambda e: metrics.gap(e, ["model", "level"])),
+        "constraint_breakdown": _eval(metrics.pooled), "adversarial_gap": _eval(lambda e: metrics.gap(e, ["model"])), "gap_by_level": _eval(metrics.gap_by_level),
         "leaderboard": _eval(metrics.leaderboard), "running_progress": _eval(lambda e: metrics.progress(e, 10)), "bootstrap_ci": _eval(metrics.bootstrap),
         "complete_files": lambda s, d: metrics.complete(fx.gens(s, d), 20), "ready_models": lambda s, d: metrics.ready(fx.gens(s, d)),
         "work_list": _docs(lambda x: evaluate.work_list(x.withColumnRenamed("doc_id", "passage_id"), "standard").drop("vocab_level")), "resume_anti_join": _resume,

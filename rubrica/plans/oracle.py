@@ -229,7 +229,8 @@ def sql() -> dict[str, str]:
         "by_level": rates("model, mode, level"), "by_subject": rates("model, mode, coalesce(subject, 'unknown') AS subject"),
         "by_constraint": rates("model, mode, id", "res", "passed"), "by_tier": rates("model, mode, tier", "res", "passed"),
         "constraint_breakdown": rates("id", "res", "passed", "mode = 'standard'"),
-        "adversarial_gap": BASE + gap("model"), "gap_by_level": BASE + gap("model, level"),
+        "adversarial_gap": BASE + gap("model"), "gap_by_level": f"""{BASE}, g AS ({gap('model, level')}) SELECT model, level, coalesce(standard, 0) AS standard, coalesce(adversarial, 0) AS adversarial, coalesce(gap, 0) AS gap
+            FROM (SELECT DISTINCT model FROM ev) CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6])::INT AS level) LEFT JOIN g USING (model, level)""",
         "leaderboard": f"""{BASE}, g AS ({gap('model')}), l AS (SELECT model, count_if(loose)::DOUBLE / count(*) AS standard_loose FROM ev WHERE mode = 'standard' GROUP BY 1),
             c AS (SELECT model, count_if(passed)::DOUBLE / count(*) AS constraint_strict, count_if(score >= {v.LOOSE})::DOUBLE / count(*) AS constraint_loose FROM res WHERE mode = 'standard' GROUP BY 1)
             SELECT g.*, standard_loose, constraint_strict, constraint_loose, row_number() OVER (ORDER BY gap, model)::INT AS rank FROM g LEFT JOIN l USING (model) LEFT JOIN c USING (model)""",

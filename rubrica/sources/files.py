@@ -62,8 +62,13 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def leaderboard_document(e: DataFrame, gens_stats: dict | None = None) -> dict:
-    """The published document. Everything gathered is one row a model, level, constraint, tier or subject. Rates are rounded here; the gap is taken from rounded rates."""
+def leaderboard_document(e: DataFrame, gens_stats: dict | None = None, gens: DataFrame | None = None) -> dict:
+    """The published document. Everything gathered is one row a model, level, constraint, tier or subject. Rates are rounded here; the gap is taken from rounded rates.
+
+    With gens, the generations behind e, only models that are ready by them are ranked: both modes, at most a tenth of errors in each.
+    """
+    if gens is not None:
+        e = metrics.of_ready(e, gens)
     r4 = lambda x: round(x or 0, 4)
     shown = {r["model"]: (r["d"]["name"], r["d"]["params"]) for r in e.select("model").distinct().withColumn("d", prompts.display_name(F.col("model"))).collect()}
     strict = {(r["model"], r["mode"]): r for r in metrics.prompt_strict(e).collect()}
@@ -100,8 +105,8 @@ def leaderboard_document(e: DataFrame, gens_stats: dict | None = None) -> dict:
     }
 
 
-def write_leaderboard(e: DataFrame, path: str) -> dict:
-    doc = leaderboard_document(e)
+def write_leaderboard(e: DataFrame, path: str, gens: DataFrame | None = None) -> dict:
+    doc = leaderboard_document(e, gens=gens)
     write_text(e.sparkSession, path, json.dumps(doc, indent=2))
     return doc
 

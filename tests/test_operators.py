@@ -178,3 +178,13 @@ def test_stream(spark, tmp_path):
     q = incremental.evaluate_stream(spark.readStream.schema(gens.schema).parquet(str(tmp_path / "in")), known, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_six_levels_and_ready_gate(spark):
+    rows = [("a", "standard", 1, True), ("a", "adversarial", 1, False), ("a", "standard", 3, False), ("b", "standard", 2, True)]
+    e = spark.createDataFrame(rows, "model string, mode string, level int, all_passed boolean")
+    got = {(r["model"], r["level"]): (r["standard"], r["adversarial"], r["gap"]) for r in metrics.gap_by_level(e).collect()}
+    assert len(got) == 12 and got["a", 1] == (1.0, 0.0, 1.0) and got["a", 3] == got["b", 6] == (0.0, 0.0, 0.0) and got["b", 2] == (1.0, 0.0, 1.0)
+    gens = spark.createDataFrame([(m, mode, "x" if m == "c" and i < 2 else None) for m in "ac" for mode in ("standard", "adversarial") for i in range(10)] + [("b", "standard", None)], "model string, mode string, error string")
+    both = e.union(spark.createDataFrame([("c", "standard", 1, True)], e.schema))
+    assert {r["model"] for r in metrics.of_ready(both, gens).collect()} == {"a"}
