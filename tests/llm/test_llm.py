@@ -455,6 +455,13 @@ def test_language_odd_rows(spark, odd, empty, tmp_path):
     assert {r["lang_pred"] for r in none} == {"und"} and len(none) == len(ODD)
 
 
+def test_joint_models_equal_each_of_them():
+    models = [language.CharacterModel.fit(Counter(ws)) for ws in (["abba", "abab", "bab", "ba"], ["über", "aber", "ab", "ab"], ["x"])]
+    c, said = language.codes(["abba", "aber", "zz", "x", "b"])
+    hs, at = language.hashes(c), np.flatnonzero(said)
+    assert np.array_equal(language.JointModels(models).bits(hs, at), np.stack([m.bits(hs, at) for m in models], axis=1))
+
+
 def test_kneser_ney_sums_to_one():
     m = language.CharacterModel.fit(Counter(["abba", "abab", "bab", "ba"]))
     alphabet = "ab "
