@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, html, language, licenses, mixing, mpeg, pieces, repair, sharding, simhash
+from . import decontaminate, embeddings, html, language, licenses, mixing, mpeg, pieces, repair, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_language": language.op9_language,
     "op10_repair": repair.op10_repair,
+    "op11_decontaminate": decontaminate.op11_decontaminate,
 }
 
-SQL = {"op6_mixing": mixing.OP6_SQL}
+SQL = {"op6_mixing": mixing.OP6_SQL, "op11_decontaminate": decontaminate.OP11_SQL}
