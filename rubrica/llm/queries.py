@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, html, language, licenses, mixing, mpeg, pieces, repair, sharding, simhash
+from . import decontaminate, embeddings, html, language, licenses, mixing, mpeg, pieces, repair, resample, sharding, simhash, whitening
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_language": language.op9_language,
     "op10_repair": repair.op10_repair,
     "op11_decontaminate": decontaminate.op11_decontaminate,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_resample": resample.op13_resample,
 }
 
 SQL = {"op6_mixing": mixing.OP6_SQL, "op11_decontaminate": decontaminate.OP11_SQL}
