@@ -66,8 +66,57 @@ def any_of(x: Column, patterns: list[str]) -> Column:
 
 
 def first_of(x: Column, patterns: list[str]) -> Column:
-    """The first of the list that x contains, or null: the evidence."""
-    return F.get(F.filter(F.array(*map(F.lit, patterns)), lambda p: F.contains(x, p)), F.lit(0))
+    """The first of the list that x contains, or null: the evidence. The list is gone through only where some pattern occurs."""
+    return F.when(any_of(x, patterns), F.get(F.filter(F.array(*map(F.lit, patterns)), lambda p: F.contains(x, p)), F.lit(0)))
+
+
+def first_match(x: Column, patterns: list[str]) -> Column:
+    """What the first of the regular expressions that matches x matches, or null."""
+    return F.coalesce(*(F.when(x.rlike(p), F.regexp_extract(x, p, 0)) for p in patterns))
+
+
+def quoted(x: Column) -> Column:
+    """A string as Python shows it in a list: quotes chosen by what it holds, control characters and odd white space as escapes."""
+    def shown(c: Column) -> Column:
+        code = F.ascii(c)  # the code point
+        return (
+            F.when(c == "\\", F.lit("\\\\")).when(c == "\n", F.lit("\\n")).when(c == "\r", F.lit("\\r")).when(c == "\t", F.lit("\\t"))
+            .when(~c.rlike(r"^[\p{C}\p{Z}&&[^ ]]$"), c)
+            .when(code < 256, F.format_string("\\x%02x", code)).when(code < 65536, F.format_string("\\u%04x", code)).otherwise(F.format_string("\\U%08x", code))
+        )
+
+    plain = F.when(x.rlike(r"[\\\p{C}\p{Z}&&[^ ]]"), F.array_join(F.transform(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), shown), "")).otherwise(x)
+    return let(plain, lambda y: F.when(~F.contains(x, F.lit("'")), F.concat(F.lit("'"), y, F.lit("'"))).when(~F.contains(x, F.lit('"')), F.concat(F.lit('"'), y, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(y, F.lit("'"), F.lit("\\'")), F.lit("'"))))
+
+
+def listed(xs: Column, most: int | None = None) -> Column:
+    """An array of strings, or its first ones, as Python shows a list."""
+    return F.concat(F.lit("["), F.array_join(F.transform(xs if most is None else F.slice(xs, 1, most), quoted), ", "), F.lit("]"))
+
+
+def percent(x: Column) -> Column:
+    """In whole per cent, halves to the even one."""
+    return F.concat(F.rint(x * 100).cast("long").cast("string"), F.lit("%"))
+
+
+def thousandths(x: Column) -> Column:
+    """With three digits after the point; x isn't negative."""
+    return let(F.rint(x * 1000).cast("long"), lambda n: F.format_string("%d.%03d", F.floor(n / 1000).cast("long"), n % 1000))
+
+
+def message(template: str, **values: Column | int | str) -> Column:
+    """template with its {names} filled in."""
+    parts = re.split(r"\{(\w+)\}", template)
+    filled = [F.lit(x) if i % 2 == 0 else values[x].cast("string") if isinstance(values[x], Column) else F.lit(str(values[x])) for i, x in enumerate(parts) if i % 2 or x]
+    return F.concat(*filled) if len(filled) > 1 else filled[0]
+
+
+def first_found(cases: list[tuple[Column, Callable[[Column], Column]]], last: Column) -> Column:
+    """result(x) of the first case whose x isn't null; a case is only looked at where those before it found nothing."""
+    if not cases:
+        return last
+    (found, result), *rest = cases
+    return let(found, lambda x: F.when(x.isNotNull(), result(x)).otherwise(first_found(rest, last)))
 
 
 def escaped(x: Column) -> Column:

@@ -138,5 +138,134 @@ HINTS = {
     5: "Your question must:\n- Present a claim or position for the student to evaluate\n- Ask for evidence-based reasoning (use \"justify\", \"based on\", \"why or why not\")\n- The answer should contain argumentation with contrasting viewpoints",
     6: "Your question must:\n- Ask the student to design, create, or propose something original\n- Include at least 2 specific requirements or constraints\n- The answer should be substantial (more than 50 words) and go beyond what's in the passage",
 }
-OPENING = "You are generating an educational question from a textbook passage.\n\nPASSAGE:\n"
-CLOSING = "\n\nRespond in this EXACT format (nothing else):\nQUESTION: [your question]\nANSWER: [a reference answer]"
+# The prompts, whole.
+STANDARD_PROMPT = (
+    "You are generating an educational question from a textbook passage.\n\nPASSAGE:\n{text}\n\nTASK: Generate a {name}-level question (Bloom's Taxonomy) about this passage.\n\n"
+    "At the {name} level, students should be able to {definition}.\n\n{hints}\n\n"
+    "Respond in this EXACT format (nothing else):\nQUESTION: [your question]\nANSWER: [a reference answer]"
+)
+ADVERSARIAL_PROMPT = (
+    "You are generating an educational question from a textbook passage.\n\nPASSAGE:\n{text}\n\nTASK: Generate a {name}-level question (Bloom's Taxonomy), but you MUST use vocabulary from the {other} level.\n\n"
+    "The cognitive demand of your question must be {name} (students should {definition}), even though the wording uses {other}-level verbs like: {eight}.\n\n"
+    "IMPORTANT: Do NOT use verbs like {avoided}. Instead, use verbs like: {six}.\n\n{hints}\n\n"
+    "Respond in this EXACT format (nothing else):\nQUESTION: [your question]\nANSWER: [a reference answer]"
+)
+
+# Patterns of named methods (the first is matched in any case, as are the others), of capitalised terms, of what a page's text leaves out, and of marked answers.
+METHOD_PATTERNS = [
+    r"([A-Z][a-z]+(?:'s)?\s+(?:law|principle|theory|theorem|equation|rule|effect|model|hypothesis|method|paradox|constant))",
+    r"(?:the\s+)?(?:law|principle|theory|theorem)\s+of\s+([\w\s]+?)(?:\.|,|\s+is|\s+states)",
+    r"(?:the\s+)?([\w\s]+?)\s+(?:formula|equation|method|technique|algorithm|procedure|process)",
+]
+#: What a text must hold for each of them to match.
+METHOD_WORDS = [r"law|principle|theory|theorem|equation|rule|effect|model|hypothesis|method|paradox|constant", r"(?:law|principle|theory|theorem)\s+of", r"formula|equation|method|technique|algorithm|procedure|process"]
+CAPITALISED = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+DROPPED_TAGS = ["figure", "table", "footer", "nav", "script", "style", "aside", "svg", "math"]
+DROPPED_CLASSES = ["exercise", "problem", "solution", "review", "key-terms", "glossary", "os-teacher", "learning-objectives", "abstract"]
+CAPTIONS = r"^(?:Figure|Table|Equation)\s+\d"
+QUESTION_MARKER, ANSWER_MARKER = r"QUESTION:\s*(.+?)(?=ANSWER:|$)", r"ANSWER:\s*(.+)"
+SHORT_QUESTION_MARKER, SHORT_ANSWER_MARKER = r"(?:^|\n)\s*Q:\s*(.+?)(?=\nA:|$)", r"(?:^|\n)\s*A:\s*(.+)"
+
+# The words in which each rule states its evidence, and the first line that describes it. Results must equal them.
+DETAILS = {
+    "U1": {
+        "empty": "Empty question", "mark": "Ends with '?'", "task": "Task prompt starting with '{found}'", "ending": "Response-request ending: '{found}'",
+        "word": "Contains question word '{found}'", "none": "Ends with '{found}', not '?', and no task/question structure found",
+    },
+    "U2": {"short": "Too short: {n} words (min {least})", "long": "Too long: {n} words (max {most})", "ok": "{n} words (valid range)"},
+    "U3": {
+        "skipped": "No key concepts provided; skipped", "ok": "{n}/{total} key terms in Q+A: {found}",
+        "none": "Only {n}/{total} key terms in Q+A (need >={least}). Found: {found}, missing: {missing}",
+    },
+    "U4": {"empty": "Empty output", "short": "Output too short: '{found}'", "repeated": "Word '{found}' repeated {n}x (max {most})", "ok": "No degenerate patterns detected"},
+    "R1": {
+        "verb": "Contains Remember verb: '{found}'", "pattern": "Contains recall pattern: '{found}'",
+        "none": "No Remember verbs or recall patterns found. Expected Bloom's verbs {verbs}... or patterns like 'What is', 'How many', 'When did'...",
+    },
+    "R2": {
+        "skipped": "No key concepts provided; skipped", "ok": "{n} concept(s) found: {found} (max {most})",
+        "none": "{n} concepts found: {found} (max {most}). Remember questions should target a single concept.",
+    },
+    "R3": {"ok": "Answer is {n} words (max {most})", "none": "Answer is {n} words (max {most}). Remember answers should be short, factual."},
+    "R4": {
+        "skipped": "No content words in answer; skipped", "ok": "{share} of answer words found in passage (threshold {least})",
+        "none": "Only {share} of answer words found in passage (need >={least}). Remember answers should be directly extractable.",
+    },
+    "D1": {
+        "verb": "Contains Understand verb: '{found}'", "pattern": "Contains comprehension pattern: '{found}'",
+        "none": "No Understand verbs or comprehension patterns found. Expected Bloom's verbs {verbs}... or patterns like 'Why is', 'How does', 'What is the purpose'...",
+    },
+    "D2": {
+        "skipped": "Answer too short to evaluate; skipped", "ok": "{share} trigram overlap with passage (max {most}). Answer is paraphrased.",
+        "none": "{share} trigram overlap with passage (max {most}). Understand answers should paraphrase, not copy.",
+    },
+    "D4": {"ok": "Contains meaning marker: '{found}'", "none": "No meaning markers found (how/why/explain/describe). Understand questions should ask about meaning."},
+    "D3": {
+        "skipped": "Missing passage or answer; skipped", "error": "NLI error: {found}", "ok": "Answer consistent with passage: contradiction={score} (threshold <0.5)",
+        "none": "Answer contradicts passage: contradiction={score} (need <0.5). Understand answers must be consistent with the text.",
+    },
+    "P1": {
+        "verb": "Contains Apply verb: '{found}'", "pattern": "Contains application pattern: '{found}'",
+        "none": "No Apply verbs or application patterns found. Expected Bloom's verbs {verbs}... or patterns like 'If a...', 'Given that...', 'How would you...'...",
+    },
+    "P3": {
+        "concept": "References passage concept: {found}", "method": "References method/principle: {found}", "shared": "Q+A shares {share} vocabulary with passage",
+        "skipped": "No concepts/methods provided; skipped", "none": "Q+A does not reference passage concepts or methods.",
+    },
+    "P4": {"ok": "Answer contains specific result: '{found}'", "none": "Answer lacks specific result (no numbers, steps, or outcomes). Apply answers should contain concrete results."},
+    "P2": {
+        "skipped": "Missing passage or question; skipped", "error": "NLI error: {found}", "ok": "Question presents novel scenario: non-entailment={score} (threshold 0.55)",
+        "none": "Scenario too similar to passage: non-entailment={score} (need >=0.55). Apply questions should present a new scenario.",
+    },
+    "A1": {
+        "verb": "Contains Analyze verb: '{found}'", "pattern": "Contains analytical pattern: '{found}'",
+        "none": "No Analyze verbs or analytical patterns found. Expected Bloom's verbs {verbs}... or patterns like 'How do X differ', 'What is the relationship'...",
+    },
+    "A2": {
+        "skipped": "No key concepts provided; skipped", "ok": "{n} concepts found: {found} (min {least})",
+        "none": "Only {n} concept(s) found: {found} (need >={least}). Analyze questions must connect multiple ideas.",
+    },
+    "A3": {"ok": "Contains relationship marker: '{found}'", "none": "No relationship markers found (between/differ/compare/affect). Analyze questions should ask about relationships."},
+    "A4": {
+        "skipped": "No key concepts provided; skipped", "unasked": "No passage concepts in question; skipped", "ok": "Answer covers all {n} concepts: {found}",
+        "none": "Answer missing concepts: {missing}. Only covers {n}/{total}.",
+    },
+    "E1": {"verb": "Contains Evaluate verb: '{found}'", "none": "No Evaluate verbs found. Expected one of: {verbs}..."},
+    "E2": {"ok": "Contains claim/judgment prompt: '{found}'", "none": "No claim/judgment markers found. Evaluate questions should present something to evaluate."},
+    "E3": {"ok": "Contains evidence request: '{found}'", "none": "No evidence markers found (based on/evidence/justify). Evaluate questions should ask for evidence-based reasoning."},
+    "E4": {"ok": "Answer contains contrastive marker: '{found}'", "none": "Answer lacks contrastive markers (however/although/but). Evaluate answers should contain argumentation."},
+    "C1": {"verb": "Contains Create verb: '{found}'", "none": "No Create verbs found. Expected one of: {verbs}..."},
+    "C3": {
+        "ok": "{n} specification markers found: {found} (min {least})", "none": "Only {n} spec marker(s): {found} (need >={least}). Create questions should specify what to produce.",
+    },
+    "C4": {"ok": "Answer is {n} words (min {least})", "none": "Answer is only {n} words (need >{least}). Create answers should be substantial."},
+    "C2": {
+        "skipped": "Missing passage or answer; skipped", "error": "NLI error: {found}", "ok": "Answer is novel: non-entailment={score} (threshold 0.6)",
+        "none": "Answer too similar to passage: non-entailment={score} (need >=0.6). Create answers should produce something new.",
+    },
+    "AV": {
+        "skipped": "Not adversarial mode; skipped", "unknown": "No verbs defined for level {level}; skipped", "ok": "Uses vocabulary from L{level} ({name}): '{found}'",
+        "none": "Does not use vocabulary from L{level} ({name}). Expected one of: {verbs}...",
+    },
+    "AN": {
+        "skipped": "Not adversarial mode; skipped", "unknown": "No verbs defined for target level {level}; skipped", "ok": "Avoids target L{level} ({name}) vocabulary",
+        "none": "Uses target vocabulary '{found}' from L{level} ({name}). Adversarial mode should use only the specified vocabulary level.",
+    },
+}
+DESCRIPTIONS = {
+    "U1": "U1: Output is a question or task prompt — ends with '?' or contains interrogative structure.", "U2": "U2: Question is 10-150 words.",
+    "U3": "U3: Output is about the passage topic — >=2 key terms appear in question+answer combined.", "U4": "U4: No degenerate output — no word repeated >3 times, not empty.",
+    "R1": "R1: Uses Remember-level vocabulary or natural recall framing.", "R2": "R2: Targets a single concept — at most 2 key concepts from passage appear.",
+    "R3": "R3: Answer is short (factual) — <= 20 words.", "R4": "R4: Answer is findable in the passage — >=60% stemmed word overlap.",
+    "D1": "D1: Uses Understand-level vocabulary or natural comprehension framing.", "D2": "D2: Answer is NOT copy-pasted from passage — <70% trigram overlap.",
+    "D4": "D4: Asks about meaning, not bare facts — contains how/why/explain/describe.", "D3": "D3: Answer is consistent with the passage — NLI contradiction < 50%.",
+    "P1": "P1: Uses Apply-level vocabulary or scenario-based application framing.", "P3": "P3: References a concept, method, or principle from the passage.",
+    "P4": "P4: Answer contains a specific result — number, named outcome, or step.", "P2": "P2: Question describes a NEW scenario not in the passage — NLI non-entailment >55%.",
+    "A1": "A1: Uses Analyze-level vocabulary or natural analytical framing.", "A2": "A2: References >=2 concepts from the passage.",
+    "A3": "A3: Asks about relationships between concepts.", "A4": "A4: Answer addresses all referenced concepts from the question.",
+    "E1": "E1: Uses Evaluate-level vocabulary.", "E2": "E2: Presents something to evaluate — a claim, position, or judgment prompt.",
+    "E3": "E3: Asks for evidence-based reasoning.", "E4": "E4: Answer contains argumentation — has contrastive markers.",
+    "C1": "C1: Uses Create-level vocabulary.", "C3": "C3: Specifies requirements — >=2 specification markers.",
+    "C4": "C4: Answer is substantial and open-ended — >50 words.", "C2": "C2: Asks for something NOT in the passage — NLI non-entailment >60%.",
+    "AV": "AV: In adversarial mode, uses vocabulary from the WRONG level (as specified).", "AN": "AN: In adversarial mode, should NOT use vocabulary from the TARGET level.",
+}

@@ -2,23 +2,31 @@
 
 A row has question, answer, passage (strings), key_concepts, methods_principles (arrays), level, mode,
 vocab_level and the entailment scores nli_answer, nli_question (structs, null where there is none).
-``prepared`` adds the lowered texts and tokens once; each constraint is then a (passed, score) pair.
+``prepared`` adds the lowered texts and tokens once; each constraint is then a struct of passed, score
+and details. The evidence that details state (a pattern, concepts, counts) is looked for once and
+decides the score as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as t, vocab as v
 
-Rule = Callable[[], tuple[Column, Column]]
+#: Makes the struct of a result from passed, score and details.
+Make = Callable[[Column, Column, Column], Column]
+Rule = Callable[[Make], Column]
 LIST = "array<string>"
 
 
+def plain(passed: Column, score: Column, details: Column) -> Column:
+    """A result without its constraint."""
+    return F.struct(passed.alias("passed"), score.cast("double").alias("score"), details.alias("details"))
+
+
 def prepared(rows: DataFrame) -> DataFrame:
     """rows with q, a, qa, p (lowered), qw, aw, pw (tokens), kc, mp (never null)."""
     none = F.array().cast(LIST)
@@ -34,41 +42,55 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def _flag(ok: Column) -> tuple[Column, Column]:
-    return ok, F.when(ok, F.lit(1.0)).otherwise(F.lit(0.0))
+def _say(i: str, how: str, **values: Column | int | str) -> Column:
+    return t.message(v.DETAILS[i][how], **values)
+
+
+def _yes(score: float | Column = 1.0) -> tuple[Column, Column]:
+    return F.lit(True), score if isinstance(score, Column) else F.lit(score)
+
 
+def _no(score: float | Column = 0.0) -> tuple[Column, Column]:
+    return F.lit(False), score if isinstance(score, Column) else F.lit(score)
 
-def contains(column: str, patterns: list[str]) -> tuple[Column, Column]:
-    return _flag(t.any_of(_c(column), patterns))
 
+def contains(i: str, column: str, patterns: list[str]) -> Rule:
+    return lambda make: t.first_found([(t.first_of(_c(column), patterns), lambda x: make(*_yes(), _say(i, "ok", found=x)))], make(*_no(), _say(i, "none")))
 
-def vocabulary(level: int, patterns: list[str] | None) -> tuple[Column, Column]:
-    """A verb of the level, or a natural phrasing."""
-    verb = t.any_of(_c("q"), v.VERBS[level])
-    if not patterns:
-        return _flag(verb)
-    other = t.any_of(_c("q"), patterns)
-    return verb | other, F.when(verb, F.lit(1.0)).when(other, F.lit(0.9)).otherwise(F.lit(0.0))
 
+def vocabulary(i: str, level: int, patterns: list[str] | None, shown: int) -> Rule:
+    """A verb of the level, or a natural phrasing; shown: of the verbs in the message."""
+    def rule(make: Make) -> Column:
+        cases = [(t.first_of(_c("q"), v.VERBS[level]), lambda x: make(*_yes(), _say(i, "verb", found=x)))]
+        if patterns:
+            cases.append((t.first_of(_c("q"), patterns), lambda x: make(*_yes(0.9), _say(i, "pattern", found=x))))
+        return t.first_found(cases, make(*_no(), _say(i, "none", verbs=str(v.VERBS[level][:shown]))))
+    return rule
 
-def _from(score: Column, passed: Callable[[Column], Column]) -> tuple[Column, Column]:
-    return passed(score), score
 
+def u1(make: Make) -> Column:
+    def judged(s: Column) -> Column:
+        low = F.lower(s)
+        first = lambda patterns, holds: F.get(F.filter(F.array(*map(F.lit, patterns)), holds), F.lit(0))
+        word = F.coalesce(*(F.when(low.rlike(rf"(?U)\b{w}\b"), F.lit(w)) for w in v.QUESTION_WORDS))
+        cases = [
+            (first(v.TASK_STARTERS, lambda p: F.startswith(low, p)), lambda x: make(*_yes(0.8), _say("U1", "task", found=x))),
+            (first(v.RESPONSE_ENDINGS, lambda p: F.endswith(F.regexp_replace(low, r"\.+$", ""), p)), lambda x: make(*_yes(0.7), _say("U1", "ending", found=x))),
+            (word, lambda x: make(*_yes(0.6), _say("U1", "word", found=x))),
+        ]
+        rest = t.first_found(cases, make(*_no(), _say("U1", "none", found=F.substring(s, -1, 1))))
+        return F.when(s == "", make(*_no(), _say("U1", "empty"))).when(s.endswith("?"), make(*_yes(), _say("U1", "mark"))).otherwise(rest)
 
-def u1() -> tuple[Column, Column]:
-    s = t.strip(t.text(_c("question")))
-    low = F.lower(s)
-    dots = F.regexp_replace(low, r"\.+$", "")
-    starts = reduce(lambda x, y: x | y, (low.startswith(w) for w in v.TASK_STARTERS))
-    ends = reduce(lambda x, y: x | y, (dots.endswith(w) for w in v.RESPONSE_ENDINGS))
-    asks = low.rlike(r"(?U)\b(?:" + "|".join(v.QUESTION_WORDS) + r")\b")
-    score = F.when(s == "", F.lit(0.0)).when(s.endswith("?"), F.lit(1.0)).when(starts, F.lit(0.8)).when(ends, F.lit(0.7)).when(asks, F.lit(0.6)).otherwise(F.lit(0.0))
-    return score > 0, score
+    return t.let(t.strip(t.text(_c("question"))), judged)
 
 
-def u2() -> tuple[Column, Column]:
+def u2(make: Make) -> Column:
     n, least = F.size(_c("qw")), F.when(_c("level") == 1, F.lit(v.MIN_WORDS_REMEMBER)).otherwise(F.lit(v.MIN_WORDS))
-    return (n >= least) & (n <= v.MAX_WORDS), F.when(n < least, n / least).when(n > v.MAX_WORDS, F.lit(v.MAX_WORDS) / n).otherwise(F.lit(1.0))
+    return (
+        F.when(n < least, make(*_no(n / least), _say("U2", "short", n=n, least=least)))
+        .when(n > v.MAX_WORDS, make(*_no(F.lit(v.MAX_WORDS) / n), _say("U2", "long", n=n, most=v.MAX_WORDS)))
+        .otherwise(make(*_yes(), _say("U2", "ok", n=n)))
+    )
 
 
 def relevant(concepts: Column, qa: Column) -> Column:
@@ -81,70 +103,113 @@ def relevant(concepts: Column, qa: Column) -> Column:
     return t.let(t.stems(t.ascii_tokens(qa)), found)
 
 
-def u3() -> tuple[Column, Column]:
-    least = F.when(_c("level") == 1, F.lit(v.MIN_TERMS_REMEMBER)).otherwise(F.lit(v.MIN_TERMS))
-    n, none = F.size(relevant(_c("kc"), _c("qa"))), F.size(_c("kc")) == 0
-    return none | (n >= least), F.when(none, F.lit(1.0)).otherwise(F.least(n / least, F.lit(1.0)))
+def without(xs: Column, those: Column) -> Column:
+    """Members of xs that are none of those; repeats stay."""
+    return F.filter(xs, lambda x: ~F.array_contains(those, x))
+
+
+def u3(make: Make) -> Column:
+    least, total = F.when(_c("level") == 1, F.lit(v.MIN_TERMS_REMEMBER)).otherwise(F.lit(v.MIN_TERMS)), F.size(_c("kc"))
+
+    def judged(found: Column) -> Column:
+        n = F.size(found)
+        poor = _say("U3", "none", n=n, total=total, least=least, found=t.listed(found), missing=t.listed(without(_c("kc"), found), 3))
+        return F.when(n >= least, make(*_yes(F.least(n / least, F.lit(1.0))), _say("U3", "ok", n=n, total=total, found=t.listed(found, 5)))).otherwise(make(*_no(n / least), poor))
+
+    return F.when(total == 0, make(*_yes(), _say("U3", "skipped"))).otherwise(t.let(relevant(_c("kc"), _c("qa")), judged))
 
 
-def u4() -> tuple[Column, Column]:
-    s = t.strip(t.text(_c("question")))
-    content = F.filter(_c("qw"), lambda w: ~w.isin(v.STOP_WORDS))
-    most = t.let(content, lambda ws: F.coalesce(F.array_max(F.transform(F.array_distinct(ws), lambda w: F.size(F.filter(ws, lambda x: x == w)))), F.lit(0)))
-    score = F.when(F.length(s) < v.MIN_CHARS, F.lit(0.0)).when(most > v.MAX_REPEAT, F.lit(v.MAX_REPEAT) / most).otherwise(F.lit(1.0))
-    return (F.length(s) >= v.MIN_CHARS) & (most <= v.MAX_REPEAT), score
+def u4(make: Make) -> Column:
+    def commonest(words: Column) -> Column:
+        """struct(n, place, word): the first of the most frequent words; null if there are none."""
+        each = lambda w, i: F.struct(F.size(F.filter(words, lambda x: x == w)).alias("n"), (-i).alias("place"), w.alias("word"))
+        return F.array_max(F.transform(F.array_distinct(words), each))
 
+    def judged(s: Column) -> Column:
+        often = t.let(F.filter(_c("qw"), lambda w: ~w.isin(v.STOP_WORDS)), commonest)
+        fine = make(*_yes(), _say("U4", "ok"))
+        repeated = lambda x: make(*_no(F.lit(v.MAX_REPEAT) / x["n"]), _say("U4", "repeated", found=x["word"], n=x["n"], most=v.MAX_REPEAT))
+        long = t.let(often, lambda x: F.when(x["n"] > v.MAX_REPEAT, repeated(x)).otherwise(fine))
+        return F.when(s == "", make(*_no(), _say("U4", "empty"))).when(F.length(s) < v.MIN_CHARS, make(*_no(), _say("U4", "short", found=s))).otherwise(long)
 
-def r2() -> tuple[Column, Column]:
-    n = F.size(t.outermost(t.concepts_in(_c("q"), _c("kc"))))
-    return n <= v.MAX_CONCEPTS, F.when(n <= v.MAX_CONCEPTS, F.lit(1.0)).otherwise(F.lit(v.MAX_CONCEPTS) / n)
+    return t.let(t.strip(t.text(_c("question"))), judged)
 
 
-def r3() -> tuple[Column, Column]:
-    n = F.size(_c("aw"))
-    return n <= v.MAX_ANSWER_WORDS, F.when(n <= v.MAX_ANSWER_WORDS, F.lit(1.0)).otherwise(F.lit(v.MAX_ANSWER_WORDS) / n)
+def r2(make: Make) -> Column:
+    def judged(found: Column) -> Column:
+        n, how = F.size(found), {"found": t.listed(found), "most": v.MAX_CONCEPTS}
+        return F.when(n <= v.MAX_CONCEPTS, make(*_yes(), _say("R2", "ok", n=n, **how))).otherwise(make(*_no(F.lit(v.MAX_CONCEPTS) / n), _say("R2", "none", n=n, **how)))
 
+    return F.when(F.size(_c("kc")) == 0, make(*_yes(), _say("R2", "skipped"))).otherwise(t.let(t.outermost(t.concepts_in(_c("q"), _c("kc"))), judged))
+
+
+def r3(make: Make) -> Column:
+    n, most = F.size(_c("aw")), v.MAX_ANSWER_WORDS
+    return F.when(n <= most, make(*_yes(), _say("R3", "ok", n=n, most=most))).otherwise(make(*_no(F.lit(most) / n), _say("R3", "none", n=n, most=most)))
+
+
+def r4(make: Make) -> Column:
+    least = f"{v.PASSAGE_OVERLAP:.0%}"
+
+    def judged(x: Column) -> Column:
+        return F.when(x >= v.PASSAGE_OVERLAP, make(*_yes(x), _say("R4", "ok", share=t.percent(x), least=least))).otherwise(make(*_no(x), _say("R4", "none", share=t.percent(x), least=least)))
 
-def r4() -> tuple[Column, Column]:
     content = F.filter(_c("aw"), lambda w: ~w.isin(v.ANSWER_STOP_WORDS))
-    score = t.let(content, lambda ws: F.when(F.size(ws) == 0, F.lit(1.0)).otherwise(t.overlap(ws, _c("pw"))))
-    return score >= v.PASSAGE_OVERLAP, score
+    return t.let(content, lambda ws: F.when(F.size(ws) == 0, make(*_yes(), _say("R4", "skipped"))).otherwise(t.let(t.overlap(ws, _c("pw")), judged)))
 
 
-def d2() -> tuple[Column, Column]:
-    score = F.when(F.size(_c("aw")) < v.MIN_TRIGRAM_WORDS, F.lit(0.0)).otherwise(t.trigram_overlap(_c("aw"), _c("pw")))
-    return score < v.MAX_TRIGRAMS, 1 - score
+def d2(make: Make) -> Column:
+    most = f"{v.MAX_TRIGRAMS:.0%}"
 
+    def judged(x: Column) -> Column:
+        return F.when(x < v.MAX_TRIGRAMS, make(*_yes(1 - x), _say("D2", "ok", share=t.percent(x), most=most))).otherwise(make(*_no(1 - x), _say("D2", "none", share=t.percent(x), most=most)))
 
-def _nli(text_column: str, scores: str, ok: Callable[[Column], Column], score: Callable[[Column], Column]) -> tuple[Column, Column]:
+    return F.when(F.size(_c("aw")) < v.MIN_TRIGRAM_WORDS, make(*_yes(), _say("D2", "skipped"))).otherwise(t.let(t.trigram_overlap(_c("aw"), _c("pw")), judged))
+
+
+def _nli(i: str, text_column: str, scores: str, value: Callable[[Column], Column], passed: Callable[[Column], Column], score: Callable[[Column], Column]) -> Rule:
     """Skipped (passed) without a passage or a text; failed where there is no score."""
-    none, s = (t.text(_c("passage")) == "") | (t.text(_c(text_column)) == ""), F.when(_c(scores).isNotNull(), score(_c(scores)))
-    return F.when(none, F.lit(True)).otherwise(F.coalesce(ok(s), F.lit(False))), F.when(none, F.lit(1.0)).otherwise(F.coalesce(s, F.lit(0.0)))
+    def judged(make: Make) -> Callable[[Column], Column]:
+        return lambda x: (
+            F.when(x.isNull(), make(*_no(), _say(i, "error", found="no score")))
+            .when(passed(x), make(*_yes(score(x)), _say(i, "ok", score=t.thousandths(x)))).otherwise(make(*_no(score(x)), _say(i, "none", score=t.thousandths(x))))
+        )
 
+    def rule(make: Make) -> Column:
+        none = (t.text(_c("passage")) == "") | (t.text(_c(text_column)) == "")
+        return F.when(none, make(*_yes(), _say(i, "skipped"))).otherwise(t.let(value(_c(scores)), judged(make)))
+    return rule
 
-def d3() -> tuple[Column, Column]:
-    return _nli("answer", "nli_answer", lambda s: s > 1 - v.MAX_CONTRADICTION, lambda x: 1 - x["contradiction"])
 
+def _foreign(x: Column) -> Column:
+    """What isn't entailed."""
+    return x["neutral"] + x["contradiction"]
 
-def p2() -> tuple[Column, Column]:
-    return _nli("question", "nli_question", lambda s: s >= v.MIN_SCENARIO, lambda x: x["neutral"] + x["contradiction"])
 
+def _same(x: Column) -> Column:
+    return x
 
-def c2() -> tuple[Column, Column]:
-    return _nli("answer", "nli_answer", lambda s: s >= v.MIN_CREATION, lambda x: x["neutral"] + x["contradiction"])
 
+d3 = _nli("D3", "answer", "nli_answer", lambda x: x["contradiction"], lambda x: x < v.MAX_CONTRADICTION, lambda x: 1 - x)
+p2 = _nli("P2", "question", "nli_question", _foreign, lambda x: x >= v.MIN_SCENARIO, _same)
+c2 = _nli("C2", "answer", "nli_answer", _foreign, lambda x: x >= v.MIN_CREATION, _same)
 
-def p3() -> tuple[Column, Column]:
+
+def p3(make: Make) -> Column:
+    some = lambda xs: t.let(xs, lambda f: F.when(F.size(f) > 0, f))
     good = F.filter(_c("mp"), lambda m: (F.size(t.split(m)) <= 5) & (F.length(m) > 3))
-    named = (F.size(t.concepts_in(_c("qa"), _c("kc"))) > 0) | (F.size(t.concepts_in(_c("qa"), good)) > 0)
-    shared = (F.size(_c("pw")) > 0) & (t.overlap(t.ascii_tokens(_c("qa")), _c("pw")) >= v.SHARED_VOCABULARY)
+    share = F.when(F.size(_c("pw")) > 0, t.overlap(t.ascii_tokens(_c("qa")), _c("pw")))
+    cases = [
+        (some(t.concepts_in(_c("qa"), _c("kc"))), lambda f: make(*_yes(), _say("P3", "concept", found=t.listed(f, 3)))),
+        (some(t.concepts_in(_c("qa"), good)), lambda f: make(*_yes(), _say("P3", "method", found=F.get(f, F.lit(0))))),
+        (t.let(share, lambda x: F.when(x >= v.SHARED_VOCABULARY, x)), lambda x: make(*_yes(0.8), _say("P3", "shared", share=t.percent(x)))),
+    ]
     none = (F.size(_c("kc")) == 0) & (F.size(_c("mp")) == 0)
-    score = F.when(named, F.lit(1.0)).when(shared, F.lit(0.8)).when(none, F.lit(1.0)).otherwise(F.lit(0.0))
-    return score > 0, score
+    return t.first_found(cases, F.when(none, make(*_yes(), _say("P3", "skipped"))).otherwise(make(*_no(), _say("P3", "none"))))
 
 
-def p4() -> tuple[Column, Column]:
-    return _flag(_c("a").rlike("(?U)" + "|".join(f"(?:{p})" for p in v.RESULTS)))
+def p4(make: Make) -> Column:
+    return t.first_found([(t.first_match(_c("a"), [f"(?U){p}" for p in v.RESULTS]), lambda x: make(*_yes(), _say("P4", "ok", found=x)))], make(*_no(), _say("P4", "none")))
 
 
 def with_acronyms(text: Column, concepts: Column) -> Column:
@@ -163,53 +228,88 @@ def with_acronyms(text: Column, concepts: Column) -> Column:
     return found
 
 
-def a2() -> tuple[Column, Column]:
-    n = t.let(with_acronyms(_c("qa"), _c("kc")), lambda f: t.let(t.outermost(f), lambda o: F.when(F.size(o) > 0, F.size(o)).otherwise(F.size(f))))
-    none = F.size(_c("kc")) == 0
-    return none | (n >= v.MIN_CONCEPTS), F.when(none, F.lit(1.0)).otherwise(F.least(n / v.MIN_CONCEPTS, F.lit(1.0)))
+def a2(make: Make) -> Column:
+    least = v.MIN_CONCEPTS
+
+    def judged(f: Column) -> Column:
+        n = F.size(f)
+        return F.when(n >= least, make(*_yes(), _say("A2", "ok", n=n, found=t.listed(f, 4), least=least))).otherwise(make(*_no(n / least), _say("A2", "none", n=n, found=t.listed(f), least=least)))
 
+    outer = t.let(with_acronyms(_c("qa"), _c("kc")), lambda f: t.let(t.outermost(f), lambda o: F.when(F.size(o) > 0, o).otherwise(f)))
+    return F.when(F.size(_c("kc")) == 0, make(*_yes(), _say("A2", "skipped"))).otherwise(t.let(outer, judged))
 
-def a4() -> tuple[Column, Column]:
-    asked = t.concepts_in(_c("q"), _c("kc"))
-    score = t.let(asked, lambda x: F.when(F.size(x) == 0, F.lit(1.0)).otherwise(F.size(t.concepts_in(_c("a"), x)) / F.size(x)))
-    return score >= 1, score
 
+def a4(make: Make) -> Column:
+    def judged(asked: Column) -> Column:
+        n = F.size(asked)
 
-def c3() -> tuple[Column, Column]:
-    n = reduce(lambda x, y: x + y, (F.contains(_c("q"), F.lit(m)).cast("int") for m in v.SPECS))
-    return n >= v.MIN_SPECS, F.least(n / v.MIN_SPECS, F.lit(1.0))
+        def covered(said: Column) -> Column:
+            missing = without(asked, said)
+            full = make(*_yes(F.size(said) / n), _say("A4", "ok", n=n, found=t.listed(asked)))
+            return F.when(F.size(missing) == 0, full).otherwise(make(*_no(F.size(said) / n), _say("A4", "none", missing=t.listed(missing), n=F.size(said), total=n)))
 
+        return F.when(n == 0, make(*_yes(), _say("A4", "unasked"))).otherwise(t.let(t.concepts_in(_c("a"), asked), covered))
 
-def c4() -> tuple[Column, Column]:
-    n = F.size(_c("aw"))
-    return n > v.MIN_ANSWER_WORDS, F.least(n / v.MIN_ANSWER_WORDS, F.lit(1.0))
+    return F.when(F.size(_c("kc")) == 0, make(*_yes(), _say("A4", "skipped"))).otherwise(t.let(t.concepts_in(_c("q"), _c("kc")), judged))
+
+
+def c3(make: Make) -> Column:
+    least = v.MIN_SPECS
+
+    def judged(f: Column) -> Column:
+        n = F.size(f)
+        return F.when(n >= least, make(*_yes(), _say("C3", "ok", n=n, found=t.listed(f, 4), least=least))).otherwise(make(*_no(n / least), _say("C3", "none", n=n, found=t.listed(f), least=least)))
+
+    return t.let(F.filter(F.array(*map(F.lit, v.SPECS)), lambda m: F.contains(_c("q"), m)), judged)
+
+
+def c4(make: Make) -> Column:
+    n, least = F.size(_c("aw")), v.MIN_ANSWER_WORDS
+    return F.when(n > least, make(*_yes(), _say("C4", "ok", n=n, least=least))).otherwise(make(*_no(n / least), _say("C4", "none", n=n, least=least)))
 
 
 def _verb_of(column: str) -> Column:
-    """Whether q has a verb of the level in a column; null for no such level."""
-    out = F.lit(None).cast("boolean")
+    """The first verb of the level in a column that q has; null for none and for no such level."""
+    out = F.lit(None).cast("string")
     for n, verbs in v.VERBS.items():
-        out = F.when(_c(column) == n, t.any_of(_c("q"), verbs)).otherwise(out)
+        out = F.when(_c(column) == n, t.first_of(_c("q"), verbs)).otherwise(out)
+    return out
+
+
+def _name_of(column: str) -> Column:
+    return _by_level(column, v.LEVELS)
+
+
+def _by_level(column: str, values: dict[int, str]) -> Column:
+    out = F.lit("?")
+    for n, x in values.items():
+        out = F.when(_c(column) == n, F.lit(x)).otherwise(out)
     return out
 
 
-def av() -> tuple[Column, Column]:
-    return _flag(F.when(_c("mode") == "adversarial", F.coalesce(_verb_of("vocab_level"), F.lit(True))).otherwise(F.lit(True)))
+def av(make: Make) -> Column:
+    level, where = _c("vocab_level"), {"level": _c("vocab_level"), "name": _name_of("vocab_level")}
+    verbs = _by_level("vocab_level", {n: str(x[:5]) for n, x in v.VERBS.items()})
+    found = t.first_found([(_verb_of("vocab_level"), lambda x: make(*_yes(), _say("AV", "ok", found=x, **where)))], make(*_no(), _say("AV", "none", verbs=verbs, **where)))
+    idle = F.coalesce(_c("mode") != "adversarial", F.lit(True)) | level.isNull()
+    return F.when(idle, make(*_yes(), _say("AV", "skipped"))).when(~level.isin(list(v.LEVELS)), make(*_yes(), _say("AV", "unknown", level=level))).otherwise(found)
 
 
-def an() -> tuple[Column, Column]:
-    ok = F.when(_c("mode") == "adversarial", ~F.coalesce(_verb_of("level"), F.lit(False))).otherwise(F.lit(True))
-    return ok, F.when(ok, F.lit(1.0)).otherwise(F.lit(0.5))
+def an(make: Make) -> Column:
+    level, where = _c("level"), {"level": _c("level"), "name": _name_of("level")}
+    found = t.first_found([(_verb_of("level"), lambda x: make(*_no(0.5), _say("AN", "none", found=x, **where)))], make(*_yes(), _say("AN", "ok", **where)))
+    idle = F.coalesce(_c("mode") != "adversarial", F.lit(True))
+    return F.when(idle, make(*_yes(), _say("AN", "skipped"))).when(F.coalesce(~level.isin(list(v.LEVELS)), F.lit(True)), make(*_yes(), _say("AN", "unknown", level=F.coalesce(level.cast("string"), F.lit("None"))))).otherwise(found)
 
 
 RULES: dict[str, Rule] = {
     "U1": u1, "U2": u2, "U3": u3, "U4": u4,
-    "R1": lambda: vocabulary(1, v.RECALL), "R2": r2, "R3": r3, "R4": r4,
-    "D1": lambda: vocabulary(2, v.COMPREHENSION), "D2": d2, "D4": lambda: contains("q", v.MEANING), "D3": d3,
-    "P1": lambda: vocabulary(3, v.APPLICATION), "P3": p3, "P4": p4, "P2": p2,
-    "A1": lambda: vocabulary(4, v.ANALYSIS), "A2": a2, "A3": lambda: contains("q", v.RELATIONSHIP), "A4": a4,
-    "E1": lambda: vocabulary(5, None), "E2": lambda: contains("q", v.CLAIM), "E3": lambda: contains("q", v.EVIDENCE), "E4": lambda: contains("a", v.ARGUMENT),
-    "C1": lambda: vocabulary(6, None), "C3": c3, "C4": c4, "C2": c2,
+    "R1": vocabulary("R1", 1, v.RECALL, 4), "R2": r2, "R3": r3, "R4": r4,
+    "D1": vocabulary("D1", 2, v.COMPREHENSION, 4), "D2": d2, "D4": contains("D4", "q", v.MEANING), "D3": d3,
+    "P1": vocabulary("P1", 3, v.APPLICATION, 4), "P3": p3, "P4": p4, "P2": p2,
+    "A1": vocabulary("A1", 4, v.ANALYSIS, 4), "A2": a2, "A3": contains("A3", "q", v.RELATIONSHIP), "A4": a4,
+    "E1": vocabulary("E1", 5, None, 6), "E2": contains("E2", "q", v.CLAIM), "E3": contains("E3", "q", v.EVIDENCE), "E4": contains("E4", "a", v.ARGUMENT),
+    "C1": vocabulary("C1", 6, None, 6), "C3": c3, "C4": c4, "C2": c2,
     "AV": av, "AN": an,
 }
 
@@ -221,19 +321,20 @@ class Registered:
     tier: str
     levels: list[int]
     rule: Rule
+    description: str = ""
 
 
 def registry() -> list[Registered]:
-    return [Registered(i, n, tier, levels, RULES[i]) for i, n, tier, levels in v.CONSTRAINTS] + EXTRA
+    return [Registered(i, n, tier, levels, RULES[i], v.DESCRIPTIONS[i]) for i, n, tier, levels in v.CONSTRAINTS] + EXTRA
 
 
 #: Constraints that callers have registered; they come last.
 EXTRA: list[Registered] = []
 
 
-def register(id: str, name: str, tier: str, levels: list[int], rule: Rule) -> None:
-    """The extension point: rule gives (passed, score) from the prepared columns; no levels: all."""
-    EXTRA.append(Registered(id, name, tier, levels, rule))
+def register(id: str, name: str, tier: str, levels: list[int], rule: Rule, description: str = "") -> None:
+    """The extension point: rule(make) gives make(passed, score, details) from the prepared columns; no levels: all."""
+    EXTRA.append(Registered(id, name, tier, levels, rule, description))
 
 
 def applicable(level: int, mode: str) -> list[Registered]:
@@ -250,9 +351,16 @@ def applicable(level: int, mode: str) -> list[Registered]:
     return out
 
 
+def describe(level: int, mode: str) -> str:
+    """What a prompt tells a model of the rules: one line a constraint, without the universal ones."""
+    return "\n".join(f"- {c.name}: {c.description}" for c in applicable(level, mode) if c.tier != "universal")
+
+
 def result(c: Registered) -> Column:
-    passed, score = c.rule()
-    return F.struct(F.lit(c.id).alias("id"), F.lit(c.name).alias("name"), passed.alias("passed"), score.cast("double").alias("score"), F.lit(c.tier).alias("tier"))
+    def make(passed: Column, score: Column, details: Column) -> Column:
+        return F.struct(F.lit(c.id).alias("id"), F.lit(c.name).alias("name"), passed.alias("passed"), score.cast("double").alias("score"), details.alias("details"), F.lit(c.tier).alias("tier"))
+
+    return c.rule(make)
 
 
 def applies(c: Registered) -> Column:
@@ -268,3 +376,15 @@ def applies(c: Registered) -> Column:
 def results() -> Column:
     """The results of the constraints that a row's level and mode call for, in order. Only those are computed."""
     return F.filter(F.array(*(F.when(applies(c), result(c)) for c in registry())), lambda r: r.isNotNull())
+
+
+def called_for() -> Column:
+    """What results() has an entry for, without computing it: an array of struct(id, name, tier, description)."""
+    one = lambda c: F.struct(F.lit(c.id).alias("id"), F.lit(c.name).alias("name"), F.lit(c.tier).alias("tier"), F.lit(c.description).alias("description"))
+    return F.filter(F.array(*(F.when(applies(c), one(c)) for c in registry())), lambda r: r.isNotNull())
+
+
+def description() -> Column:
+    """describe() for the row's level and mode."""
+    ruled = F.filter(called_for(), lambda c: c["tier"] != "universal")
+    return F.array_join(F.transform(ruled, lambda c: F.concat(F.lit("- "), c["name"], F.lit(": "), c["description"])), "\n")

@@ -6,23 +6,36 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import constraints
 
-RESULT = "array<struct<id:string,name:string,passed:boolean,score:double,tier:string>>"
+RESULT = "array<struct<id:string,name:string,passed:boolean,score:double,details:string,tier:string>>"
+
+
+#: Where a row was read: a column that orders rows whatever partitions they are in (files.read_passages makes it).
+READ_ORDER = "read_order"
 
 
 def last_wins(rows: DataFrame, *keys: str, order: str) -> DataFrame:
-    """One row of each key, the last by order."""
-    columns = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("_row"))
-    return best.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in columns)).select(*rows.columns)
+    """One row of each key, the last by order, which must tell apart the rows of a key. Only keys and order are aggregated; the rows then meet their last order, by the same key."""
+    last = rows.groupBy(*keys).agg(F.max(order).alias("_last")).where(F.col("_last").isNotNull())
+    kept = rows.join(last, [*keys], "inner").where(F.col(order) == F.col("_last"))
+    return kept.select(*rows.columns)
+
+
+def last_read(passages: DataFrame) -> DataFrame:
+    """Of passages that repeat an id the one read last, by READ_ORDER. Where there is no such column, the one with the greatest text, so that a task that runs again finds the same."""
+    passages = passages.where(F.col("passage_id").isNotNull())
+    if READ_ORDER in passages.columns:
+        return last_wins(passages, "passage_id", order=READ_ORDER).drop(READ_ORDER)
+    ordered = passages.withColumn(READ_ORDER, F.struct(F.coalesce("text", F.lit("")).alias("text"), F.to_json(F.struct("key_concepts", "methods_principles")).alias("rest")))
+    return last_wins(ordered, "passage_id", order=READ_ORDER).drop(READ_ORDER).dropDuplicates(["passage_id"])
 
 
 def bound(gens: DataFrame, passages: DataFrame, nli: DataFrame | None = None) -> DataFrame:
     """Generations with their passage (empty if unknown; of rows that repeat an id the last read) and entailment scores.
 
-    The passages are grouped by the id that the join needs, so this adds no shuffle to a join of two large sides.
+    The last order of an id is found on narrow rows and met by the id that the join needs, so texts are shuffled once.
     """
-    own = passages.select("passage_id", F.col("text").alias("passage"), "key_concepts", "methods_principles", F.monotonically_increasing_id().alias("_at"))
-    own = last_wins(own, "passage_id", order="_at").drop("_at")
+    kept = [c for c in ("passage_id", "text", "key_concepts", "methods_principles", READ_ORDER) if c in passages.columns]
+    own = last_read(passages.select(*kept)).withColumnRenamed("text", "passage")
     out = gens.withColumn("mode", F.coalesce("mode", F.lit("standard"))).join(own, "passage_id", "left")
     if nli is None:
         none = F.lit(None).cast("struct<entailment:double,neutral:double,contradiction:double>")

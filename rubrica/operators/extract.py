@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions import text as t
+from ..functions import text as t, vocab as v
 
-QUESTION, ANSWER = rf"(?isU)QUESTION:{t.SPACE}*(.+?)(?=ANSWER:|$)", rf"(?isU)ANSWER:{t.SPACE}*(.+)"
-Q, A = rf"(?isU)(?:^|\n){t.SPACE}*Q:{t.SPACE}*(.+?)(?=\nA:|$)", rf"(?isU)(?:^|\n){t.SPACE}*A:{t.SPACE}*(.+)"
+def _marker(pattern: str) -> str:
+    return "(?isU)" + pattern.replace(r"\s", t.SPACE)
+
+
+QUESTION, ANSWER, Q, A = map(_marker, (v.QUESTION_MARKER, v.ANSWER_MARKER, v.SHORT_QUESTION_MARKER, v.SHORT_ANSWER_MARKER))
 
 
 def strip_think(raw: Column, model: Column) -> Column:

@@ -13,14 +13,8 @@ from pyspark.sql.window import Window
 from ..functions import text as t, vocab as v
 
 CONCEPTS, METHODS = 8, 6
-CAPITALISED = r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
-METHOD_PATTERNS = [
-    r"(?iU)([A-Z][a-z]+(?:'s)?\s+(?:law|principle|theory|theorem|equation|rule|effect|model|hypothesis|method|paradox|constant))",
-    r"(?iU)(?:the\s+)?(?:law|principle|theory|theorem)\s+of\s+([\w\s]+?)(?:\.|,|\s+is|\s+states)",
-    r"(?iU)(?:the\s+)?([\w\s]+?)\s+(?:formula|equation|method|technique|algorithm|procedure|process)",
-]
-
-METHOD_WORDS = ["(?i)law|principle|theory|theorem|equation|rule|effect|model|hypothesis|method|paradox|constant", "(?i)(?:law|principle|theory|theorem)\\s+of", "(?i)formula|equation|method|technique|algorithm|procedure|process"]
+METHOD_PATTERNS = [f"(?iU){p}" for p in v.METHOD_PATTERNS]
+METHOD_WORDS = [f"(?i){p}" for p in v.METHOD_WORDS]
 
 
 def methods_principles(x: Column) -> Column:
@@ -32,25 +26,38 @@ def methods_principles(x: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(tidy, lambda m: (F.length(m) > 3) & (F.size(t.split(m)) <= 5))), 1, METHODS)
 
 
-def key_concepts(passages: DataFrame, most: int = CONCEPTS) -> DataFrame:
-    """(passage_id, key_concepts): capitalised terms in order, then frequent words, most frequent first, ties by first place.
+def runs(words: Column) -> Column:
+    """struct(n, place, word) of each different word: how often it occurs, and where first. The words are sorted and the runs counted, so a long text costs n log n."""
+    def counted(s: Column) -> Column:
+        at = F.transform(s, lambda x, i: F.struct(x["word"].alias("word"), x["place"].alias("place"), i.alias("at")))
+        first = F.filter(at, lambda x: (x["at"] == 0) | (F.get(s, x["at"] - 1)["word"] != x["word"]))
+        size = lambda f, x, k: F.coalesce(F.get(f, k + 1)["at"], F.size(s)) - x["at"]
+        return t.let(first, lambda f: F.transform(f, lambda x, k: F.struct(size(f, x, k).alias("n"), x["place"].alias("place"), x["word"].alias("word"))))
+
+    return t.let(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("place")))), counted)
+
 
-    Words are counted by a grouped aggregation with partial sums; what is gathered for one passage is
-    bounded by its own distinct words. Passages without a concept have no row.
-    """
-    words = passages.select("passage_id", F.posexplode(t.tokens(F.col("text"))).alias("pos", "word")).where(F.col("word").rlike("^[a-z]{4,}$") & ~F.col("word").isin(v.CONCEPT_STOP_WORDS))
-    counts = words.groupBy("passage_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).where("n >= 2")
-    frequent = counts.groupBy("passage_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "pos", "word"))), 1, 2 * most).alias("w"))
-    frequent = frequent.select("passage_id", F.transform("w", lambda x: x["word"]).alias("frequent"))
-    capitalised = passages.select("passage_id", F.transform(F.regexp_extract_all(t.text(F.col("text")), F.lit(CAPITALISED), F.lit(0)), lambda x: F.lower(x)).alias("named"))
-    both = capitalised.join(frequent, "passage_id", "left")
-    return both.select("passage_id", F.slice(F.array_distinct(F.concat("named", F.coalesce("frequent", F.array().cast("array<string>")))), 1, most).alias("key_concepts"))
+def concepts(x: Column, most: int = CONCEPTS) -> Column:
+    """Capitalised terms of a text in order, then its frequent words, most frequent first, ties by first place. All within the row: nothing is shuffled."""
+    words = F.filter(F.regexp_extract_all(t.lower(x), F.lit(r"(?U)\b[a-z]{4,}\b"), F.lit(0)), lambda w: ~w.isin(v.CONCEPT_STOP_WORDS))
+    ranked = F.sort_array(F.transform(F.filter(runs(words), lambda r: r["n"] >= 2), lambda r: F.struct((-r["n"]).alias("n"), r["place"].alias("place"), r["word"].alias("word"))))
+    frequent = F.transform(F.slice(ranked, 1, 2 * most), lambda r: r["word"])
+    named = F.transform(F.regexp_extract_all(t.text(x), F.lit(f"(?U){v.CAPITALISED}"), F.lit(0)), lambda n: F.lower(n))
+    return F.slice(F.array_distinct(F.concat(named, frequent)), 1, most)
+
+
+def key_concepts(passages: DataFrame, most: int = CONCEPTS) -> DataFrame:
+    """(passage_id, key_concepts) of each row; rows that repeat an id have their own."""
+    return passages.select("passage_id", concepts(F.col("text"), most).alias("key_concepts"))
 
 
 def processed(passages: DataFrame) -> DataFrame:
-    """passages (passage_id, text, ...) with key_concepts and methods_principles."""
-    rest = passages.drop("key_concepts", "methods_principles").withColumn("methods_principles", methods_principles(F.col("text")))
-    return rest.join(key_concepts(passages), "passage_id", "left").withColumn("key_concepts", F.coalesce("key_concepts", F.array().cast("array<string>")))
+    """passages (passage_id, text, ...) with key_concepts and methods_principles, row by row; a passage without text keeps those it has."""
+    none = F.array().cast("array<string>")
+    had = lambda c: F.coalesce(F.col(c), none) if c in passages.columns else none
+    empty = t.text(F.col("text")) == ""
+    made = {"methods_principles": methods_principles(F.col("text")), "key_concepts": concepts(F.col("text"))}
+    return passages.withColumns({c: F.when(empty, had(c)).otherwise(x) for c, x in made.items()})
 
 
 def content_pages(toc: DataFrame) -> DataFrame:
@@ -85,8 +92,7 @@ def with_ids(passages: DataFrame, subject: str, key: str, most: int = v.PASSAGES
     return passages.withColumn("_n", at).where(F.col("_n") <= most).withColumn("passage_id", F.format_string("%s_%03d", F.substring(subject, 1, 3), F.col("_n"))).drop("_n")
 
 
-DROPPED = frozenset("figure table footer nav script style aside svg math".split())
-DROPPED_CLASS = re.compile("exercise|problem|solution|review|key-terms|glossary|os-teacher|learning-objectives|abstract")
+DROPPED, DROPPED_CLASS = frozenset(v.DROPPED_TAGS), re.compile("|".join(v.DROPPED_CLASSES))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -151,5 +157,5 @@ def page_text(pages: DataFrame, containers=CONTAINERS) -> DataFrame:
             yield pd.DataFrame({"page_id": df["page_id"], "url": df["url"], "ps": [page_paragraphs(h, containers) for h in df["html"]]})
 
     found = pages.select("page_id", "url", "html").mapInPandas(parse, "page_id long, url string, ps array<string>")
-    kept = F.filter("ps", lambda p: (F.length(p) > 40) & ~p.rlike(r"^(?:Figure|Table|Equation)\s+\d"))
+    kept = F.filter("ps", lambda p: (F.length(p) > 40) & ~p.rlike(v.CAPTIONS))
     return found.select("page_id", "url", t.clean(F.array_join(kept, " ")).alias("text"))

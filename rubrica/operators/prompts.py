@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions import vocab as v
+from ..functions import text as t, vocab as v
 
 
 def _pick(level: Column, values: dict[int, str]) -> Column:
@@ -19,16 +19,13 @@ def _verbs(level: Column, n: int) -> Column:
 
 
 def standard(text: Column, level: Column) -> Column:
-    name = _pick(level, v.LEVELS)
-    return F.concat(F.lit(v.OPENING), text, F.lit("\n\nTASK: Generate a "), name, F.lit("-level question (Bloom's Taxonomy) about this passage.\n\nAt the "), name, F.lit(" level, students should be able to "), _pick(level, v.DEFINITIONS), F.lit(".\n\n"), _pick(level, v.HINTS), F.lit(v.CLOSING))
+    return t.message(v.STANDARD_PROMPT, text=text, name=_pick(level, v.LEVELS), definition=_pick(level, v.DEFINITIONS), hints=_pick(level, v.HINTS))
 
 
 def adversarial(text: Column, level: Column, vocab_level: Column) -> Column:
-    name, other = _pick(level, v.LEVELS), _pick(vocab_level, v.LEVELS)
-    return F.concat(
-        F.lit(v.OPENING), text, F.lit("\n\nTASK: Generate a "), name, F.lit("-level question (Bloom's Taxonomy), but you MUST use vocabulary from the "), other, F.lit(" level.\n\nThe cognitive demand of your question must be "), name,
-        F.lit(" (students should "), _pick(level, v.DEFINITIONS), F.lit("), even though the wording uses "), other, F.lit("-level verbs like: "), _verbs(vocab_level, 8), F.lit(".\n\nIMPORTANT: Do NOT use verbs like "), _verbs(level, 6),
-        F.lit(". Instead, use verbs like: "), _verbs(vocab_level, 6), F.lit(".\n\n"), _pick(level, v.HINTS), F.lit(v.CLOSING),
+    return t.message(
+        v.ADVERSARIAL_PROMPT, text=text, name=_pick(level, v.LEVELS), other=_pick(vocab_level, v.LEVELS), definition=_pick(level, v.DEFINITIONS),
+        eight=_verbs(vocab_level, 8), avoided=_verbs(level, 6), six=_verbs(vocab_level, 6), hints=_pick(level, v.HINTS),
     )
 
 

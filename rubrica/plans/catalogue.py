@@ -29,8 +29,7 @@ def _prepared(spark: SparkSession, d: str) -> DataFrame:
 
 def _constraint(i: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        passed, score = constraints.RULES[i]()
-        return _prepared(spark, d).select("gen_id", passed.alias("passed"), score.cast("double").alias("score"))
+        return _prepared(spark, d).select("gen_id", constraints.RULES[i](constraints.plain).alias("r")).select("gen_id", "r.*")
     return run
 
 
@@ -92,7 +91,7 @@ def queries() -> dict[str, Query]:
         "methods_principles": _docs(lambda x: x.select(F.col("doc_id").alias("passage_id"), F.array_join(ps.methods_principles(text("text")), "|").alias("methods_principles"))),
         "generations": lambda s, d: fx.gens(s, d).drop("subject"),
         "evaluated_records": _eval(lambda e: e.select("gen_id", F.size("constraints").cast("long").alias("n_constraints"), "all_passed", "pass_rate", "evaluation_error")),
-        "evaluated_results": _eval(lambda e: metrics.exploded(e).select("gen_id", "id", "tier", "passed", "score")),
+        "evaluated_results": _eval(lambda e: metrics.exploded(e).select("gen_id", "id", "tier", "passed", "score", "details")),
         "prompt_strict": _eval(metrics.prompt_strict), "prompt_loose": _eval(metrics.prompt_loose), "prompt_pass_rate": _eval(metrics.prompt_strict),
         "constraint_strict": _eval(metrics.constraint_strict), "constraint_loose": _eval(metrics.constraint_loose),
         "by_level": _eval(metrics.by_level), "by_subject": _eval(metrics.by_subject), "by_constraint": _eval(metrics.by_constraint), "by_tier": _eval(metrics.by_tier),

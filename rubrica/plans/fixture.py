@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.col("source").alias("subject"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.col("source").alias("subject"), "text", F.col("doc_id").alias(evaluate.READ_ORDER))
     return ps.processed(docs)
 
 

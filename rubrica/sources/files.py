@@ -16,8 +16,15 @@ ENVELOPE = f"model string, mode string, n_generations int, timestamp string, gen
 
 
 def read_passages(spark: SparkSession, folder: str) -> DataFrame:
-    """<folder>/<subject>/passages.json of all subjects there are."""
-    return spark.read.schema(PASSAGE).option("multiLine", True).json(f"{folder}/*/passages.json")
+    """<folder>/<subject>/passages.json of all subjects there are, with read_order: subjects in their published order (others after them, by path), then the place in the file.
+
+    A file is read by one task, so a number that grows along the task grows along the file.
+    """
+    rows = spark.read.schema(PASSAGE).option("multiLine", True).json(f"{folder}/*/passages.json")
+    path = F.col("_metadata.file_path")
+    subject = F.array_position(F.array(*map(F.lit, v.SUBJECTS)), F.regexp_extract(path, "([^/]+)/[^/]+$", 1))
+    rank = F.when(subject == 0, F.lit(len(v.SUBJECTS) + 1)).otherwise(subject)
+    return rows.withColumn("read_order", F.struct(rank.cast("int").alias("subject"), path.alias("path"), F.monotonically_increasing_id().alias("at")))
 
 
 def parse_name(name) -> tuple:
