@@ -21,6 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def strings(xs: list[str]) -> Column:
+    """An array literal. One expression instead of one for each member, which the optimizer folds."""
+    return F.split(F.lit("\n".join(xs)), "\n")
+
+
 def text(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
@@ -67,7 +72,7 @@ def any_of(x: Column, patterns: list[str]) -> Column:
 
 def first_of(x: Column, patterns: list[str]) -> Column:
     """The first of the list that x contains, or null: the evidence. The list is gone through only where some pattern occurs."""
-    return F.when(any_of(x, patterns), F.get(F.filter(F.array(*map(F.lit, patterns)), lambda p: F.contains(x, p)), F.lit(0)))
+    return F.when(any_of(x, patterns), F.get(F.filter(strings(patterns), lambda p: F.contains(x, p)), F.lit(0)))
 
 
 def first_match(x: Column, patterns: list[str]) -> Column:

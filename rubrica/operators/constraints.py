@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as t, vocab as v
@@ -71,7 +72,7 @@ def vocabulary(i: str, level: int, patterns: list[str] | None, shown: int) -> Ru
 def u1(make: Make) -> Column:
     def judged(s: Column) -> Column:
         low = F.lower(s)
-        first = lambda patterns, holds: F.get(F.filter(F.array(*map(F.lit, patterns)), holds), F.lit(0))
+        first = lambda patterns, holds: F.get(F.filter(t.strings(patterns), holds), F.lit(0))
         word = F.coalesce(*(F.when(low.rlike(rf"(?U)\b{w}\b"), F.lit(w)) for w in v.QUESTION_WORDS))
         cases = [
             (first(v.TASK_STARTERS, lambda p: F.startswith(low, p)), lambda x: make(*_yes(0.8), _say("U1", "task", found=x))),
@@ -213,19 +214,21 @@ def p4(make: Make) -> Column:
 
 
 def with_acronyms(text: Column, concepts: Column) -> Column:
-    """Concepts that the text mentions, then those that its acronyms stand for."""
-    def extend(found: Column, short: str, long: str) -> Column:
-        def extended(f: Column) -> Column:
-            more = F.filter(concepts, lambda c: ~F.exists(f, lambda x: F.lower(x) == F.lower(c)) & (F.contains(F.lower(c), F.lit(short)) | F.contains(F.lit(long), F.lower(c)) | F.contains(F.lower(c), F.lit(long))))
-            # once a concept is added, its repeats (up to case) are in already
-            first = t.let(more, lambda m: F.filter(m, lambda c, i: ~F.exists(F.slice(m, F.lit(1), i), lambda x: F.lower(x) == F.lower(c))))
-            return F.when(text.rlike(rf"(?U)\b{short}\b"), F.concat(f, first)).otherwise(f)
-        return t.let(found, extended)
+    """Concepts that the text mentions, then those that its acronyms stand for, acronym by acronym."""
+    meaning = F.str_to_map(F.lit("|".join(f"{a}={x}" for a, x in v.ACRONYMS.items())), F.lit("[|]"), F.lit("="))
 
-    found = t.concepts_in(text, concepts)
-    for short, long in v.ACRONYMS.items():
-        found = extend(found, short, long)
-    return found
+    def extended(found: Column, short: Column) -> Column:
+        def more(long: Column) -> Column:
+            stands = lambda c: F.contains(F.lower(c), short) | F.contains(long, F.lower(c)) | F.contains(F.lower(c), long)
+            return F.filter(concepts, lambda c: ~F.exists(found, lambda x: F.lower(x) == F.lower(c)) & stands(c))
+
+        # once a concept is added, its repeats (up to case) are in already
+        first = t.let(t.let(F.element_at(meaning, short), more), lambda m: F.filter(m, lambda c, i: ~F.exists(F.slice(m, F.lit(1), i), lambda x: F.lower(x) == F.lower(c))))
+        return F.concat(found, first)
+
+    held = F.regexp_extract_all(text, F.lit(rf"(?U)\b(?:{'|'.join(v.ACRONYMS)})\b"), F.lit(0))
+    short = t.let(held, lambda h: F.filter(t.strings(list(v.ACRONYMS)), lambda a: F.array_contains(h, a)))
+    return F.aggregate(short, t.concepts_in(text, concepts), extended)
 
 
 def a2(make: Make) -> Column:
@@ -260,7 +263,7 @@ def c3(make: Make) -> Column:
         n = F.size(f)
         return F.when(n >= least, make(*_yes(), _say("C3", "ok", n=n, found=t.listed(f, 4), least=least))).otherwise(make(*_no(n / least), _say("C3", "none", n=n, found=t.listed(f), least=least)))
 
-    return t.let(F.filter(F.array(*map(F.lit, v.SPECS)), lambda m: F.contains(_c("q"), m)), judged)
+    return t.let(F.filter(t.strings(v.SPECS), lambda m: F.contains(_c("q"), m)), judged)
 
 
 def c4(make: Make) -> Column:
@@ -373,9 +376,19 @@ def applies(c: Registered) -> Column:
     return F.col("level").isin(c.levels) & (std if c.tier == "structural" and c.id.endswith("1") else std | adv)
 
 
+_built: dict[tuple, Column] = {}
+
+
 def results() -> Column:
-    """The results of the constraints that a row's level and mode call for, in order. Only those are computed."""
-    return F.filter(F.array(*(F.when(applies(c), result(c)) for c in registry())), lambda r: r.isNotNull())
+    """The results of the constraints that a row's level and mode call for, in order. Only those are computed.
+
+    The column names no table, so it is built once for a Spark context and the constraints registered.
+    """
+    key = (SparkContext._active_spark_context.applicationId, *(id(c) for c in EXTRA))
+    if key not in _built:
+        _built.clear()
+        _built[key] = F.filter(F.array(*(F.when(applies(c), result(c)) for c in registry())), lambda r: r.isNotNull())
+    return _built[key]
 
 
 def called_for() -> Column:

@@ -41,15 +41,26 @@ def _digest(ws) -> list:
     return [F.md5(F.array_join(ws, " ").cast("binary")).alias("digest")]
 
 
-def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(m, n, o, c.id, c.tier) for m in ("standard", "adversarial") for n in v.LEVELS for o, c in enumerate(constraints.applicable(n, m))]
-    return spark.createDataFrame(rows, "mode string, level int, ord int, id string, tier string")
+def _called(spark: SparkSession, d: str) -> DataFrame:
+    """The constraints that each level and mode among the generations call for, in order."""
+    kinds = fx.gens(spark, d).select("mode", "level").distinct()
+    return kinds.select("mode", "level", F.posexplode(constraints.called_for()).alias("ord", "c")).select("mode", "level", "ord", "c.id", "c.tier")
 
 
 def _router(spark: SparkSession, d: str) -> DataFrame:
-    m = spark.createDataFrame([(x[0],) for x in v.MODELS] + [("my.model:x",), ("gemini-9",)], "model string")
+    """Every conversation routed by a model's name that its id picks, some of them unknown."""
+    names = [x[0] for x in v.MODELS] + ["my.model:x", "gemini-9"]
+    m = fx.table(spark, d, "conversations").select("conv_id").distinct().withColumn("model", fx.pick(names, F.col("conv_id")))
     shown = prompts.display_name(F.col("model"))
-    return m.select("model", prompts.backend(F.col("model")).alias("backend"), prompts.safe_name(F.col("model")).alias("safe"), shown["name"].alias("name"), shown["params"].alias("params"))
+    return m.select("conv_id", "model", prompts.backend(F.col("model")).alias("backend"), prompts.safe_name(F.col("model")).alias("safe"), shown["name"].alias("name"), shown["params"].alias("params"))
+
+
+def _repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Generations whose passage id stands for two texts each: the one read last is theirs, with its own concepts."""
+    known = fx.passages(spark, d).withColumn("passage_id", F.expr("passage_id div 2"))
+    g = fx.gens(spark, d).withColumn("passage_id", F.expr("passage_id div 2"))
+    out = evaluate.bound(g.select("gen_id", "passage_id", "mode"), known)
+    return out.select("gen_id", F.md5(F.col("passage").cast("binary")).alias("digest"), F.array_join("key_concepts", "|").alias("key_concepts"))
 
 
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +111,8 @@ def queries() -> dict[str, Query]:
         "complete_files": lambda s, d: metrics.complete(fx.gens(s, d), 20), "ready_models": lambda s, d: metrics.ready(fx.gens(s, d)),
         "work_list": _docs(lambda x: evaluate.work_list(x.withColumnRenamed("doc_id", "passage_id"), "standard").drop("vocab_level")), "resume_anti_join": _resume,
         "even_sample": _docs(lambda x: ps.evenly(x.select("source", "doc_id"), 15, "source", "doc_id")), "passage_ids": _docs(_ids),
-        "backend_router": _router, "constraint_matrix": _matrix, "constraint_counts": lambda s, d: _matrix(s, d).groupBy("mode", "level").agg(F.count("*").cast("int").alias("n")),
+        "backend_router": _router, "constraint_matrix": _called, "constraint_counts": lambda s, d: _called(s, d).groupBy("mode", "level").agg(F.count("*").cast("int").alias("n")),
+        "describe_constraints": lambda s, d: fx.gens(s, d).select("gen_id", constraints.description().alias("description")), "last_passage": _repeated,
         "prompt_standard": _docs(lambda x: _prompted(x, "standard")), "prompt_adversarial": _docs(lambda x: _prompted(x, "adversarial")), "extract_qa": _extracted,
         "page_text": lambda s, d: ps.page_text(fx.table(s, d, "pages")),
     }

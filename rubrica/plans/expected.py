@@ -143,10 +143,36 @@ MODELS = [
     ('gemini-2.5-flash', 'google', 'Gemini 2.5 Flash', 'frontier'), ('deepseek-ai/DeepSeek-V3.1', 'together', 'DeepSeek-V3.1', '671B MoE'),
     ('meta-llama/Llama-3.3-70B-Instruct-Turbo', 'together', 'Llama 3.3 70B', '70B'),
 ]
-CONSTRAINTS = [
-    ('U1', 'universal', []), ('U2', 'universal', []), ('U3', 'universal', []), ('U4', 'universal', []), ('R1', 'structural', [1]), ('R2', 'structural', [1]),
-    ('R3', 'structural', [1]), ('R4', 'structural', [1]), ('D1', 'structural', [2]), ('D2', 'structural', [2]), ('D4', 'structural', [2]), ('D3', 'semantic', [2]),
-    ('P1', 'structural', [3]), ('P3', 'structural', [3]), ('P4', 'structural', [3]), ('P2', 'semantic', [3]), ('A1', 'structural', [4]), ('A2', 'structural', [4]),
-    ('A3', 'structural', [4]), ('A4', 'structural', [4]), ('E1', 'structural', [5]), ('E2', 'structural', [5]), ('E3', 'structural', [5]), ('E4', 'structural', [5]),
-    ('C1', 'structural', [6]), ('C3', 'structural', [6]), ('C4', 'structural', [6]), ('C2', 'semantic', [6]), ('AV', 'adversarial', []), ('AN', 'adversarial', []),
+#: id, name, tier, levels, description.
+DESCRIBED = [
+    ('U1', 'is_question', 'universal', [], "U1: Output is a question or task prompt — ends with '?' or contains interrogative structure."),
+    ('U2', 'word_count', 'universal', [], 'U2: Question is 10-150 words.'),
+    ('U3', 'passage_relevance', 'universal', [], 'U3: Output is about the passage topic — >=2 key terms appear in question+answer combined.'),
+    ('U4', 'no_degenerate', 'universal', [], 'U4: No degenerate output — no word repeated >3 times, not empty.'),
+    ('R1', 'remember_vocabulary', 'structural', [1], 'R1: Uses Remember-level vocabulary or natural recall framing.'),
+    ('R2', 'single_concept', 'structural', [1], 'R2: Targets a single concept — at most 2 key concepts from passage appear.'),
+    ('R3', 'short_answer', 'structural', [1], 'R3: Answer is short (factual) — <= 20 words.'),
+    ('R4', 'answer_extractable', 'structural', [1], 'R4: Answer is findable in the passage — >=60% stemmed word overlap.'),
+    ('D1', 'understand_vocabulary', 'structural', [2], 'D1: Uses Understand-level vocabulary or natural comprehension framing.'),
+    ('D2', 'answer_not_copied', 'structural', [2], 'D2: Answer is NOT copy-pasted from passage — <70% trigram overlap.'),
+    ('D4', 'asks_meaning', 'structural', [2], 'D4: Asks about meaning, not bare facts — contains how/why/explain/describe.'),
+    ('D3', 'answer_supported', 'semantic', [2], 'D3: Answer is consistent with the passage — NLI contradiction < 50%.'),
+    ('P1', 'apply_vocabulary', 'structural', [3], 'P1: Uses Apply-level vocabulary or scenario-based application framing.'),
+    ('P3', 'method_reference', 'structural', [3], 'P3: References a concept, method, or principle from the passage.'),
+    ('P4', 'specific_result', 'structural', [3], 'P4: Answer contains a specific result — number, named outcome, or step.'),
+    ('P2', 'new_scenario', 'semantic', [3], 'P2: Question describes a NEW scenario not in the passage — NLI non-entailment >55%.'),
+    ('A1', 'analyze_vocabulary', 'structural', [4], 'A1: Uses Analyze-level vocabulary or natural analytical framing.'),
+    ('A2', 'multiple_concepts', 'structural', [4], 'A2: References >=2 concepts from the passage.'),
+    ('A3', 'asks_relationship', 'structural', [4], 'A3: Asks about relationships between concepts.'),
+    ('A4', 'answer_coverage', 'structural', [4], 'A4: Answer addresses all referenced concepts from the question.'),
+    ('E1', 'evaluate_vocabulary', 'structural', [5], 'E1: Uses Evaluate-level vocabulary.'),
+    ('E2', 'presents_claim', 'structural', [5], 'E2: Presents something to evaluate — a claim, position, or judgment prompt.'),
+    ('E3', 'evidence_request', 'structural', [5], 'E3: Asks for evidence-based reasoning.'),
+    ('E4', 'answer_argumentation', 'structural', [5], 'E4: Answer contains argumentation — has contrastive markers.'),
+    ('C1', 'create_vocabulary', 'structural', [6], 'C1: Uses Create-level vocabulary.'),
+    ('C3', 'specifications', 'structural', [6], 'C3: Specifies requirements — >=2 specification markers.'),
+    ('C4', 'substantial_answer', 'structural', [6], 'C4: Answer is substantial and open-ended — >50 words.'),
+    ('C2', 'novel_creation', 'semantic', [6], 'C2: Asks for something NOT in the passage — NLI non-entailment >60%.'),
+    ('AV', 'adversarial_vocabulary', 'adversarial', [], 'AV: In adversarial mode, uses vocabulary from the WRONG level (as specified).'),
+    ('AN', 'no_target_vocabulary', 'adversarial', [], 'AN: In adversarial mode, should NOT use vocabulary from the TARGET level.'),
 ]

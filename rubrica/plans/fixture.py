@@ -18,7 +18,7 @@ COUNTS = [3, 15, 40, 120]
 
 
 def pick(values: list, index: Column) -> Column:
-    return F.get(F.array(*map(F.lit, values)), (index % len(values)).cast("int"))
+    return F.get(t.strings(values) if isinstance(values[0], str) else F.array(*map(F.lit, values)), (index % len(values)).cast("int"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

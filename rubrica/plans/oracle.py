@@ -306,7 +306,7 @@ def _applies(tier: str, i: str, levels: list[int]) -> str:
 #: One row for each result of each record, and one for each record.
 RESULTS = "res AS (" + " UNION ALL ".join(
     f"SELECT gen_id, model, mode, level, subject, {n} AS ord, {s(i)} AS id, {s(tier)} AS tier, {RULES[i][0]} AS passed, ({RULES[i][1]})::DOUBLE AS score, {RULES[i][2]} AS details FROM b WHERE q <> '' AND {_applies(tier, i, levels)}"
-    for n, (i, tier, levels) in enumerate(v.CONSTRAINTS)
+    for n, (i, _, tier, levels, _) in enumerate(v.DESCRIBED)
 ) + f"""),
 ev AS (SELECT b.gen_id, b.model, b.mode, b.level, b.subject, count(r.id) AS n, coalesce(count(r.id) > 0 AND bool_and(r.passed), false) AS all_passed, count_if(r.passed) AS n_pass, coalesce(bool_and(r.score >= 0.5), true) AS loose
   FROM b LEFT JOIN res r USING (gen_id) GROUP BY ALL)"""
@@ -317,6 +317,13 @@ OPENING = "You are generating an educational question from a textbook passage.\n
 CLOSING = "\n\nRespond in this EXACT format (nothing else):\nQUESTION: [your question]\nANSWER: [a reference answer]"
 
 
+#: Which constraints a level and mode call for, in order, with the line that describes each.
+CALLED = "(VALUES " + ", ".join(
+    f"({s(m)}, {n}, {o}, {s(i)}, {s(tier)}, {s(name)}, {s(said)})" for m in ("standard", "adversarial") for n in v.LEVELS for o, (i, name, tier, said) in enumerate(
+        (i, name, tier, said) for i, name, tier, ls, said in v.DESCRIBED if tier == "universal" or (tier == "adversarial" and m == "adversarial") or (n in ls and not (m == "adversarial" and tier == "structural" and i.endswith("1"))))
+) + ") AS t(mode, level, ord, id, tier, name, said)"
+
+
 def rates(by: str, src: str = "ev", ok: str = "all_passed", where: str = "true", more: str = "") -> str:
     return f"{BASE} SELECT {by}, count(*) AS n_total, count_if({ok})::BIGINT AS n_pass, {more} count_if({ok})::DOUBLE / count(*) AS rate FROM {src} WHERE {where} GROUP BY ALL"
 
@@ -364,10 +371,14 @@ def sql() -> dict[str, str]:
         "resume_anti_join": f"{gx} SELECT p.passage_id, l::INT AS level, 'adversarial' AS mode FROM fx_passages p, range(1, 7) r(l) WHERE NOT EXISTS (SELECT 1 FROM fx_gens g WHERE g.passage_id = p.passage_id AND g.level = l AND g.mode = 'adversarial' AND g.error IS NULL)",
         "even_sample": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE n <= 15 OR list_contains(list_transform(range(15), lambda k: floor(k * (n / 15.0::DOUBLE))::BIGINT), i)",
         "passage_ids": "SELECT doc_id, printf('%s_%03d', substr(source, 1, 3), i) AS passage_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE len(regexp_extract_all(text, '\\S+')) >= 300) WHERE i <= 15",
-        "backend_router": "SELECT * FROM (VALUES " + ", ".join(f"({s(m)}, {s(k if k in ('openai', 'google', 'together') else 'ollama')}, {s(m.translate(str.maketrans(':./', '___')))}, {s(n)}, {s(z)})" for m, k, n, z in v.MODELS) + ", ('my.model:x', 'ollama', 'my_model_x', 'my.model:x', '?'), ('gemini-9', 'google', 'gemini-9', 'gemini-9', '?')) AS t(model, backend, safe, name, params)",
-        "constraint_matrix": "SELECT * FROM (VALUES " + ", ".join(f"({s(m)}, {n}, {o}, {s(i)}, {s(tier)})" for m in ("standard", "adversarial") for n in v.LEVELS for o, (i, tier) in enumerate(
-            (i, tier) for i, tier, ls in v.CONSTRAINTS if tier == "universal" or (tier == "adversarial" and m == "adversarial") or (n in ls and not (m == "adversarial" and tier == "structural" and i.endswith("1"))))) + ") AS t(mode, level, ord, id, tier)",
-        "constraint_counts": "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {n}, {k})" for m, k in (("standard", 8), ("adversarial", 9)) for n in v.LEVELS) + ") AS t(mode, level, n)",
+        "backend_router": "SELECT conv_id, model, backend, safe, name, params FROM (SELECT DISTINCT conv_id FROM conversations) JOIN (VALUES " + ", ".join(
+            f"({k}, {s(m)}, {s(b if b in ('openai', 'google', 'together') else 'ollama')}, {s(m.translate(str.maketrans(':./', '___')))}, {s(n)}, {s(z)})" for k, (m, b, n, z) in enumerate(v.MODELS)
+        ) + f", ({len(v.MODELS)}, 'my.model:x', 'ollama', 'my_model_x', 'my.model:x', '?'), ({len(v.MODELS) + 1}, 'gemini-9', 'google', 'gemini-9', 'gemini-9', '?')) AS t(k, model, backend, safe, name, params) ON conv_id % {len(v.MODELS) + 2} = k",
+        "constraint_matrix": f"{gx} SELECT DISTINCT mode, level, ord, id, tier FROM fx_gens JOIN {CALLED} USING (mode, level)",
+        "constraint_counts": f"{gx} SELECT mode, level, CASE mode WHEN 'standard' THEN 8 ELSE 9 END AS n FROM fx_gens GROUP BY ALL",
+        "describe_constraints": f"{gx}, d AS (SELECT mode, level, string_agg('- ' || name || ': ' || said, chr(10) ORDER BY ord) AS description FROM {CALLED} WHERE tier <> 'universal' GROUP BY ALL) SELECT gen_id, description FROM fx_gens JOIN d USING (mode, level)",
+        "last_passage": f"""{gx}, p AS (SELECT passage_id // 2 AS passage_id, arg_max(text, passage_id) AS text, arg_max(key_concepts, passage_id) AS kc FROM fx_passages GROUP BY 1)
+            SELECT gen_id, md5(p.text) AS digest, array_to_string(kc, '|') AS key_concepts FROM (SELECT gen_id, passage_id // 2 AS passage_id FROM fx_gens) LEFT JOIN p USING (passage_id)""",
         "prompt_standard": f"SELECT doc_id, level::INT AS level, {s(OPENING)} || text || chr(10) || chr(10) || 'TASK: Generate a ' || name || '-level question (Bloom''s Taxonomy) about this passage.' || chr(10) || chr(10) || 'At the ' || name || ' level, students should be able to ' || def || '.' || chr(10) || chr(10) || hint || {s(CLOSING)} AS prompt FROM documents, (VALUES "
         + ", ".join(f"({n}, {s(v.LEVELS[n])}, {s(v.DEFINITIONS[n])}, {s(v.HINTS[n])})" for n in v.LEVELS) + ") l(level, name, def, hint)",
         "prompt_adversarial": f"SELECT doc_id, level::INT AS level, {s(OPENING)} || text || chr(10) || chr(10) || 'TASK: Generate a ' || name || '-level question (Bloom''s Taxonomy), but you MUST use vocabulary from the ' || other || ' level.' || chr(10) || chr(10) || 'The cognitive demand of your question must be ' || name || ' (students should ' || def || '), even though the wording uses ' || other || '-level verbs like: ' || v8 || '.' || chr(10) || chr(10) || 'IMPORTANT: Do NOT use verbs like ' || f6 || '. Instead, use verbs like: ' || r6 || '.' || chr(10) || chr(10) || hint || {s(CLOSING)} AS prompt FROM documents, (VALUES "
