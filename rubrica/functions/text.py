@@ -109,6 +109,24 @@ def thousandths(x: Column) -> Column:
     return let(F.rint(x * 1000).cast("long"), lambda n: F.format_string("%d.%03d", F.floor(n / 1000).cast("long"), n % 1000))
 
 
+def rounded(x: Column, digits: int = 4) -> Column:
+    """As Python rounds a double: by its exact value, exact halves to the even digit. x isn't negative enough to overflow."""
+    scale = 10.0**digits
+
+    def near(v: Column) -> Column:
+        # v * scale is high + low, exactly (Dekker's product; scale has few bits)
+        def parts(head: Column) -> Column:
+            high = v * scale
+            low = (head * scale - high) + (v - head) * scale
+            base = F.floor(high)
+            half = (high - base == 0.5) & (low != 0)
+            return F.when(half, F.when(low > 0, base + 1).otherwise(base)).otherwise(F.rint(high)).cast("double") / scale
+
+        return let(v * 134217729.0 - (v * 134217729.0 - v), parts)
+
+    return let(x.cast("double"), near)
+
+
 def message(template: str, **values: Column | int | str) -> Column:
     """template with its {names} filled in."""
     parts = re.split(r"\{(\w+)\}", template)

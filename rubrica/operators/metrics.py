@@ -1,13 +1,19 @@
-"""Pass rates, breakdowns, confidence intervals, gaps, leaderboard. Rates stay unrounded; sinks round."""
+"""Pass rates, breakdowns, confidence intervals, gaps, leaderboard.
+
+Rates stay unrounded but where a gap is taken: it is the difference of two published rates, which have
+four digits. ``breakdown`` counts everything that documents need in one pass.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..functions import vocab as v
+from ..functions import lineage, text as t, vocab as v
 
 BY = ["model", "mode"]
 
@@ -30,8 +36,10 @@ def prompt_loose(e: DataFrame, by: list[str] = BY) -> DataFrame:
     return e.groupBy(*by).agg(F.count("*").alias("n_total"), F.count_if(loose_all()).alias("n_pass"), F.count_if(F.size("constraints") == 0).alias("n_empty")).withColumn("rate", F.try_divide("n_pass", "n_total"))
 
 
-def exploded(e: DataFrame) -> DataFrame:
-    return e.select(*[c for c in ("gen_id", "model", "mode", "level", "subject") if c in e.columns], F.posexplode("constraints").alias("pos", "c")).select("*", "c.*").drop("c")
+def exploded(e: DataFrame, *more: str) -> DataFrame:
+    """A row for each result, with the record's own columns and more of them."""
+    own = dict.fromkeys((*(c for c in ("gen_id", "model", "mode", "level", "subject") if c in e.columns), *more))
+    return e.select(*own, F.posexplode("constraints").alias("pos", "c")).select("*", "c.*").drop("c")
 
 
 def constraint_strict(e: DataFrame, by: list[str] = BY) -> DataFrame:
@@ -63,18 +71,34 @@ def pooled(e: DataFrame) -> DataFrame:
     return constraint_strict(e.where("mode = 'standard'"), ["id"])
 
 
+def _both(own: Column | None = None) -> tuple[Column, Column]:
+    """The published strict rates of both modes, of those records of a group that own keeps; a missing one counts as 0."""
+    def rate(mode: str) -> Column:
+        m = (F.col("mode") == mode) if own is None else (F.col("mode") == mode) & own
+        return t.rounded(F.coalesce(F.try_divide(F.count_if(m & F.col("all_passed")), F.count_if(m)), F.lit(0.0)))
+
+    return rate("standard"), rate("adversarial")
+
+
+def _gap(standard: Column, adversarial: Column) -> Column:
+    return t.rounded(standard - adversarial)
+
+
 def gap(e: DataFrame, by: list[str]) -> DataFrame:
-    """Strict rates of both modes side by side; a missing one counts as 0. One aggregation, no join."""
-    std, adv = F.col("mode") == "standard", F.col("mode") == "adversarial"
-    one = lambda m: F.coalesce(F.try_divide(F.count_if(m & F.col("all_passed")), F.count_if(m)), F.lit(0.0))
-    return e.groupBy(*by).agg(one(std).alias("standard"), one(adv).alias("adversarial")).withColumn("gap", F.col("standard") - F.col("adversarial"))
+    """Published strict rates of both modes side by side, and the gap. One aggregation, no join."""
+    standard, adversarial = _both()
+    rows = e.groupBy(*by).agg(standard.alias("standard"), adversarial.alias("adversarial"))
+    return rows.withColumn("gap", _gap(F.col("standard"), F.col("adversarial")))
 
 
 def gap_by_level(e: DataFrame) -> DataFrame:
     """The gap of every model at each of the six levels; one without records has rates of 0. One aggregation, no join."""
-    one = lambda m: F.coalesce(F.try_divide(F.count_if(m & F.col("all_passed")), F.count_if(m)), F.lit(0.0))
-    rates = lambda n: F.struct(F.lit(n).alias("level"), *(one((F.col("level") == n) & (F.col("mode") == m)).alias(m) for m in ("standard", "adversarial")))
-    return e.groupBy("model").agg(F.array(*map(rates, v.LEVELS)).alias("levels")).select("model", F.inline("levels")).withColumn("gap", F.col("standard") - F.col("adversarial"))
+    def rates(n: int) -> Column:
+        standard, adversarial = _both(F.col("level") == n)
+        return F.struct(F.lit(n).alias("level"), standard.alias("standard"), adversarial.alias("adversarial"))
+
+    rows = e.groupBy("model").agg(F.array(*map(rates, v.LEVELS)).alias("levels")).select("model", F.inline("levels"))
+    return rows.withColumn("gap", _gap(F.col("standard"), F.col("adversarial")))
 
 
 def interval(values: np.ndarray) -> tuple[float, float]:
@@ -88,16 +112,49 @@ def interval(values: np.ndarray) -> tuple[float, float]:
     return float(np.percentile(means, tail)), float(np.percentile(means, 100 - tail))
 
 
-def bootstrap(e: DataFrame, by: list[str] = BY, order: str = "gen_id") -> DataFrame:
-    """Strict rate with its confidence interval. A group's 0/1 vector comes to one task as one byte a record."""
-    def one(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        x = df.sort_values(order)["ok"].to_numpy(dtype=np.float64)
-        low, high = interval(x)
-        return pd.DataFrame([[*key, len(x), float(x.mean()), low, high]], columns=[*by, "n", "rate", "ci_low", "ci_high"])
+#: Up to so many records a group is resampled record by record, beyond it by its counts.
+EXACT = 200_000
+
+
+def interval_of_counts(n: int, n_pass: int) -> tuple[float, float]:
+    """The same bootstrap by counts: of n draws with replacement from 0/1 values the passes are binomial, so the resampled means have the same distribution. Reseeded for each call."""
+    if n < 2:
+        return (n_pass / n, n_pass / n) if n else (0.0, 0.0)
+    means = np.random.RandomState(v.SEED).binomial(n, n_pass / n, v.RESAMPLES) / n
+    tail = (1 - v.CONFIDENCE) / 2 * 100
+    return float(np.percentile(means, tail)), float(np.percentile(means, 100 - tail))
+
+
+def bootstrap(e: DataFrame, by: list[str] = BY, order: str | list[str] = "gen_id", ok: Column | None = None, exact: int = EXACT) -> DataFrame:
+    """The share of records for which ok holds (all_passed), with its confidence interval.
+
+    Groups of up to exact records are resampled record by record, in their order, as the published figures
+    are: their 0/1 values come to one task, one byte each. A larger group is never gathered: its interval
+    follows from two counts that tasks sum. The groups are few; their counts decide which way each goes.
+    """
+    tail = "n long, rate double, ci_low double, ci_high double"
+    order = [order] if isinstance(order, str) else order
+    rows = e.select(*by, *order, F.coalesce(F.col("all_passed") if ok is None else ok, F.lit(False)).cast("tinyint").alias("ok"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by)
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("long")).alias("n_pass"))
+
+    def vector(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        x = df.sort_values(order, kind="stable")["ok"].to_numpy(dtype=np.float64)
+        return pd.DataFrame([[*key, len(x), float(x.mean()), *interval(x)]], columns=[*by, "n", "rate", "ci_low", "ci_high"])
+
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            ends = [interval_of_counts(int(n), int(p)) for n, p in zip(df["n"], df["n_pass"])]
+            yield df[[*by, "n"]].assign(rate=df["n_pass"] / df["n"], ci_low=[x for x, _ in ends], ci_high=[x for _, x in ends])
+
+    many = counts.where(F.col("n") > exact)
+    same = [F.col(f"r.{b}").eqNullSafe(F.col(f"c.{b}")) for b in by]
+    few = rows.alias("r").join(many.alias("c"), same, "left_anti")
+    return few.groupBy(*by).applyInPandas(vector, f"{kinds}, {tail}").union(many.mapInPandas(counted, f"{kinds}, {tail}"))
+
 
-    rows = e.select(*by, order, F.col("all_passed").cast("tinyint").alias("ok"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(*by).applyInPandas(one, ", ".join([*(f"{b} {kinds[b]}" for b in by), "n long, rate double, ci_low double, ci_high double"]))
+def by_level_interval(e: DataFrame, order: str = "gen_id") -> DataFrame:
+    return bootstrap(e.where(F.col("level").between(1, 6)), [*BY, "level"], order)
 
 
 def complete(gens: DataFrame, least: int = v.COMPLETE) -> DataFrame:
@@ -127,22 +184,76 @@ def prompt_rates(e: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def leaderboard(e: DataFrame) -> DataFrame:
-    """Ascending gap, then name. One aggregation over the records; one row a model, so the ranking window is small."""
+def _ready(bad: Column) -> Column:
+    """Whether a group of one model's records has both modes, with few errors in each."""
     std, adv = F.col("mode") == "standard", F.col("mode") == "adversarial"
-    rate = lambda m: F.coalesce(F.try_divide(F.count_if(m & F.col("all_passed")), F.count_if(m)), F.lit(0.0))
+    few = lambda m: F.coalesce(F.try_divide(F.count_if(m & bad), F.count_if(m)) <= v.MAX_ERRORS, F.lit(False))
+    return few(std) & few(adv)
+
+
+def leaderboard(e: DataFrame, gated: bool = True) -> DataFrame:
+    """Models by their published gap, ascending, then by safe name. One aggregation over the records; one row a model, so the ranking window is small.
+
+    Gated, only models whose records have both modes and at most a tenth of errors in each are ranked; e then needs the generations' column error.
+    """
+    std = F.col("mode") == "standard"
     hits = lambda ok: F.sum(F.when(std, F.size(F.filter("constraints", ok))))
     total = F.sum(F.when(std, F.size("constraints")))
+    standard, adversarial = _both()
     rows = e.groupBy("model").agg(
-        rate(std).alias("standard"), rate(adv).alias("adversarial"), F.try_divide(F.count_if(std & loose_all()), F.count_if(std)).alias("standard_loose"),
-        F.try_divide(hits(lambda c: c["passed"]), total).alias("constraint_strict"), F.try_divide(hits(lambda c: c["score"] >= v.LOOSE), total).alias("constraint_loose"),
+        standard.alias("standard"), adversarial.alias("adversarial"), t.rounded(F.try_divide(F.count_if(std & loose_all()), F.count_if(std))).alias("standard_loose"),
+        t.rounded(F.try_divide(hits(lambda c: c["passed"]), total)).alias("constraint_strict"), t.rounded(F.try_divide(hits(lambda c: c["score"] >= v.LOOSE), total)).alias("constraint_loose"),
+        (_ready(F.coalesce("error", F.lit("")) != "") if gated else F.lit(True)).alias("_ready"),
     )
-    rows = rows.withColumn("gap", F.col("standard") - F.col("adversarial"))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy("gap", "model")))
+    rows = rows.where("_ready").drop("_ready").withColumn("gap", _gap(F.col("standard"), F.col("adversarial")))
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy("gap", F.translate("model", ":./", "___"))))
 
 
-def progress(e: DataFrame, every: int = 50) -> DataFrame:
+def breakdown(e: DataFrame) -> DataFrame:
+    """All counts that documents need, in one pass: (model, mode, kind, key, tier, n_total, n_pass, n_loose, n_empty, n_errors).
+
+    A record becomes a row for itself, its level, its subject, and one for each result (kinds prompt, level,
+    subject, constraint); tasks sum them before anything is shuffled. What comes out is a row a model,
+    mode and level, subject or constraint.
+    """
+    one = lambda kind, key, ok, loose, tier=None, empty=False, bad=False: F.struct(
+        F.lit(kind).alias("kind"), key.cast("string").alias("key"), (F.lit(None).cast("string") if tier is None else tier).alias("tier"), ok.cast("int").alias("ok"), loose.cast("int").alias("loose"),
+        F.lit(empty).cast("int").alias("empty") if isinstance(empty, bool) else empty.cast("int").alias("empty"), F.lit(bad).cast("int").alias("bad") if isinstance(bad, bool) else bad.cast("int").alias("bad"),
+    )
+    passed, loose, none = F.coalesce("all_passed", F.lit(False)), loose_all(), F.size("constraints") == 0
+    error = F.coalesce("error", F.lit("")) != "" if "error" in e.columns else F.lit(False)
+    own = F.array(
+        one("prompt", F.lit(""), passed, loose, empty=none, bad=error), one("level", F.when(F.col("level").between(1, 6), F.col("level")), passed, loose),
+        one("subject", F.coalesce("subject", F.lit("unknown")), passed, loose),
+    )
+    each = F.transform("constraints", lambda c: one("constraint", c["id"], c["passed"], F.coalesce(c["score"], F.lit(0.0)) >= v.LOOSE, c["tier"]))
+    rows = e.select(*BY, F.inline(F.concat(own, each))).where("key is not null")
+    sums = {"n_pass": "ok", "n_loose": "loose", "n_empty": "empty", "n_errors": "bad"}
+    return rows.groupBy(*BY, "kind", "key", "tier").agg(F.count("*").alias("n_total"), *(F.sum(F.col(c).cast("long")).alias(n) for n, c in sums.items()))
+
+
+def placed(rows: DataFrame, by: list[str], order: str, sums: list[str] = ()) -> DataFrame:
+    """rows with _at, their place (from 1) in their group's order, and _upto_<c>, the running sum of each of sums.
+
+    In two levels: rows are dealt by ranges of (by, order), numbered inside each range, and get what the
+    ranges before hold of their group, so a group of any size is spread over tasks. Ties are told apart at
+    random, once: the dealt rows are kept.
+    """
+    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = lineage.cut(tied.repartitionByRange(*by, order, "_tie").withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*by, "_part").orderBy(order, "_tie")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumns({"_at": F.row_number().over(inside)} | {f"_upto_{c}": F.sum(c).over(upto) for c in sums})
+    totals = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_sum_{c}") for c in sums))
+    ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = totals.select(*(F.col(b).alias(f"_{b}") for b in by), F.col("_part").alias("_range"), *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_before{c}") for c in ("_n", *(f"_sum_{c}" for c in sums))))
+    same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by] + [F.col("_part") == F.col("_range")]
+    out = local.join(before, same).withColumn("_at", F.col("_at") + F.col("_before_n"))
+    out = out.withColumns({f"_upto_{c}": F.col(f"_upto_{c}") + F.col(f"_before_sum_{c}") for c in sums})
+    return out.select(*rows.columns, "_at", *(f"_upto_{c}" for c in sums))
+
+
+def progress(e: DataFrame, every: int = 50, order: str = "gen_id") -> DataFrame:
     """Running pass counts, every so many records of a model and mode."""
-    w = Window.partitionBy(*BY).orderBy("gen_id")
-    run = e.select(*BY, F.row_number().over(w).alias("done"), F.sum(F.col("all_passed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("passed"))
-    return run.where(F.col("done") % every == 0)
+    rows = e.select(*BY, order, F.coalesce("all_passed", F.lit(False)).cast("long").alias("passed"))
+    return placed(rows, BY, order, ["passed"]).where(F.col("_at") % every == 0).select(*BY, F.col("_at").alias("done"), F.col("_upto_passed").alias("passed"))

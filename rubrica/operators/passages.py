@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t, vocab as v
+from . import metrics
 
 CONCEPTS, METHODS = 8, 6
 METHOD_PATTERNS = [f"(?iU){p}" for p in v.METHOD_PATTERNS]
@@ -66,19 +67,11 @@ def content_pages(toc: DataFrame) -> DataFrame:
     return kept.withColumn("title", t.strip(F.regexp_replace("title", "<[^>]+>", "")))
 
 
-def flatten_toc(node: dict) -> Iterator[dict]:
-    """The leaves of one book's tree, in order."""
-    if node.get("contents"):
-        for child in node["contents"]:
-            yield from flatten_toc(child)
-    elif node.get("slug"):
-        yield {"slug": node["slug"], "title": node.get("title", "")}
-
-
 def evenly(rows: DataFrame, n: int, by: str, key: str) -> DataFrame:
-    """n rows of each group, evenly spaced in the order of key; all where there are no more."""
-    w = Window.partitionBy(by)
-    ranked = rows.withColumn("_i", F.row_number().over(w.orderBy(key)) - 1).withColumn("_n", F.count("*").over(w))
+    """n rows of each group, evenly spaced in the order of key; all where there are no more. Places come in two levels, so a group isn't one task's."""
+    count = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    ranked = metrics.placed(rows, [by], key).withColumn("_i", F.col("_at") - 1)
+    ranked = ranked.join(count, F.col(by).eqNullSafe(F.col("_by"))).drop("_by", "_at")
     step = F.col("_n") / n
     # row i is taken if some k < n has floor(k * step) = i
     k = F.ceil(F.col("_i") / step).cast("long")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as t, vocab as v
 from ..operators import constraints, evaluate, extract, metrics, passages as ps, prompts
+from ..sources import toc
 from . import fixture as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,13 +108,14 @@ def queries() -> dict[str, Query]:
         "constraint_strict": _eval(metrics.constraint_strict), "constraint_loose": _eval(metrics.constraint_loose),
         "by_level": _eval(metrics.by_level), "by_subject": _eval(metrics.by_subject), "by_constraint": _eval(metrics.by_constraint), "by_tier": _eval(metrics.by_tier),
         "constraint_breakdown": _eval(metrics.pooled), "adversarial_gap": _eval(lambda e: metrics.gap(e, ["model"])), "gap_by_level": _eval(metrics.gap_by_level),
-        "leaderboard": _eval(metrics.leaderboard), "running_progress": _eval(lambda e: metrics.progress(e, 10)), "bootstrap_ci": _eval(metrics.bootstrap),
+        "leaderboard": _eval(metrics.leaderboard), "running_progress": _eval(lambda e: metrics.progress(e, 10)), "bootstrap_ci": _eval(metrics.bootstrap), "bootstrap_by_level": _eval(metrics.by_level_interval), "breakdown": _eval(metrics.breakdown),
         "complete_files": lambda s, d: metrics.complete(fx.gens(s, d), 20), "ready_models": lambda s, d: metrics.ready(fx.gens(s, d)),
         "work_list": _docs(lambda x: evaluate.work_list(x.withColumnRenamed("doc_id", "passage_id"), "standard").drop("vocab_level")), "resume_anti_join": _resume,
         "even_sample": _docs(lambda x: ps.evenly(x.select("source", "doc_id"), 15, "source", "doc_id")), "passage_ids": _docs(_ids),
         "backend_router": _router, "constraint_matrix": _called, "constraint_counts": lambda s, d: _called(s, d).groupBy("mode", "level").agg(F.count("*").cast("int").alias("n")),
         "describe_constraints": lambda s, d: fx.gens(s, d).select("gen_id", constraints.description().alias("description")), "last_passage": _repeated,
         "prompt_standard": _docs(lambda x: _prompted(x, "standard")), "prompt_adversarial": _docs(lambda x: _prompted(x, "adversarial")), "extract_qa": _extracted,
+        "toc_sections": lambda s, d: toc.content_sections(fx.trees(s, d)), "toc_leaves": lambda s, d: toc.sections(fx.trees(s, d)),
         "page_text": lambda s, d: ps.page_text(fx.table(s, d, "pages")),
     }
     return out

@@ -30,6 +30,19 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ps.processed(docs)
 
 
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of contents for every twenty pages: chapters of five, an empty one, and as many levels above them as the book's number mod 4."""
+    p = table(spark, sf_dir, "pages").select((F.expr("page_id div 20")).alias("book"), F.expr("page_id % 20 div 5").alias("chapter"), "page_id")
+    slug = F.concat_ws("-", F.col("chapter"), F.col("page_id") % 5, F.when(F.col("page_id") % 7 == 0, F.lit("key-terms")).otherwise(F.concat(F.lit("topic"), F.col("page_id").cast("string"))))
+    leaf = F.struct(F.col("page_id"), F.when(F.col("page_id") % 11 == 0, F.lit("preface")).otherwise(slug).alias("slug"), F.concat(F.lit("<b>Page</b> "), F.col("page_id").cast("string")).alias("title"))
+    chapters = p.groupBy("book", "chapter").agg(F.sort_array(F.collect_list(leaf)).alias("leaves"))
+    inner = F.concat(F.lit('{"title":"Chapter","contents":['), F.array_join(F.transform("leaves", lambda x: F.to_json(F.struct(x["slug"].alias("slug"), x["title"].alias("title")))), ","), F.lit("]}"))
+    books = chapters.groupBy("book").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chapter", inner.alias("json")))), lambda x: x["json"]), ",").alias("inner"))
+    deep = (F.col("book") % 4).cast("int")
+    tree = F.concat(F.lit('{"tree":'), F.repeat(F.lit('{"title":"Part","contents":['), deep + 1), F.lit('{"title":"Empty","contents":[]},'), F.col("inner"), F.repeat(F.lit("]}"), deep + 1), F.lit("}"))
+    return books.select("book", tree.alias("tree"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a user's turn and the assistant's next one."""
     c = table(spark, sf_dir, "conversations")

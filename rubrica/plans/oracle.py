@@ -317,6 +317,10 @@ OPENING = "You are generating an educational question from a textbook passage.\n
 CLOSING = "\n\nRespond in this EXACT format (nothing else):\nQUESTION: [your question]\nANSWER: [a reference answer]"
 
 
+TOC = """leaves AS (SELECT (page_id // 20)::VARCHAR AS book, (row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) - 1)::INT AS place, (page_id // 20 % 4 + 2)::INT AS depth, page_id,
+  CASE WHEN page_id % 11 = 0 THEN 'preface' ELSE (page_id % 20 // 5) || '-' || (page_id % 5) || '-' || CASE WHEN page_id % 7 = 0 THEN 'key-terms' ELSE 'topic' || page_id END END AS slug, '<b>Page</b> ' || page_id AS title FROM pages)"""
+
+
 #: Which constraints a level and mode call for, in order, with the line that describes each.
 CALLED = "(VALUES " + ", ".join(
     f"({s(m)}, {n}, {o}, {s(i)}, {s(tier)}, {s(name)}, {s(said)})" for m in ("standard", "adversarial") for n in v.LEVELS for o, (i, name, tier, said) in enumerate(
@@ -329,8 +333,9 @@ def rates(by: str, src: str = "ev", ok: str = "all_passed", where: str = "true",
 
 
 def gap(by: str) -> str:
-    one = lambda m: f"coalesce(count_if(mode = '{m}' AND all_passed)::DOUBLE / nullif(count_if(mode = '{m}'), 0), 0.0)"
-    return f"SELECT {by}, {one('standard')} AS standard, {one('adversarial')} AS adversarial, {one('standard')} - {one('adversarial')} AS gap FROM ev GROUP BY ALL"
+    """Published rates have four digits; the gap is theirs."""
+    one = lambda m: f"round(coalesce(count_if(mode = '{m}' AND all_passed)::DOUBLE / nullif(count_if(mode = '{m}'), 0), 0.0), 4)"
+    return f"SELECT {by}, {one('standard')} AS standard, {one('adversarial')} AS adversarial, round({one('standard')} - {one('adversarial')}, 4) AS gap FROM ev GROUP BY ALL"
 
 
 def sql() -> dict[str, str]:
@@ -361,9 +366,15 @@ def sql() -> dict[str, str]:
         "constraint_breakdown": rates("id", "res", "passed", "mode = 'standard'"),
         "adversarial_gap": BASE + gap("model"), "gap_by_level": f"""{BASE}, g AS ({gap('model, level')}) SELECT model, level, coalesce(standard, 0) AS standard, coalesce(adversarial, 0) AS adversarial, coalesce(gap, 0) AS gap
             FROM (SELECT DISTINCT model FROM ev) CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6])::INT AS level) LEFT JOIN g USING (model, level)""",
-        "leaderboard": f"""{BASE}, g AS ({gap('model')}), l AS (SELECT model, count_if(loose)::DOUBLE / count(*) AS standard_loose FROM ev WHERE mode = 'standard' GROUP BY 1),
-            c AS (SELECT model, count_if(passed)::DOUBLE / count(*) AS constraint_strict, count_if(score >= 0.5)::DOUBLE / count(*) AS constraint_loose FROM res WHERE mode = 'standard' GROUP BY 1)
-            SELECT g.*, standard_loose, constraint_strict, constraint_loose, row_number() OVER (ORDER BY gap, model)::INT AS rank FROM g LEFT JOIN l USING (model) LEFT JOIN c USING (model)""",
+        "leaderboard": f"""{BASE}, g AS ({gap('model')}), l AS (SELECT model, round(count_if(loose)::DOUBLE / count(*), 4) AS standard_loose FROM ev WHERE mode = 'standard' GROUP BY 1),
+            c AS (SELECT model, round(count_if(passed)::DOUBLE / count(*), 4) AS constraint_strict, round(count_if(score >= 0.5)::DOUBLE / count(*), 4) AS constraint_loose FROM res WHERE mode = 'standard' GROUP BY 1),
+            r AS (SELECT model FROM (SELECT model, mode, count_if(error IS NOT NULL)::DOUBLE / count(*) AS bad FROM fx_gens GROUP BY ALL) GROUP BY 1 HAVING count(*) = 2 AND max(bad) <= 0.1)
+            SELECT g.*, standard_loose, constraint_strict, constraint_loose, row_number() OVER (ORDER BY gap, model)::INT AS rank FROM g SEMI JOIN r USING (model) LEFT JOIN l USING (model) LEFT JOIN c USING (model)""",
+        "breakdown": f"""{BASE}, f AS (
+            SELECT model, mode, 'prompt' AS kind, '' AS key, NULL AS tier, all_passed AS ok, loose, n = 0 AS empty, error IS NOT NULL AS bad FROM ev JOIN (SELECT gen_id, error FROM fx_gens) USING (gen_id)
+            UNION ALL SELECT model, mode, 'level', level::VARCHAR, NULL, all_passed, loose, false, false FROM ev UNION ALL SELECT model, mode, 'subject', coalesce(subject, 'unknown'), NULL, all_passed, loose, false, false FROM ev
+            UNION ALL SELECT model, mode, 'constraint', id, tier, passed, score >= 0.5, false, false FROM res)
+            SELECT model, mode, kind, key, tier, count(*) AS n_total, count_if(ok)::BIGINT AS n_pass, count_if(loose)::BIGINT AS n_loose, count_if(empty)::BIGINT AS n_empty, count_if(bad)::BIGINT AS n_errors FROM f GROUP BY ALL""",
         "running_progress": f"{BASE} SELECT * FROM (SELECT model, mode, row_number() OVER w AS done, sum(all_passed::INT) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS passed FROM ev WINDOW w AS (PARTITION BY model, mode ORDER BY gen_id)) WHERE done % 10 = 0",
         "complete_files": f"{gx} SELECT model, mode, count(*) AS n, count_if(error IS NULL)::BIGINT AS n_ok, count_if(error IS NULL) >= 20 AS complete FROM fx_gens GROUP BY ALL",
         "ready_models": f"{gx} SELECT model, count(*)::BIGINT AS modes, max(error_rate) AS error_rate, count(*) = 2 AND max(error_rate) <= 0.1 AS ready FROM (SELECT model, mode, count_if(error IS NOT NULL)::DOUBLE / count(*) AS error_rate FROM fx_gens GROUP BY ALL) GROUP BY ALL",
@@ -379,6 +390,8 @@ def sql() -> dict[str, str]:
         "describe_constraints": f"{gx}, d AS (SELECT mode, level, string_agg('- ' || name || ': ' || said, chr(10) ORDER BY ord) AS description FROM {CALLED} WHERE tier <> 'universal' GROUP BY ALL) SELECT gen_id, description FROM fx_gens JOIN d USING (mode, level)",
         "last_passage": f"""{gx}, p AS (SELECT passage_id // 2 AS passage_id, arg_max(text, passage_id) AS text, arg_max(key_concepts, passage_id) AS kc FROM fx_passages GROUP BY 1)
             SELECT gen_id, md5(p.text) AS digest, array_to_string(kc, '|') AS key_concepts FROM (SELECT gen_id, passage_id // 2 AS passage_id FROM fx_gens) LEFT JOIN p USING (passage_id)""",
+        "toc_leaves": f"WITH {TOC} SELECT book, place, depth, slug, title, NULL::VARCHAR AS error FROM leaves",
+        "toc_sections": f"WITH {TOC} SELECT book, place, slug, 'Page ' || page_id AS title FROM leaves WHERE regexp_matches(slug, '^\\d+-\\d+') AND NOT contains(slug, 'key-terms')",
         "prompt_standard": f"SELECT doc_id, level::INT AS level, {s(OPENING)} || text || chr(10) || chr(10) || 'TASK: Generate a ' || name || '-level question (Bloom''s Taxonomy) about this passage.' || chr(10) || chr(10) || 'At the ' || name || ' level, students should be able to ' || def || '.' || chr(10) || chr(10) || hint || {s(CLOSING)} AS prompt FROM documents, (VALUES "
         + ", ".join(f"({n}, {s(v.LEVELS[n])}, {s(v.DEFINITIONS[n])}, {s(v.HINTS[n])})" for n in v.LEVELS) + ") l(level, name, def, hint)",
         "prompt_adversarial": f"SELECT doc_id, level::INT AS level, {s(OPENING)} || text || chr(10) || chr(10) || 'TASK: Generate a ' || name || '-level question (Bloom''s Taxonomy), but you MUST use vocabulary from the ' || other || ' level.' || chr(10) || chr(10) || 'The cognitive demand of your question must be ' || name || ' (students should ' || def || '), even though the wording uses ' || other || '-level verbs like: ' || v8 || '.' || chr(10) || chr(10) || 'IMPORTANT: Do NOT use verbs like ' || f6 || '. Instead, use verbs like: ' || r6 || '.' || chr(10) || chr(10) || hint || {s(CLOSING)} AS prompt FROM documents, (VALUES "
