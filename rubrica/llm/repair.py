@@ -42,7 +42,9 @@ KEPT, KEPT_CHARS = 1_200_000, 64
 def grammar(ids: np.ndarray, frequent: int = FREQUENT, base: int | None = None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(base, rules (n, 2), expansion lengths n, sequence): symbol base + i stands for rules[i]; base is above every id.
 
-    When it ends, no two neighbouring symbols occur side by side ``frequent`` times or more.
+    When it ends, no two neighbouring symbols occur side by side ``frequent`` times or more; occurrences that
+    overlap (a run of three equal symbols holds two) count as what of them can be replaced at once. Plain
+    Re-Pair is ``frequent`` 2.
     """
     base = base or (int(ids.max()) + 1 if len(ids) else 1)
     seq = ids.astype(np.uint32)
@@ -79,6 +81,13 @@ def grammar(ids: np.ndarray, frequent: int = FREQUENT, base: int | None = None)
         wins = ~beaten[group] & ((np.arange(len(at)) - first[group]) & 1 == 0)
         won = np.bincount(of[wins], minlength=1 << bits)
         chosen = np.flatnonzero(won >= max(2, (frequent + 1) // 2))
+        if not len(chosen):
+            # What won once or lost to such a pair: a pair that lost nowhere stays as it is, so it sleeps; the one with the highest rank is among them, so this ends.
+            lost = np.zeros(1 << bits, bool)
+            lost[of[beaten[group]]] = True
+            flag[at[~lost[of]]] = False
+            awake = np.flatnonzero(flag)
+            continue
         name = np.zeros(1 << bits, np.uint32)
         name[chosen] = np.arange(made, made + len(chosen))
         wins &= name[of] > 0
