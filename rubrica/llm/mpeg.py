@@ -1,9 +1,11 @@
 """MPEG audio columns.
 
 ``scan`` reads the bytes of any MPEG audio file: it skips ID3v2 tags, resynchronises on frame headers
-(a header counts if the next one, a tag or the end of the data follows it), reads Xing, Info and VBRI
-tables and ID3v1 tags, verifies the CRCs of layer III frames, and returns the exact duration as samples
-over a sample rate, and the byte offset of every frame, for seeking.
+(a header counts if it stands behind an ID3v2 tag or a frame, or if the next one or the end of the data follows it), reads Xing, Info and VBRI
+tables, ID3v1 tags and the text frames of ID3v2, verifies the CRCs of protected frames of all three
+layers, and returns the exact duration as samples over a sample rate, and the byte offset of every
+frame, for seeking. Every read stays inside its frame or tag, so cut or forged data is read as far as
+it goes.
 
 ``wrap`` stores a payload losslessly: units of 192 bytes as the ancillary data of silent MPEG-1 layer
 III frames (48 kHz, mono, with CRC), four units to a 320 kbit/s frame and the rest in one smaller
@@ -52,6 +54,8 @@ class Header:
     samples: int
     mono: bool
     crc: bool
+    #: The subband from which joint stereo of layers I and II shares its allocation; 32: none.
+    bound: int
 
     @property
     def side(self) -> int:
@@ -74,7 +78,7 @@ def header(four: bytes) -> Header | None:
             kbps = KBPS[version, layer if version == 1 else min(layer, 2)][b]
             samples = 384 if layer == 1 else 576 if layer == 3 and version == 2 else 1152
             size = (12000 * kbps // rate + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // rate + pad
-            made = Header(version, layer, kbps, rate, size, samples, four[3] >> 6 == 3, not four[1] & 1)
+            made = Header(version, layer, kbps, rate, size, samples, four[3] >> 6 == 3, not four[1] & 1, 4 * ((four[3] >> 4 & 3) + 1) if four[3] >> 6 == 1 else 32)
     if len(_headers) < 1 << 16:
         _headers[four] = made
     return made
@@ -108,6 +112,8 @@ class Scan:
     id3v2_bytes: int = 0
     id3v1: bool = False
     title: str | None = None
+    #: Text frames of ID3v2 by their names, the first of each.
+    tags: dict[str, str] = field(default_factory=dict)
     table: str | None = None
     table_frames: int | None = None
     table_bytes: int | None = None
@@ -128,17 +134,19 @@ def scan(data: bytes) -> Scan:
     out, at, end = Scan(), 0, len(data)
     while data[at : at + 3] == b"ID3" and at + 10 <= end and max(data[at + 6 : at + 10]) < 128:
         n = data[at + 6] << 21 | data[at + 7] << 14 | data[at + 8] << 7 | data[at + 9]
+        for name, text in text_frames(data[at : at + 10 + n]):
+            out.tags.setdefault(name, text)
         n += 10 + (10 if data[at + 5] & 16 else 0)
         at, out.id3v2_bytes = min(end, at + n), out.id3v2_bytes + n
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         out.id3v1, end = True, end - 128
         out.title = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
-    synced = True
+    out.title = out.tags.get("TIT2") or out.tags.get("TT2") or out.title
+    synced = True if out.id3v2_bytes else None  # behind no tag the first header needs another one behind it, like any that is found again
     while at + 4 <= end:
         h = header(data[at : at + 4])
         if h and at + h.size <= end and (synced or at + h.size + 4 > end or header(data[at + h.size : at + h.size + 4])):
-            if not synced:
-                out.resyncs += 1
+            out.resyncs += synced is False
             synced = True
             if not out.offsets and out.table is None and _vbr(out, data, at, h):
                 at += h.size
@@ -158,34 +166,99 @@ def scan(data: bytes) -> Scan:
     return out
 
 
+def text_frames(tag: bytes) -> Iterator[tuple[str, str]]:
+    """(name, text) of an ID3v2 tag's text frames, versions 2 to 4, as far as they are whole."""
+    version, at = tag[3], 10
+    short = version == 2
+    syncsafe = lambda x: x[0] << 21 | x[1] << 14 | x[2] << 7 | x[3]
+    if tag[5] & 64 and not short and len(tag) >= 14:  # an extended header
+        at += syncsafe(tag[10:14]) if version == 4 else 4 + int.from_bytes(tag[10:14], "big")
+    head = 6 if short else 10
+    while at + head < len(tag) and tag[at]:
+        name = tag[at : at + (3 if short else 4)].decode("latin-1")
+        size = int.from_bytes(tag[at + 3 : at + 6], "big") if short else syncsafe(tag[at + 4 : at + 8]) if version == 4 else int.from_bytes(tag[at + 4 : at + 8], "big")
+        body = tag[at + head : at + head + size]
+        at += head + size
+        if name[0] == "T" and name not in ("TXX", "TXXX") and len(body) == size and size > 1 and body[0] < 4:
+            kind = ("latin-1", "utf-16", "utf-16-be", "utf-8")[body[0]]
+            yield name, body[1:].decode(kind, "replace").rstrip("\0")
+
+
 def _vbr(out: Scan, data: bytes, at: int, h: Header) -> bool:
+    """Whether the frame holds a table of variable bit rate instead of sound; what it says goes to out, as far as the frame holds it."""
     if h.layer != 3:
         return False
-    for start in (at + 4 + h.side, at + 6 + h.side):
-        if (kind := data[start : start + 4]) in (b"Xing", b"Info"):
-            flags, start = struct.unpack_from(">I", data, start + 4)[0], start + 8
+    frame = data[at : at + h.size]
+    word = lambda k: int.from_bytes(frame[k : k + 4], "big") if k + 4 <= len(frame) else None
+    for start in (4 + h.side, 6 + h.side):
+        if (kind := frame[start : start + 4]) in (b"Xing", b"Info") and (flags := word(start + 4)) is not None:
+            start += 8
             for bit, name in ((1, "table_frames"), (2, "table_bytes")):
                 if flags & bit:
-                    setattr(out, name, struct.unpack_from(">I", data, start)[0])
+                    setattr(out, name, word(start))
                     start += 4
-            if flags & 4:
-                out.seek_points = list(data[start : start + 100])
+            if flags & 4 and start + 100 <= len(frame):
+                out.seek_points = list(frame[start : start + 100])
             out.table = kind.decode()
             return True
-    if data[at + 36 : at + 40] == b"VBRI" and at + 62 <= len(data):
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
         out.table = "VBRI"
-        out.table_bytes, out.table_frames = struct.unpack_from(">II", data, at + 46)
-        n, scale, width, _ = struct.unpack_from(">4H", data, at + 54)
-        out.seek_points = [int.from_bytes(data[at + 62 + i * width : at + 62 + (i + 1) * width], "big") * scale for i in range(n)]
+        out.table_bytes, out.table_frames = struct.unpack_from(">II", frame, 46)
+        n, scale, width, _ = struct.unpack_from(">4H", frame, 54)
+        whole = min(n, (len(frame) - 62) // width) if width else 0
+        out.seek_points = [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width], "big") * scale for i in range(whole)]
         return True
     return False
 
 
+def allocation_bits(h: Header) -> list[int]:
+    """Layer II: how many bits state each subband's allocation, by the rules of the standard's tables B.2 (and B.1 of the second version)."""
+    if h.version == 2:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = h.kbps // (1 if h.mono else 2)
+    if each < 56:
+        return [4] * 2 + [3] * (10 if h.rate == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if h.rate == 48000 or each < 96 else 7)
+
+
+def protected_bits(h: Header, body: bytes) -> int | None:
+    """Layers I and II: how many bits of what follows the CRC it covers: allocations, and in layer II which scale factors are shared. None where the frame ends before."""
+    channels = 1 if h.mono else 2
+    if h.layer == 1:
+        n = 4 * 32 if h.mono else 4 * (32 + min(h.bound, 32))
+        return n if n <= 8 * len(body) else None
+    bits, total = int.from_bytes(body, "big"), 8 * len(body)
+    at = chosen = 0
+    for sb, width in enumerate(allocation_bits(h)):
+        own = channels if sb < h.bound else 1
+        for _ in range(own):
+            at += width
+            if at > total:
+                return None
+            if bits >> (total - at) & ((1 << width) - 1):
+                chosen += channels // own
+    return at + 2 * chosen if at + 2 * chosen <= total else None
+
+
+def crc16_bits(head: bytes, body: bytes, n: int) -> int:
+    """Of two bytes of header and the first n bits of what follows the CRC."""
+    c, whole = 0xFFFF, head + body[: n // 8]
+    for x in whole:
+        c = (c << 8 & 0xFFFF) ^ int(CRC[c >> 8 ^ x])
+    for k in range(n % 8):
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ (body[n // 8] >> (7 - k) & 1) else 0)
+    return c
+
+
 def _check(out: Scan, data: bytes) -> None:
     by: dict[int, list[int]] = {}
     for o, h in zip(out.offsets, out.headers):
         if h.crc and h.layer == 3 and h.size >= 6 + h.side:
             by.setdefault(h.side, []).append(o)
+        elif h.crc and h.layer < 3 and (n := protected_bits(h, body := data[o + 6 : o + min(h.size, 262)])) is not None:
+            good = crc16_bits(data[o + 2 : o + 4], body, n) == int.from_bytes(data[o + 4 : o + 6], "big")
+            out.crc_ok += good
+            out.crc_bad += not good
     raw = np.frombuffer(data, np.uint8)
     for side, starts in by.items():
         o = np.array(starts)[:, None]
@@ -290,14 +363,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = m.as_py()
             found = scan(media)
             payload = unwrap(media, found)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(found)))
-        p, ps, tail, m, ms, f = zip(*rows) if rows else ((),) * 6
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(found), found.samples / found.rate if found.rate else 0.0, found.offsets))
+        p, ps, tail, m, ms, f, d, o = zip(*rows) if rows else ((),) * 8
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("n_bytes"), pa.array(p, pa.int64()), pa.array(ps, pa.string()), pa.array(tail, pa.int64()), pa.array(m, pa.int64()), pa.array(ms, pa.string()), pa.array(f, pa.string())],
-            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+            [b.column("doc_id"), b.column("n_bytes"), pa.array(p, pa.int64()), pa.array(ps, pa.string()), pa.array(tail, pa.int64()), pa.array(m, pa.int64()), pa.array(ms, pa.string()), pa.array(f, pa.string()), pa.array(d, pa.float64()), pa.array(o, pa.list_(pa.int64()))],
+            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s", "frame_offsets"],
         )
 
 
 def op4_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = stored(shared.table(spark, sf_dir, "documents"))
-    return media.mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_s double, frame_offsets array<long>")
