@@ -86,7 +86,7 @@ def template_rows(spark: SparkSession, templates=None) -> list:
 
 
 def scan(docs: DataFrame, templates=None, contained: float = CONTAINED) -> DataFrame:
-    """(doc_id, template, license, n_shared, n_shingles, containment, first_word)."""
+    """(doc_id, template, license, n_shared, n_shingles, containment, first_word, best) of every template that a text contains. best: no other that matches from the same word on is contained more."""
     fixed = template_rows(docs.sparkSession, templates)
     every = sorted({v for r in fixed for v in r["values"]})
     known = F.array(*(F.struct(F.lit(r["template"]).alias("template"), F.lit(r["license"]).alias("license"), F.lit(r["shingles"]).cast("array<string>").alias("shingles"), F.lit(r["values"]).cast("array<bigint>").alias("values")) for r in fixed))
@@ -97,11 +97,11 @@ def scan(docs: DataFrame, templates=None, contained: float = CONTAINED) -> DataF
             (F.array_position(ws, F.get(hits, F.lit(0))) - 1).alias("first_word")))))
     # explode_outer: no filter on the array is inferred, which would compute it twice
     share = lambda m: m["n_shared"] / m["n_shingles"]
-    # of templates that match from the same word on, those that match best
-    best = lambda all_: F.filter(all_, lambda m: (share(m) >= contained) & ~F.exists(all_, lambda o: (o["first_word"] == m["first_word"]) & (share(o) > share(m))))
-    rows = docs.select("doc_id", F.explode_outer(let(let(words(F.col("text")), found), best)).alias("m"))
+    verified = lambda all_: F.filter(all_, lambda m: share(m) >= contained)
+    marked = lambda all_: F.transform(all_, lambda m: m.withField("best", ~F.exists(all_, lambda o: (o["first_word"] == m["first_word"]) & (share(o) > share(m)))))
+    rows = docs.select("doc_id", F.explode_outer(let(let(let(words(F.col("text")), found), verified), marked)).alias("m"))
     rows = rows.select("doc_id", "m.*").withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where("template is not null")
-    return rows.select("doc_id", "template", "license", "n_shared", "n_shingles", "containment", "first_word")
+    return rows.select("doc_id", "template", "license", "n_shared", "n_shingles", "containment", "first_word", "best")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
