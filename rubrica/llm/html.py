@@ -247,15 +247,18 @@ def main_text(html: str | None) -> str:
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages without the column html, with text and n_chars. One pass, no shuffle."""
+    """pages without the column html, with text and n_chars, which replace columns of these names; all others stay, whatever their names. One pass, no shuffle."""
     kept = [f for f in pages.schema if f.name not in (html, "text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h) for h in b.column("_html").to_pylist()]
+            texts = [main_text(h) for h in b.columns[-1].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*b.schema.names[:-1], "text", "n_chars"])
 
-    rows = pages.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{html}`").cast("string").alias("_html"))
+    own = "_html"
+    while own.lower() in {f.name.lower() for f in kept}:
+        own = f"_{own}"
+    rows = pages.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{html}`").cast("string").alias(own))
     return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "text string, n_chars long"]))
 
 
