@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -143,12 +143,20 @@ def page_paragraphs(html: str | None, containers=CONTAINERS[:2]) -> list[str] |
     return None
 
 
-def page_text(pages: DataFrame, containers=CONTAINERS) -> DataFrame:
-    """(page_id, url, text): the long paragraphs of each page, cleaned; null where too little is left. The parser is the only Python."""
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in parts:
-            yield pd.DataFrame({"page_id": df["page_id"], "url": df["url"], "ps": [page_paragraphs(h, containers) for h in df["html"]]})
+#: Pages that a task parses at a time.
+PAGES = 64
+
 
-    found = pages.select("page_id", "url", "html").mapInPandas(parse, "page_id long, url string, ps array<string>")
+def page_text(pages: DataFrame, containers=CONTAINERS) -> DataFrame:
+    """(page_id, url, text): the long paragraphs of each page, cleaned; null where too little is left. The parser is the only Python; it sees a few pages at a time."""
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAGES):
+                b = whole.slice(at, PAGES)
+                found = [page_paragraphs(h.as_py(), containers) for h in b.column("html")]
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.list_(pa.string()))], ["page_id", "url", "ps"])
+
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    found = rows.mapInArrow(parse, "page_id long, url string, ps array<string>")
     kept = F.filter("ps", lambda p: (F.length(p) > 40) & ~p.rlike(v.CAPTIONS))
     return found.select("page_id", "url", t.clean(F.array_join(kept, " ")).alias("text"))

@@ -14,17 +14,21 @@ def _pick(level: Column, values: dict[int, str]) -> Column:
     return out
 
 
+def level_name(level: Column) -> Column:
+    return _pick(level, v.LEVELS)
+
+
 def _verbs(level: Column, n: int) -> Column:
     return _pick(level, {k: ", ".join(x[:n]) for k, x in v.VERBS.items()})
 
 
 def standard(text: Column, level: Column) -> Column:
-    return t.message(v.STANDARD_PROMPT, text=text, name=_pick(level, v.LEVELS), definition=_pick(level, v.DEFINITIONS), hints=_pick(level, v.HINTS))
+    return t.message(v.STANDARD_PROMPT, text=text, name=level_name(level), definition=_pick(level, v.DEFINITIONS), hints=_pick(level, v.HINTS))
 
 
 def adversarial(text: Column, level: Column, vocab_level: Column) -> Column:
     return t.message(
-        v.ADVERSARIAL_PROMPT, text=text, name=_pick(level, v.LEVELS), other=_pick(vocab_level, v.LEVELS), definition=_pick(level, v.DEFINITIONS),
+        v.ADVERSARIAL_PROMPT, text=text, name=level_name(level), other=level_name(vocab_level), definition=_pick(level, v.DEFINITIONS),
         eight=_verbs(vocab_level, 8), avoided=_verbs(level, 6), six=_verbs(vocab_level, 6), hints=_pick(level, v.HINTS),
     )
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as t, vocab as v
-from ..operators import constraints, evaluate, extract, metrics, passages as ps, prompts
-from ..sources import toc
+from ..functions import lineage, text as t, vocab as v
+from ..operators import adapters, constraints, evaluate, extract, metrics, passages as ps, prompts
+from ..sources import envelopes, files, toc
 from . import fixture as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +88,47 @@ def _ids(docs: DataFrame) -> DataFrame:
     return ps.with_ids(kept.select("doc_id", "source"), "source", "doc_id").select("doc_id", "passage_id")
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """What an entailment model has to score: by generation and side, the address of premise and hypothesis, and how many share it."""
+    known = fx.passages(spark, d)
+    pairs = adapters.with_pair(adapters.nli_pairs(evaluate.bound(fx.gens(spark, d, known), known)))
+    times = pairs.groupBy("pair").agg(F.count("*").alias("n_equal"))
+    return pairs.join(times, "pair").select("gen_id", "kind", "pair", F.md5(F.col("premise").cast("binary")).alias("premise"), "hypothesis", "n_equal")
+
+
+def _sent(spark: SparkSession, d: str) -> DataFrame:
+    """The generations as files would hold them."""
+    g = fx.gens(spark, d)
+    own = {"passage_id": F.col("passage_id").cast("string"), "level_name": prompts.level_name(F.col("level")), "prompt": F.lit(None).cast("string"), "latency_ms": (F.col("gen_id") / 8), "timestamp": F.col("gen_id").cast("string")}
+    return g.withColumns(own)
+
+
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    """Generations written as envelopes, in two goes, and read back: the second go adds to the documents of the first."""
+    folder = f"{lineage.shared_dir(spark)}/envelopes-{uuid.uuid4().hex}"
+    g = _sent(spark, d)
+    for half in (0, 1):
+        envelopes.write_generations(g.where(F.expr(f"gen_id div 1000 % 3 = 0 and {half} = 0 or gen_id div 1000 % 3 <> 0 and gen_id div 2 % 2 = {half}")), folder)
+    back = files.read_generations(spark, folder)
+    return back.select("model", "mode", "model_safe", "file_mode", "passage_id", "level", "level_name", "question", "error", "latency_ms", "timestamp")
+
+
+def _evaluated_files(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluations written as envelopes and read back."""
+    folder = f"{lineage.shared_dir(spark)}/envelopes-{uuid.uuid4().hex}"
+    envelopes.write_evaluations(fx.evaluations(spark, d).withColumns({"passage_id": F.col("passage_id").cast("string"), "timestamp": F.col("gen_id").cast("string")}), folder)
+    back = files.read_evaluations(spark, folder)
+    return back.select(F.col("timestamp").cast("long").alias("gen_id"), "model", "mode", F.size("constraints").cast("long").alias("n_constraints"), "all_passed", "pass_rate", "evaluation_error")
+
+
+def _submission(spark: SparkSession, d: str) -> DataFrame:
+    """The rates that a submission holds, a row a model."""
+    doc = files.submission_document(fx.evaluations(spark, d), "1", gated=False)
+    kinds = "model string, standard_csr double, adversarial_csr double, gap double, constraint_strict double, constraint_loose double, prompt_loose double, n_standard long, n_adversarial long, errors long"
+    names = [x.split()[0] for x in kinds.split(", ")]
+    return spark.createDataFrame([tuple(({"model": m} | x)[n] for n in names) for m, x in doc["models"].items()], kinds)
+
+
 def queries() -> dict[str, Query]:
     text = F.col
     out: dict[str, Query] = {f"c_{i.lower()}": _constraint(i) for i in constraints.RULES}
@@ -115,6 +157,7 @@ def queries() -> dict[str, Query]:
         "backend_router": _router, "constraint_matrix": _called, "constraint_counts": lambda s, d: _called(s, d).groupBy("mode", "level").agg(F.count("*").cast("int").alias("n")),
         "describe_constraints": lambda s, d: fx.gens(s, d).select("gen_id", constraints.description().alias("description")), "last_passage": _repeated,
         "prompt_standard": _docs(lambda x: _prompted(x, "standard")), "prompt_adversarial": _docs(lambda x: _prompted(x, "adversarial")), "extract_qa": _extracted,
+        "nli_pairs": _pairs, "generation_files": _written, "evaluation_files": _evaluated_files, "submission": _submission,
         "toc_sections": lambda s, d: toc.content_sections(fx.trees(s, d)), "toc_leaves": lambda s, d: toc.sections(fx.trees(s, d)),
         "page_text": lambda s, d: ps.page_text(fx.table(s, d, "pages")),
     }

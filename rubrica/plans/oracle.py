@@ -390,6 +390,19 @@ def sql() -> dict[str, str]:
         "describe_constraints": f"{gx}, d AS (SELECT mode, level, string_agg('- ' || name || ': ' || said, chr(10) ORDER BY ord) AS description FROM {CALLED} WHERE tier <> 'universal' GROUP BY ALL) SELECT gen_id, description FROM fx_gens JOIN d USING (mode, level)",
         "last_passage": f"""{gx}, p AS (SELECT passage_id // 2 AS passage_id, arg_max(text, passage_id) AS text, arg_max(key_concepts, passage_id) AS kc FROM fx_passages GROUP BY 1)
             SELECT gen_id, md5(p.text) AS digest, array_to_string(kc, '|') AS key_concepts FROM (SELECT gen_id, passage_id // 2 AS passage_id FROM fx_gens) LEFT JOIN p USING (passage_id)""",
+        "nli_pairs": f"""{gx}, n AS (SELECT gen_id, CASE WHEN level = 3 THEN 'question' ELSE 'answer' END AS kind, {words_of('passage', '400')} AS p, CASE WHEN level = 3 THEN question ELSE answer END AS hypothesis FROM fx_gens WHERE level IN (2, 3, 6) AND coalesce(passage, '') <> ''),
+            m AS (SELECT *, sha256(sha256(p) || sha256(hypothesis)) AS pair FROM n WHERE coalesce(hypothesis, '') <> '')
+            SELECT gen_id, kind, pair, md5(p) AS premise, hypothesis, count(*) OVER (PARTITION BY pair) AS n_equal FROM m""",
+        # a document that the second go adds to loses its earlier errors; of records that repeat a passage and level the last stays
+        "generation_files": f"""{gx}, h AS (SELECT *, CASE WHEN gen_id // 1000 % 3 = 0 OR gen_id // 2 % 2 = 0 THEN 0 ELSE 1 END AS half FROM fx_gens),
+            k AS (SELECT * FROM h WHERE half = 1 OR error IS NULL OR NOT EXISTS (SELECT 1 FROM h o WHERE o.half = 1 AND o.model = h.model AND o.mode = h.mode))
+            SELECT model, mode, model AS model_safe, mode AS file_mode, passage_id::VARCHAR AS passage_id, level, CASE level {" ".join(f"WHEN {n} THEN {s(x)}" for n, x in v.LEVELS.items())} END AS level_name, question, error, gen_id / 8.0 AS latency_ms, gen_id::VARCHAR AS timestamp
+            FROM k QUALIFY row_number() OVER (PARTITION BY model, mode, passage_id, level ORDER BY half DESC, gen_id DESC) = 1""",
+        "evaluation_files": f"{BASE} SELECT gen_id, model, mode, n AS n_constraints, all_passed, CASE WHEN n = 0 THEN 0.0 ELSE round(n_pass::DOUBLE / n, 4) END AS pass_rate, CASE WHEN n = 0 THEN 'No question generated' END AS evaluation_error FROM ev",
+        "submission": f"""{BASE}, g AS ({gap('model')}), p AS (SELECT model, round(count_if(loose AND mode = 'standard')::DOUBLE / count_if(mode = 'standard'), 4) AS prompt_loose, count_if(mode = 'standard')::BIGINT AS n_standard, count_if(mode = 'adversarial')::BIGINT AS n_adversarial FROM ev GROUP BY 1),
+            c AS (SELECT model, round(count_if(passed)::DOUBLE / count(*), 4) AS constraint_strict, round(count_if(score >= 0.5)::DOUBLE / count(*), 4) AS constraint_loose FROM res WHERE mode = 'standard' GROUP BY 1),
+            r AS (SELECT model, count_if(error IS NOT NULL AND mode = 'standard')::BIGINT AS errors FROM fx_gens GROUP BY 1)
+            SELECT model, standard AS standard_csr, adversarial AS adversarial_csr, gap, constraint_strict, constraint_loose, prompt_loose, n_standard, n_adversarial, errors FROM g JOIN p USING (model) JOIN c USING (model) JOIN r USING (model) WHERE n_standard > 0 AND n_adversarial > 0""",
         "toc_leaves": f"WITH {TOC} SELECT book, place, depth, slug, title, NULL::VARCHAR AS error FROM leaves",
         "toc_sections": f"WITH {TOC} SELECT book, place, slug, 'Page ' || page_id AS title FROM leaves WHERE regexp_matches(slug, '^\\d+-\\d+') AND NOT contains(slug, 'key-terms')",
         "prompt_standard": f"SELECT doc_id, level::INT AS level, {s(OPENING)} || text || chr(10) || chr(10) || 'TASK: Generate a ' || name || '-level question (Bloom''s Taxonomy) about this passage.' || chr(10) || chr(10) || 'At the ' || name || ' level, students should be able to ' || def || '.' || chr(10) || chr(10) || hint || {s(CLOSING)} AS prompt FROM documents, (VALUES "
