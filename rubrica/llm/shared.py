@@ -87,6 +87,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Frees the shuffle files and cuts of steps that are over: Spark drops them when its driver's garbage collector finds nobody holds them, which by itself may take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a long, b long): rows (node, root), root the smallest node reachable.
 

@@ -309,24 +309,29 @@ def set_links(listed: DataFrame, texts: DataFrame, similarity: float = SIMILARIT
     needs no comparison, so large families of copies cost little more than their size.
     """
     most = bounds(similarity)
+    spark = listed.sparkSession
     sizes = listed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "size")).alias("first")).where("n > 1")
     fps = shared.cut(_with_sets(texts, True).join(listed.select("id", "size").distinct(), "id"))
+    shared.tidy(spark)
     listed = shared.cut(listed.join(sizes, "key"))
     short = listed.where(F.col("n") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("id", "size")).alias("all"))
     pairs = short.select("all", F.explode("all").alias("x")).select(F.col("x.id").alias("a"), F.explode(F.filter("all", lambda y: (y["id"] > F.col("x.id")) & _sized(y["size"], F.col("x.size"), similarity))).alias("y")).select("a", F.col("y.id").alias("b"))
     long = listed.where(F.col("n") > SHORT)
     stars = long.where("id <> first.id").where(_sized(F.col("size"), F.col("first.size"), similarity)).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
     edges = shared.cut(_verified(_close(pairs.union(stars).distinct(), fps, similarity), texts, similarity))
+    shared.tidy(spark)
     if long.isEmpty():
         return edges
     for turn in range(PIVOTS + 1):
         roots = shared.components(edges)
+        shared.tidy(spark)
         of = shared.cut(long.join(roots, long["id"] == roots["node"], "left").select("key", "n", "id", "size", F.coalesce("root", "id").alias("root")))
         mixed = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id", "size", "root")).alias("p")).where("lo < hi").select("key", "p")
         if turn == PIVOTS:
             break
         stars = of.join(mixed, "key").where("root <> p.root").where(_sized(F.col("size"), F.col("p.size"), similarity)).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
         edges = shared.cut(edges.union(_verified(_close(stars.distinct(), fps, similarity), texts, similarity)))
+        shared.tidy(spark)
     mixed = mixed.select("key")
     rest = of.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root").join(fps, "id")
@@ -367,13 +372,18 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     each = shared.cut(_with_prints(rows, common_shingles(rows), similarity))
     posts = each.select("id", "size", F.explode("keys").alias("key")).repartition("key")
     meet = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    shared.tidy(docs.sparkSession)
     listed = shared.cut(posts.join(meet, "key").select("key", "id", "size").distinct())
+    shared.tidy(docs.sparkSession)
     # of rows that repeat (doc, th) one; only those are shuffled with their texts
     repeated = shared.cut(each.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).count().where("count > 1").select("_doc", "_th"))
     once = _of(marked, repeated, ["_doc", "_th"], "left_anti").union(_of(marked, repeated, ["_doc", "_th"]).dropDuplicates(["_doc", "_th"]))
     chosen = each.join(listed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "th")).alias("one"))
     texts = _of(once, chosen.select("id", F.col("one.doc").alias("_doc"), F.col("one.th").alias("_th")), ["_doc", "_th"], "inner").select("id", F.col("_row.text").cast("string").alias("text"))
-    roots = shared.components(set_links(listed, texts, similarity))
+    edges = set_links(listed, texts, similarity)
+    shared.tidy(docs.sparkSession)
+    roots = shared.components(edges)
+    shared.tidy(docs.sparkSession)
     of = each.join(roots, each["id"] == roots["node"], "left").select("doc", "th", F.coalesce("root", "id").alias("root"))
     best = of.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("best"))
     lost = of.join(best, "root").where("doc <> best.doc or th <> best.th").select(F.col("doc").alias("_doc"), F.col("th").alias("_th")).distinct()
