@@ -21,6 +21,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +38,11 @@ END = 2
 SHARD_TOKENS, FREQUENT = 1 << 20, 8
 MAGIC = b"RPG2"
 KEPT, KEPT_CHARS = 1_200_000, 64
+#: Latin letters, all of which the tokenizer's pattern takes for letters, and marks behind them.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!\"#$%&()*+,./:;<=>?@\\\\\\[\\]^_`{|}~-]*)").fullmatch
+#: How a byte-level vocabulary spells the bytes: printable ones of Latin-1 as they are, the others from U+0100 on.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _OWN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(_OWN))}
 
 
 def grammar(ids: np.ndarray, frequent: int = FREQUENT, base: int | None = None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,6 +187,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         #: Ids of words after a space.
         self.kept: dict[str, bytes] = {}
         self.cut = re.compile(r"(?= \S)").split
@@ -190,6 +197,26 @@ class Encoder:
         vocabulary = self.tok.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.marks, self.line = {"": b""}, self.whole("\n")
+
+    def letters(self, run: str, space: str = "\u0120") -> bytes:
+        """Ids of a run of letters after a space (or of one that none precedes), from the library's model."""
+        spelt = run if run.isascii() else "".join(map(BYTES.__getitem__, run.encode()))
+        return array("I", [t.id for t in self.model.tokenize(space + spelt)]).tobytes()
+
+    def plain(self, word: str) -> bytes | None:
+        """Ids of a word after a space that is lines of letters with marks behind them: tokens end where letters, marks and lines do. None for other words."""
+        out, kept, space = [], self.kept, "\u0120"
+        for line in word.split("\n"):
+            if (m := PLAIN(line)) is None:
+                return None
+            run, marks = m.groups()
+            key = run if space else "\n" + run  # of letters behind a line's end; no other word is kept under it
+            if key not in kept:
+                kept[key] = self.letters(run, space)
+            out += [kept[key], self.marks[marks] if marks in self.marks else self.marks.setdefault(marks, self.whole(marks))]
+            space = ""
+        return self.line.join(map(b"".join, zip(out[::2], out[1::2])))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -197,7 +224,14 @@ class Encoder:
     def learn(self, fresh: set[str]) -> None:
         """Keeps the ids of new words; many go through the library as one text, in which each begins with the only token that begins with a space."""
         kept = self.kept
-        some = [w for w in fresh if w and not w[0].isspace() and not w[-1].isspace()]
+        some = []
+        for w in fresh:
+            if w.isalpha() and PLAIN(w):
+                kept[w] = self.letters(w)
+            elif (x := self.plain(w)) is not None:
+                kept[w] = x
+            elif w and not w[0].isspace() and not w[-1].isspace():
+                some.append(w)
         groups = [some[at : at + 1024] for at in range(0, len(some), 1024)]
         for group, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")

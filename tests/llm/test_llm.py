@@ -641,6 +641,19 @@ def test_chunks_equal_whole_texts():
         assert enc.ids([t])[0] == np.array([*enc.tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
 
 
+@given(st.lists(st.text(alphabet="aBzéñÿ×ßƏǅ0'.,!#_\n\t -\u00a0漢", max_size=12), max_size=12))
+@settings(max_examples=400, deadline=None)
+def test_plain_words_equal_the_library(words):
+    enc = repair.load(repair.default_tokenizer())
+    for text in (" ".join(words), "x " + " ".join(words) + " don't a.\nb c,\n d'll\ne"):
+        assert enc.ids([text])[0] == np.array([*enc.tok.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()
+
+
+def test_plain_words_take_the_short_way():
+    enc = repair.Encoder(repair.default_tokenizer())
+    assert all(enc.plain(w) is not None for w in ("word", "Größe.", "one.\nTwo", "a,\nb\nc!?", "x-")) and all(enc.plain(w) is None for w in ("", "it's", "x1", "a\n", "a\n\nb", "\na", "漢", ".a", "a\tb"))
+
+
 def test_added_tokens_as_by_the_library():
     from tokenizers import Tokenizer
 
