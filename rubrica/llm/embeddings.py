@@ -18,8 +18,8 @@ dense group, is quadratic work in it by its nature. Equal vectors are one vector
 
 Vectors of different lengths never link; those of each length are compared among themselves, with
 rotations and bands of their own. Vectors that are null, empty, zero, or that hold null or non-finite
-components link with nothing. Rows that repeat an id are separate vectors of one id: their links are
-summed. Null ids keep their row.
+components link with nothing. Rows that repeat an id are separate vectors, each with
+its own links and row. Null ids keep their row.
 """
 
 from __future__ import annotations

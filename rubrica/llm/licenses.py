@@ -9,8 +9,8 @@ side: at least 1 - 14 / 2^20 for a single shared shingle, and all but certain fo
 whole notice has. Retrieved templates are verified exactly: at least ``CONTAINED`` of the template's
 distinct shingles, compared as texts, occur in the text.
 
-All of it is DataFrame functions: one narrow pass, no shuffle. Templates are constants of this module,
-so their table has a fixed size and is broadcast.
+All of it is DataFrame functions: one narrow pass, no shuffle or join. Templates are constants of this module
+and stand in the plan as literals, so their size is fixed.
 
 One row per (document, matched template). Null and empty texts, and texts of fewer than five words,
 match nothing. Rows that repeat an id give repeated rows. Several templates may match one text.

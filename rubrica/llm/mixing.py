@@ -14,7 +14,7 @@ then over the parts, so a source that holds most rows is still spread over thous
 belongs to the block where it starts; one longer than a block takes up the slots of all it covers,
 and the slots of a source that has run out stay empty: nothing is dropped or repeated.
 
-Null sources are a source of their own, without a name. Null and empty texts count ``ROW_BYTES``.
+Null sources and empty ones are one source, without a name. Null and empty texts count ``ROW_BYTES``.
 Rows that repeat an id lie side by side. Columns of docs that have the names of the new ones are
 replaced. Sources that ``weights`` doesn't name get ``DEFAULT``; a weight below 1 is an error.
 """
