@@ -102,7 +102,8 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# Near copies by similarity of shingle sets: an exact index of shingles, wide fingerprints as a filter.
+# Near copies by similarity of shingle sets: what the byte-position index of fingerprints links, checked on the sets;
+# then, for the pairs whose fingerprints differ in more bits, an index of shingles with wide fingerprints as a filter.
 
 WIDE, NEAR_WORDS, SIMILARITY = 128, 5, 0.8
 #: Longest list whose pairs are compared directly, rows of a block of a longer one, and rounds of comparing one's members with one of them.
@@ -187,16 +188,29 @@ def prefix(base: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity:
 
 
 def _with_prints(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
-    """(doc, th, id, size, keys) of rows (doc, th, text): id stands for the set of shingles, keys are its prefix."""
+    """(doc, th, id, size, fp, keys) of rows (doc, th, text): id stands for the set of shingles, fp is the fingerprint, keys are the set's prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.release()
         for whole in batches:
             for b in shared.slices(iter([whole])):
-                sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+                texts = b.column("text").to_pylist()
+                sets = [shingle_set(t) for t in texts]
+                fp = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
                 keys = [prefix(x, common, similarity).view(np.int64) for x in sets]
-                yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("th"), pa.array([_print(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "th", "id", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("th"), pa.array([_print(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), fp, pa.array(keys, pa.list_(pa.int64()))], ["doc", "th", "id", "size", "fp", "keys"])
+
+    return rows.select("doc", "th", "text").mapInArrow(run, "doc long, th long, id long, size int, fp long, keys array<long>")
 
-    return rows.select("doc", "th", "text").mapInArrow(run, "doc long, th long, id long, size int, keys array<long>")
+
+def fingerprint_links(each: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids of rows (id, fp) whose fingerprints are equal or linked by the byte-position index; some of each fingerprint's ids stand for all."""
+    both = shared.cut(each.select("fp", "id").distinct())
+    fps = shared.cut(both.groupBy("fp").agg(F.min("id").alias("least")))
+    equal = both.join(fps, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    found = links(fps.select("fp"))
+    for c in "ab":
+        found = found.join(fps.select(F.col("fp").alias(c), F.col("least").alias(f"i{c}")), c)
+    return equal.union(found.where("ia <> ib").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))).distinct()
 
 
 def bitmap(base: np.ndarray) -> np.ndarray:
@@ -220,7 +234,7 @@ def possible(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, simil
 
 
 def _with_sets(rows: DataFrame, wide: bool) -> DataFrame:
-    """(id, wide) or (id, base) of rows (id, text): the fingerprint and behind it the set where that is small, else its bitmap; or the set."""
+    """(id, size, wide) or (id, size, base) of rows (id, text): the fingerprint and behind it the set where that is small, else its bitmap; or the set."""
     name = "wide" if wide else "base"
     value = (lambda x: wide_fingerprint(x) + (x if len(x) < 2 * FEW else bitmap(x)).tobytes()) if wide else np.ndarray.tobytes
 
@@ -228,9 +242,10 @@ def _with_sets(rows: DataFrame, wide: bool) -> DataFrame:
         shared.release()
         for whole in batches:
             for b in shared.slices(iter([whole])):
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([value(shingle_set(t)) for t in b.column("text").to_pylist()], pa.binary())], ["id", name])
+                sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([value(x) for x in sets], pa.binary())], ["id", "size", name])
 
-    return rows.select("id", "text").mapInArrow(run, f"id long, {name} binary")
+    return rows.select("id", "text").mapInArrow(run, f"id long, size int, {name} binary")
 
 
 def _sized(a: Column, b: Column, similarity: float) -> Column:
@@ -301,24 +316,31 @@ def _of(rows: DataFrame, some: DataFrame, by: list[str], how: str = "left_semi")
     return rows.join(F.broadcast(some) if some.count() <= 1_000_000 else some, by, how)
 
 
-def set_links(listed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges between ids that connect exactly what the pairs of that similarity connect, from listed (key, id, size), no row twice, and texts (id, text).
+def set_links(found: DataFrame, listed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges between ids that connect exactly what the pairs of that similarity connect, from pairs found (a, b), listed (key, id, size), no row twice, and texts (id, text).
 
-    The pairs of a short list are compared. The members of a long one are first compared with one of
+    The pairs found by fingerprints are checked first; what they connect is not compared again. The lists are
+    the exact way for the rest. The pairs of a short list are compared. The members of a long one are first compared with one of
     them, then with ``PIVOTS`` others, which differ from list to list; then, in blocks, those that aren't connected yet, with all others: what is connected already
     needs no comparison, so large families of copies cost little more than their size.
     """
     most = bounds(similarity)
     spark = listed.sparkSession
-    sizes = listed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "size")).alias("first")).where("n > 1")
-    fps = shared.cut(_with_sets(texts, True).join(listed.select("id", "size").distinct(), "id"))
+    fps = shared.cut(_with_sets(texts, True))
+    shared.tidy(spark)
+    edges = shared.cut(_verified(_close(found, fps, similarity), texts, similarity))
+    roots = shared.components(edges)
     shared.tidy(spark)
+    listed = listed.join(roots, listed["id"] == roots["node"], "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
+    sizes = listed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "size", "root")).alias("first"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "n", "first")
     listed = shared.cut(listed.join(sizes, "key"))
-    short = listed.where(F.col("n") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("id", "size")).alias("all"))
-    pairs = short.select("all", F.explode("all").alias("x")).select(F.col("x.id").alias("a"), F.explode(F.filter("all", lambda y: (y["id"] > F.col("x.id")) & _sized(y["size"], F.col("x.size"), similarity))).alias("y")).select("a", F.col("y.id").alias("b"))
+    short = listed.where(F.col("n") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("id", "size", "root")).alias("all"))
+    apart = lambda x, y: (y["id"] > x["id"]) & (y["root"] != x["root"]) & _sized(y["size"], x["size"], similarity)
+    pairs = short.select("all", F.explode("all").alias("x")).select(F.col("x.id").alias("a"), F.explode(F.filter("all", lambda y: apart(F.col("x"), y))).alias("y")).select("a", F.col("y.id").alias("b"))
     long = listed.where(F.col("n") > SHORT)
-    stars = long.where("id <> first.id").where(_sized(F.col("size"), F.col("first.size"), similarity)).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
-    edges = shared.cut(_verified(_close(pairs.union(stars).distinct(), fps, similarity), texts, similarity))
+    stars = long.where("root <> first.root").where(_sized(F.col("size"), F.col("first.size"), similarity)).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+    long = long.drop("root")
+    edges = shared.cut(edges.union(_verified(_close(pairs.union(stars).distinct(), fps, similarity), texts, similarity)))
     shared.tidy(spark)
     if long.isEmpty():
         return edges
@@ -359,9 +381,12 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest id; null ids are larger than all others.
 
     Near copies: pairs whose sets of distinct five-word shingles have that Jaccard similarity, and what such
-    pairs connect. Texts without words are copies of each other. Two sets of the similarity share one of
-    their first shingles in any common order; rare ones come first, so the lists of an index of these are
-    short. No pair is missed and every link is verified on the sets (of 64-bit hashes, like their ids).
+    pairs connect. Texts without words are copies of each other. Pairs come from the byte-position index of
+    the fingerprints, as in ``near_duplicates``; every link is verified on the sets (of 64-bit hashes, like
+    their ids). Pairs that differ in more bits than the index reaches are the rest, for which there is an
+    exact way: two sets of the similarity share one of their first shingles in any common order; rare ones
+    come first, so the lists of an index of these are short. It compares only what fingerprints haven't
+    connected, and no pair is missed.
     Columns of any name come back as they were.
     """
     shared.small_batches(docs.sparkSession)
@@ -370,6 +395,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     marked = docs.select(F.coalesce(F.col("doc_id").cast("long"), large).alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_th"), whole)
     rows = marked.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("_row.text").cast("string").alias("text"))
     each = shared.cut(_with_prints(rows, common_shingles(rows), similarity))
+    found = shared.cut(fingerprint_links(each))
     posts = each.select("id", "size", F.explode("keys").alias("key")).repartition("key")
     meet = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     shared.tidy(docs.sparkSession)
@@ -378,9 +404,9 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # of rows that repeat (doc, th) one; only those are shuffled with their texts
     repeated = shared.cut(each.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).count().where("count > 1").select("_doc", "_th"))
     once = _of(marked, repeated, ["_doc", "_th"], "left_anti").union(_of(marked, repeated, ["_doc", "_th"]).dropDuplicates(["_doc", "_th"]))
-    chosen = each.join(listed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "th")).alias("one"))
+    chosen = each.join(listed.select("id").union(found.select(F.explode(F.array("a", "b")))).distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "th")).alias("one"))
     texts = _of(once, chosen.select("id", F.col("one.doc").alias("_doc"), F.col("one.th").alias("_th")), ["_doc", "_th"], "inner").select("id", F.col("_row.text").cast("string").alias("text"))
-    edges = set_links(listed, texts, similarity)
+    edges = set_links(found, listed, texts, similarity)
     shared.tidy(docs.sparkSession)
     roots = shared.components(edges)
     shared.tidy(docs.sparkSession)

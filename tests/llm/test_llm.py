@@ -502,6 +502,29 @@ def test_near_copies_against_brute_force(spark, monkeypatch, short, block, few):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(root))
 
 
+def test_near_copies_come_through_the_byte_position_index(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(6):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 600)]
+        texts.append(words)
+        for k in range(3):  # one word at the end: fingerprints stay within the index's bits, or are equal
+            texts.append([*words, f"x{k}"])
+        texts.append([*words[:540], *(f"y{x}" for x in rng.integers(0, 5000, 40))])  # similar, with a far fingerprint
+    texts += [[f"w{x}" for x in rng.integers(0, 5000, 600)] for _ in range(5)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 0) for i, t in enumerate(texts)], DOCS)
+    fps = [simhash.fingerprint(" ".join(t)) for t in texts]
+    near = [(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= simhash.BITS]
+    root = union_find(len(texts), near)
+    assert len(set(root)) == 17  # the families' three near copies alone
+    compared, close = [], simhash._close
+    monkeypatch.setattr(simhash, "_close", lambda pairs, *a: close(compared.append(pairs.count()) or pairs, *a))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [5 * i for i in range(6)] + list(range(30, 35))
+    assert compared[0] >= 18  # pairs that fingerprints found
+    monkeypatch.setattr(simhash, "prefix", lambda base, *a: base[:0])  # without the way for the rest
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(root))
+
+
 def test_bitmaps_never_drop_a_similar_pair():
     rng = np.random.default_rng(8)
     kept = {True: 0, False: 0}
