@@ -197,14 +197,17 @@ class MergePieces:
         if (ok := self.pairs.get((left, right))) is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            ok, rank, starts = True, self.rank, self.edge(right, False)
-            for x, made, until in self.edge(left, True):
-                for y, made_y, until_y in starts:
-                    if (score := rank.get(x + y)) is not None and (at := max(-score, made, made_y)) < until and at <= until_y:
-                        ok = False
-            self.pairs[left, right] = ok
+            ok = self.pairs[left, right] = self._compatible(left, right)
         return ok
 
+    def _compatible(self, left: str, right: str) -> bool:
+        rank, starts = self.rank, self.edge(right, False)
+        for x, made, until in self.edge(left, True):
+            for y, made_y, until_y in starts:
+                if (score := rank.get(x + y)) is not None and (at := max(-score, made, made_y)) < until and at <= until_y:
+                    return False
+        return True
+
     def last_pieces(self, text: str) -> list[str]:
         """At i the last piece of text[: i + 1]. A character that no piece holds stands for itself."""
         last, known, one = list(text), [False] * len(text), self.pairs.get
@@ -251,7 +254,7 @@ class MergePieces:
             if self.tested.n > PAIRS:
                 self.tested.clear()
             t = self.text
-            self.tested.add(fresh, np.array([self.compatible(t[k >> 20], t[k & 0xFFFFF]) for k in fresh.tolist()], np.int32))
+            self.tested.add(fresh, np.array([self._compatible(t[k >> 20], t[k & 0xFFFFF]) for k in fresh.tolist()], np.int32))  # kept here, in few bytes
             return self._tests(left, right)
         return got > 0
 

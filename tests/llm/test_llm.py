@@ -335,6 +335,12 @@ def test_pair_tests():
         assert m.compatible(str(a), str(b)) == (m.merged(a + b) == [a, b])
 
 
+def test_pairs_of_new_words_are_kept_once():
+    m = pieces.MergePieces(open(pieces.default_model(), "rb").read())
+    m.encode_all(["several new words of one text", "and others"])
+    assert m.tested.n > 10 and not m.pairs  # in arrays, not in a table of strings as well
+
+
 def test_pieces_query(spark, odd, empty, library, tmp_path):
     got = pieces.op5_sentencepiece(spark, save(odd, tmp_path / "a")).collect()
     want = Counter((i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(library.decode(x).encode()).hexdigest()) for i, t, *_ in ODD for x in [library.encode(t or "")])
