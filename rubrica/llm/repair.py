@@ -55,20 +55,25 @@ def grammar(ids: np.ndarray, frequent: int = FREQUENT, base: int | None = None)
     base = base or (int(ids.max()) + 1 if len(ids) else 1)
     seq = ids.astype(np.uint32)
     rules, lengths, made = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], base
+    # Places are taken by index, not by mask: masks of no pattern cost a mispredicted branch an element.
     # A pair's places are all awake or none: a pair that was counted and isn't frequent has no new ones later, as new pairs hold new symbols.
     awake = np.arange(max(0, len(seq) - 1))
     while len(awake):
         bits = max(8, int(len(awake)).bit_length())
-        keys = seq[awake].astype(np.uint64) << np.uint64(32) | seq[awake + 1]
+        keys = seq[awake].astype(np.uint64)
+        keys <<= np.uint64(32)
+        keys |= seq[awake + 1]
         bins = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
         # a bin stands for one of its pairs; the others stay awake
         seen = np.zeros(1 << bits, np.uint64)
         seen[bins] = keys
         mine = seen[bins] == keys
-        counts = np.bincount(bins[mine], minlength=1 << bits)
+        counts = np.bincount(bins[np.flatnonzero(mine)], minlength=1 << bits)
         flag = np.zeros(len(seq), bool)
-        flag[awake[~mine]] = True
-        often = mine & (counts[bins] >= frequent)
+        flag[awake[np.flatnonzero(~mine)]] = True
+        often = (counts >= frequent)[bins]
+        often &= mine
+        often = np.flatnonzero(often)
         at, of = awake[often], bins[often]
         flag[at] = True
         if not len(at):
@@ -77,7 +82,7 @@ def grammar(ids: np.ndarray, frequent: int = FREQUENT, base: int | None = None)
         # where frequent pairs overlap the most frequent wins (of equals the larger bin); of a run of one pair every other place
         rank = counts[of] << bits | of
         beside = np.diff(at) == 1
-        begins = np.concatenate([[True], ~(beside & (rank[1:] == rank[:-1]))])
+        begins = np.concatenate([[True], ~beside | (rank[1:] != rank[:-1])])
         group = np.cumsum(begins) - 1
         first = np.flatnonzero(begins)
         last = np.append(first[1:], len(at)) - 1
@@ -85,7 +90,7 @@ def grammar(ids: np.ndarray, frequent: int = FREQUENT, base: int | None = None)
         beaten[1:] = beside[first[1:] - 1] & (rank[first[1:] - 1] > rank[first[1:]])
         beaten[:-1] |= beside[last[:-1]] & (rank[last[:-1] + 1] > rank[last[:-1]])
         wins = ~beaten[group] & ((np.arange(len(at)) - first[group]) & 1 == 0)
-        won = np.bincount(of[wins], minlength=1 << bits)
+        won = np.bincount(of[np.flatnonzero(wins)], minlength=1 << bits)
         chosen = np.flatnonzero(won >= max(2, (frequent + 1) // 2))
         if not len(chosen):
             # What won once or lost to such a pair: a pair that lost nowhere stays as it is, so it sleeps; the one with the highest rank is among them, so this ends.
@@ -96,8 +101,10 @@ def grammar(ids: np.ndarray, frequent: int = FREQUENT, base: int | None = None)
             continue
         name = np.zeros(1 << bits, np.uint32)
         name[chosen] = np.arange(made, made + len(chosen))
-        wins &= name[of] > 0
-        at, symbol = at[wins], name[of[wins]]
+        symbol = name[of]
+        wins &= symbol > 0
+        wins = np.flatnonzero(wins)
+        at, symbol = at[wins], symbol[wins]
         pairs = np.stack([seen[chosen] >> np.uint64(32), seen[chosen] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
         known = np.concatenate(lengths)
         size = np.where(pairs >= base, known[np.maximum(pairs - base, 0)] if len(known) else 1, 1)
@@ -109,6 +116,7 @@ def grammar(ids: np.ndarray, frequent: int = FREQUENT, base: int | None = None)
         seq[at] = symbol
         stays = np.ones(len(seq), bool)
         stays[at + 1] = False
+        stays = np.flatnonzero(stays)
         seq, flag = seq[stays], flag[stays]
         at = at - np.arange(len(at))
         flag[at] = True
@@ -121,20 +129,20 @@ def grammar(ids: np.ndarray, frequent: int = FREQUENT, base: int | None = None)
 def expand(base: int, rules: np.ndarray, lengths: np.ndarray, seq: np.ndarray) -> np.ndarray:
     """The ids a sequence stands for; work is in proportion to them."""
     size = np.ones(len(seq), np.int64)
-    big = seq >= base
+    small, big = np.flatnonzero(seq < base), np.flatnonzero(seq >= base)
     size[big] = lengths[seq[big] - base]
     ends = np.cumsum(size)
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
     place = ends - size
-    out[place[~big]] = seq[~big]
+    out[place[small]] = seq[small]
     symbol, place = seq[big] - base, place[big]
     while len(symbol):
         left, right = rules[symbol, 0], rules[symbol, 1]
         long = left >= base
         behind = place + np.where(long, lengths[np.maximum(left - base, 0)], 1)
         both, at = np.concatenate([left, right]), np.concatenate([place, behind])
-        big = both >= base
-        out[at[~big]] = both[~big]
+        small, big = np.flatnonzero(both < base), np.flatnonzero(both >= base)
+        out[at[small]] = both[small]
         symbol, place = both[big] - base, at[big]
     return out
 
@@ -223,12 +231,18 @@ class Encoder:
 
     def learn(self, fresh: set[str]) -> None:
         """Keeps the ids of new words; many go through the library as one text, in which each begins with the only token that begins with a space."""
-        kept = self.kept
+        kept, ends = self.kept, self.marks
         some = []
         for w in fresh:
-            if w.isalpha() and PLAIN(w):
-                kept[w] = self.letters(w)
-            elif (x := self.plain(w)) is not None:
+            if (m := PLAIN(w)) is not None:  # most words: one run of letters, and marks
+                run, marks = m.groups()
+                if (x := kept.get(run)) is None:
+                    x = kept[run] = self.letters(run)
+                if marks:
+                    if marks not in ends:
+                        ends[marks] = self.whole(marks)
+                    kept[w] = x + ends[marks]
+            elif "\n" in w and (x := self.plain(w)) is not None:
                 kept[w] = x
             elif w and not w[0].isspace() and not w[-1].isspace():
                 some.append(w)
