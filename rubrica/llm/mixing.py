@@ -25,6 +25,7 @@ import heapq
 from functools import reduce
 from math import gcd
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -81,8 +82,10 @@ def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default: int = DEFAU
     # the sources' names: their number is a property of the corpus's make-up, not of its size
     present = present_weights(sorted(r[0] for r in totals.select("_source").distinct().collect()), weights, default)
     frame = sum(present.values())
-    slots = spark.createDataFrame([(s, present[s], k, at) for s, k, at in frame_schedule(present)], "_source string, weight long, _k long, _at long")
-    sized = spark.createDataFrame(list(present.items()), "_source string, weight long")
+    # Arrow tables: lists would make RDDs in Python, for which each executor starts a second set of Python workers
+    kinds = pa.schema([("_source", pa.string()), ("weight", pa.int64()), ("_k", pa.int64()), ("_at", pa.int64())])
+    slots = spark.createDataFrame(pa.Table.from_pylist([{"_source": s, "weight": present[s], "_k": k, "_at": at} for s, k, at in frame_schedule(present)], kinds))
+    sized = spark.createDataFrame(pa.Table.from_pylist([{"_source": s, "weight": w} for s, w in present.items()], pa.schema(list(kinds)[:2])))
     placed = placed.join(F.broadcast(sized), "_source").withColumn("_k", F.col("block") % F.col("weight"))
     placed = placed.join(F.broadcast(slots) if frame <= 100_000 else slots, ["_source", "weight", "_k"])
     turn = F.expr("block div weight") * frame

@@ -37,8 +37,10 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 from . import shared
 
 MARK = "▁"
-#: Chunks kept by a Python worker, and the longest that is kept.
-KEPT, KEPT_CHARS, PAIRS = 400_000, 64, 1_000_000
+#: Chunks kept by a Python worker, the longest that is kept, and the pair tests kept (they fit 2**20 places of an IntMap).
+KEPT, KEPT_CHARS, PAIRS = 200_000, 64, 300_000
+#: New chunks that are encoded at a time.
+TOGETHER = 1 << 13
 
 
 class IntMap:
@@ -259,7 +261,7 @@ class MergePieces:
         return got > 0
 
     def split_all(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces' ids of all chunks one after another (barriers for unknown characters), and how many each has. No chunk is empty or has two space marks side by side."""
+        """The pieces' ids of all chunks one after another (-1 - code point for a character that no piece holds), and how many each has. No chunk is empty or has two space marks side by side."""
         c = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").astype(np.int64)
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         first = np.cumsum(size) - size
@@ -299,7 +301,7 @@ class MergePieces:
         count = np.zeros(len(chunks), np.int64)
         while len(where):
             token = last[pos]
-            steps.append((where, token))
+            steps.append((where, np.where(token == self.barrier, -1 - c[pos], token)))
             count[where] += 1
             pos = pos - self.lengths[token]
             stays = pos >= first[where]
@@ -312,16 +314,26 @@ class MergePieces:
 
     def learn(self, fresh: list[str]) -> None:
         """Keeps the ids of the chunks that a space mark and these words make; those with further marks in them aren't words."""
-        for at in range(0, len(fresh), 1 << 15):
-            some = fresh[at : at + (1 << 15)]
+        for at in range(0, len(fresh), TOGETHER):
+            some = fresh[at : at + TOGETHER]
             ids, count = self.split_all([MARK + w for w in some])
             raw, end = ids.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
-            odd = set(np.repeat(np.arange(len(some)), count)[ids == self.barrier].tolist())
+            odd = set(np.repeat(np.arange(len(some)), count)[ids < 0].tolist())
             begin = 0
             for i, (w, e) in enumerate(zip(some, end)):
-                self.words[w] = raw[begin:e] if i not in odd else np.array(self.to_ids(self.split(MARK + w)), "<u4").tobytes()
+                self.words[w] = raw[begin:e] if i not in odd else self.with_bytes(ids[begin // 4 : e // 4])
                 begin = e
 
+    def with_bytes(self, ids: np.ndarray) -> bytes:
+        """Ids as split_all gives them, with the bytes of characters that no piece holds."""
+        out: list[int] = []
+        for i in ids.tolist():
+            if i >= 0:
+                out.append(i)
+            else:
+                out += (self.bytes[b] for b in chr(-1 - i).encode("utf-8"))
+        return np.array(out, "<u4").tobytes()
+
     def forget(self) -> None:
         self.words.clear()
         self.pairs.clear()

@@ -63,6 +63,8 @@ _held: dict[str, Callable[[], None]] = {}
 def holding(name: str, forget: Callable[[], None]) -> None:
     """In a Python worker: what an operator keeps stays for its next task, until another operator's comes."""
     release(name)
+    if name not in _held:
+        _trim()  # of what tasks that kept nothing have freed
     if name in _held and _held[name] != forget:
         _held[name]()
     _held[name] = forget
@@ -74,11 +76,15 @@ def release(but: str | None = None) -> None:
     for forget in gone:
         forget()
     if gone:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
-        if trim:
-            trim(0)
+        _trim()
+
+
+def _trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -341,6 +341,12 @@ def test_pairs_of_new_words_are_kept_once():
     assert m.tested.n > 10 and not m.pairs  # in arrays, not in a table of strings as well
 
 
+def test_words_of_unknown_characters_are_kept_in_arrays(library):
+    m, texts = pieces.MergePieces(open(pieces.default_model(), "rb").read()), ["some wo\ue000rds 日\ue000 of \ue000\ue000unknown charac\ue000", "ot\ue000hers  \ue000"]
+    assert [x.tolist() for x in m.encode_all(texts)] == [library.encode(t) for t in texts]
+    assert not m.pairs  # their pair tests filled a table of strings
+
+
 def test_pieces_query(spark, odd, empty, library, tmp_path):
     got = pieces.op5_sentencepiece(spark, save(odd, tmp_path / "a")).collect()
     want = Counter((i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(library.decode(x).encode()).hexdigest()) for i, t, *_ in ODD for x in [library.encode(t or "")])
@@ -369,6 +375,12 @@ def test_mixing_rows(spark, odd, empty, tmp_path):
         mixing.frame_schedule({"a": 0})
 
 
+def test_the_schedule_starts_no_python_workers(spark, odd, tmp_path):
+    docs = spark.read.parquet(f"{save(odd, tmp_path / 'a')}/documents.parquet")
+    plan = mixing.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation") == 2 and "RDD" not in plan
+
+
 # op 7
 
 def test_licenses(spark, empty):
