@@ -40,6 +40,8 @@ MAGIC = b"RPG2"
 KEPT, KEPT_CHARS = 1_200_000, 64
 #: Latin letters, all of which the tokenizer's pattern takes for letters, and marks behind them.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!\"#$%&()*+,./:;<=>?@\\\\\\[\\]^_`{|}~-]*)").fullmatch
+#: The same marks.
+MARKS = "!\"#$%&()*+,./:;<=>?@\\[]^_`{|}~-"
 #: How a byte-level vocabulary spells the bytes: printable ones of Latin-1 as they are, the others from U+0100 on.
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: chr(b) for b in _OWN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(_OWN))}
@@ -116,7 +118,8 @@ def grammar(ids: np.ndarray, frequent: int = FREQUENT, base: int | None = None)
         seq[at] = symbol
         stays = np.ones(len(seq), bool)
         stays[at + 1] = False
-        stays = np.flatnonzero(stays)
+        if 16 * len(at) > len(seq):  # few gaps are quick by mask
+            stays = np.flatnonzero(stays)
         seq, flag = seq[stays], flag[stays]
         at = at - np.arange(len(at))
         flag[at] = True
@@ -233,12 +236,14 @@ class Encoder:
         """Keeps the ids of new words; many go through the library as one text, in which each begins with the only token that begins with a space."""
         kept, ends = self.kept, self.marks
         some = []
+        tokenize = self.model.tokenize
         for w in fresh:
-            if (m := PLAIN(w)) is not None:  # most words: one run of letters, and marks
-                run, marks = m.groups()
+            run = w.rstrip(MARKS)
+            if run.isalpha() and (run.isascii() or PLAIN(run)):  # most words: one run of letters, and marks
                 if (x := kept.get(run)) is None:
-                    x = kept[run] = self.letters(run)
-                if marks:
+                    x = kept[run] = array("I", [t.id for t in tokenize("\u0120" + run)]).tobytes() if run.isascii() else self.letters(run)
+                if run != w:
+                    marks = w[len(run) :]
                     if marks not in ends:
                         ends[marks] = self.whole(marks)
                     kept[w] = x + ends[marks]

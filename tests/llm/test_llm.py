@@ -735,3 +735,12 @@ def test_pipeline_emits_the_mixture(spark, monkeypatch, tmp_path):
             break
         assert all(abs(done[s] - sum(done.values()) * w / 220) < 2 * mixing.BLOCK_BYTES for s, w in weights.items())
     assert sum(done.values()) > 20 * mixing.BLOCK_BYTES
+def test_marks_of_words():
+    e = repair.Encoder(repair.default_tokenizer())
+    for c in map(chr, range(0x250)):
+        assert (c in repair.MARKS) == (repair.PLAIN("a" + c) is not None and not c.isalpha())
+    words = {w + c for w in ("word", "élan", "it's", "x9", "日本", "ªb") for c in ["", *repair.MARKS, "?!", "\'", "\n", ".\nNext,"]} | {*repair.MARKS, "--"}
+    for w in words:
+        assert e.ids([f"a {w} b"]) == [np.array([*e.tok.encode(f"a {w} b", add_special_tokens=False).ids, repair.END], "<u4").tobytes()]
+
+
